@@ -3,7 +3,7 @@
 * :class:`Workspace` keeps intermediate tables in the folder that the cluster
   names in ``spark.checkpoint.dir``; every executor and the driver can read it,
   so a lost executor costs only the tasks it was running.
-* :func:`id_bitmap` / :func:`in_bitmap` are a fixed-size prefilter: a bitmap of
+* :func:`bitmap` / :func:`in_bitmap` are a fixed-size prefilter: a bitmap of
   ``BITMAP_BITS`` bits however many keys it holds. It may let others pass, never
   drops a key, and is always followed by an exact join.
 * ``hash_*`` name byte strings in bulk with numpy.
@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of a prefilter bitmap (1 MiB), independent of the data.
@@ -79,12 +79,17 @@ def columns(prefix: str, df: DataFrame, *names: str) -> list[Column]:
 # ---------------------------------------------------------------- prefilter
 
 
-def id_bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """Bitmap (``BITMAP_BITS`` bits as uint8) of the hashed values of an integer column.
+def slots(key: Column | str) -> Column:
+    """The slot of an integer key in a bitmap."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(BITMAP_BITS)).cast("int")
+
+
+def bitmap(keys: DataFrame, slot: Column) -> np.ndarray:
+    """Bitmap (``BITMAP_BITS`` bits as uint8) of the slots of all rows.
 
     The collected rows are at most ``BITMAP_BITS / 32768`` bitmaps of 4 KiB.
     """
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITMAP_BITS))
     rows = (
         keys.select(slot.alias("slot"))
         .groupBy(F.floor(F.col("slot") / _BUCKET).cast("int").alias("bucket"))
@@ -98,12 +103,6 @@ def id_bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def slots(ids: Column | str) -> Column:
-    """The slot of a key in a bitmap, to be handed to :func:`in_bitmap`."""
-    ids = F.col(ids) if isinstance(ids, str) else ids
-    return F.pmod(F.xxhash64(ids.cast("long")), F.lit(BITMAP_BITS)).cast("int")
-
-
 def in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
@@ -213,3 +212,37 @@ def word_table(separators: str) -> np.ndarray:
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """List column of ``n`` rows from ``values`` and the (ascending) row of each."""
+    offsets = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+# ---------------------------------------------------------------- components
+
+
+def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """(node, label): the smallest node that each node of ``edges`` (a, b: long) is linked with, itself included.
+
+    Alternating stars: every node hands its larger, then its smaller neighbours
+    to the smallest node it knows, until all hang at their component's minimum.
+    The number of rounds grows with the logarithm of the longest chain. Nodes
+    and links stay in Spark; each round is a table in the shared folder.
+    """
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    now, said, step = space.save(now, f"{name}-0"), None, 0
+    at_u = Window.partitionBy("u")
+    while True:
+        print_now = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if print_now == said:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        said, step = print_now, step + 1
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least(F.min("v").over(at_u), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        small = large.withColumn("m", F.min("v").over(at_u))
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = space.save(small.select("e.u", "e.v").filter("u <> v").distinct(), f"{name}-{step}")
+        space.drop(f"{name}-{step - 1}")
