@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, language_id, ngram_jaccard, token_counts, token_files, url_reputation
+from . import byte_bpe, decontamination, language_id, ngram_jaccard, simhash, token_counts, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files.op2,
     "op3_language_id": language_id.op3,
+    "op4_simhash": simhash.op4,
     "op5_decontamination": decontamination.op5,
     "op6_token_counts": token_counts.op6,
     "op7_url_reputation": url_reputation.op7,
