@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, language_id, ngram_jaccard, simhash, token_counts, token_files, url_reputation
+from . import byte_bpe, decontamination, language_id, ngram_jaccard, simhash, suffix_dedup, token_counts, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files.op2,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_reputation": url_reputation.op7,
     "op8_ngram_jaccard": ngram_jaccard.op8,
     "op9_byte_bpe": byte_bpe.op9,
+    "op10_suffix_array": suffix_dedup.op10,
 }
 
 ORACLE: dict[str, str] = {"op7_url_reputation": url_reputation.OP7_SQL}
