@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, language_id, ngram_jaccard, simhash, suffix_dedup, token_counts, token_files, url_reputation
+from . import byte_bpe, decontamination, language_id, line_dedup, ngram_jaccard, simhash, suffix_dedup, token_counts, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1,
     "op2_token_files": token_files.op2,
     "op3_language_id": language_id.op3,
     "op4_simhash": simhash.op4,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array": suffix_dedup.op10,
 }
 
-ORACLE: dict[str, str] = {"op7_url_reputation": url_reputation.OP7_SQL}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL, "op7_url_reputation": url_reputation.OP7_SQL}
