@@ -16,7 +16,8 @@ CHAIN = ((1995, 1996, 1997), (1995, 1997, 1998), (1995, 1998, 1999))
 
 
 def rounded(df, digits: int = 6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, with no negative zero, so that values compare across engines."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _sql_any(p="prev_ab", where=""):
