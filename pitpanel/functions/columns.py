@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def age_band(c: Column) -> Column:
     """``30a`` is 30, ``30b`` is 35."""
-    return F.try_to_number(F.regexp_extract(c, r"^\d+", 0), F.lit("999")).cast("int") + F.when(c.endswith("b"), 5).otherwise(0)
+    return F.regexp_extract(c, r"^\d+", 0).try_cast("int") + F.when(c.endswith("b"), 5).otherwise(0)
 
 
 def flip(side: Column) -> Column:

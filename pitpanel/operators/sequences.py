@@ -40,7 +40,7 @@ def pivot(counts: DataFrame, tokens: Sequence[str], key: str = "row_id") -> Data
 
 def numeric_list(df: DataFrame, column: str, longest: int | None = None) -> DataFrame:
     """``df`` with ``<column>_mean`` and ``<column>_std`` (population) of absolute values; null where an element is missing or the list is shorter than the longest."""
-    values = F.transform(F.split(column, ","), lambda x: F.abs(F.try_to_number(F.nullif(x, F.lit("")), F.lit("999999999")).cast("double")))
+    values = F.transform(F.split(column, ","), lambda x: F.abs(x.try_cast("double")))
     rows = df.withColumn("__v", values)
     if longest is None:
         longest = rows.agg(F.max(F.size("__v"))).first()[0] or 0
