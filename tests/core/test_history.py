@@ -81,3 +81,22 @@ def test_missing_count_and_variants(spark):
         features.without_history(df).collect()
     old = spark.createDataFrame([(1, 2)], "k int, v int")
     assert sorted(tuple(r) for r in reports.upsert(old, spark.createDataFrame([(1, 5), (2, 6)], "k int, v int"), ["k"]).collect()) == [(1, 5), (2, 6)]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from pitpanel.sources import io
+
+    p = rows(spark, [(1, 1, "A", 202001, 1), (2, 1, "B", 202002, 0)])
+    io.write_report(p.withColumn("x", F.lit(1 / 3)), str(tmp_path / "r"))
+    back = io.read_csv(spark, str(tmp_path / "r"), SCHEMA + ", x double", ["row_id", "x"])
+    assert sorted(tuple(r) for r in back.collect()) == [(1, 0.333333), (2, 0.333333)]
+    io.write_predictions(p.withColumn("fold", F.col("row_id").cast("int")), str(tmp_path / "p"))
+    assert [r.row_id for r in io.read_folds(spark, str(tmp_path / "p"), [2]).collect()] == [2]
+    io.write_manifest(p, str(tmp_path / "m"), seed=42)
+    assert spark.read.json(str(tmp_path / "m")).first().asDict() == {"rows": 2, "positives": 1, "rate": 0.5, "seed": 42}
+    snap = io.GuardedSnapshot(spark, str(tmp_path / "s"))
+    build = lambda: history.fold_history(p, p)
+    assert snap.load(build, [p]).count() == 2 and snap.load(None, [p]).count() == 2
+    with pytest.raises(ValueError, match="other inputs"):
+        snap.load(build, [p.limit(1)])
+    assert io.fill_text(spark.createDataFrame([(None, None)], "a string, b int")).first() == ("", None)
