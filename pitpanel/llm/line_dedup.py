@@ -45,41 +45,49 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
-def _halves(codes: np.ndarray) -> list[int]:
-    """Names of the halves of a line, as one of its own length and as one that lacks a character."""
-    n, sums = len(codes), S.prefix_hash(_values(codes))
-    out = []
+#: Code points that ``str.strip`` takes for white space.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
+
+
+def _line_names(texts: list[str], least_chars: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of all lines of some texts: (row of the text, number in it), and name in two words and four names of halves.
+
+    Lines of white space are left out. The halves are those of a line of its own
+    length and of one that lacks a character; lines below ``least_chars`` have none (-1).
+    """
+    codes = _codes("\n".join(texts))
+    breaks = np.flatnonzero(codes == 10)
+    start, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(codes)]])
+    per = np.array([t.count("\n") + 1 for t in texts])
+    row = np.repeat(np.arange(len(texts)), per)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    shown = np.concatenate([[0], np.cumsum(~_SPACE[np.minimum(codes, 0x3000)] | (codes > 0x3000))])
+    keep = shown[end] > shown[start]
+    start, end, row, number = start[keep], end[keep], row[keep], number[keep]
+    values = _values(codes)
+    sums = S.prefix_hash(values)
+    a = S.span_hash(sums, start, end)
+    b = S.span_hash(S.prefix_hash(values * np.uint64(0xA0761D6478BD642F) ^ np.uint64(0xE7037ED1A0B428DB)), start, end)
+    halves, n = [], end - start
     for longer in (n, n + 1):
         cut = longer // 2
-        right = n - (longer - cut)
-        start, end = np.array([0, right]), np.array([cut, n])
-        out += list(_signed(S.mix(S.span_hash(sums, start, end) ^ np.array([2 * longer, 2 * longer + 1], np.uint64))))
-    return out
+        for side, (x, y) in enumerate(((start, start + np.minimum(cut, n)), (end - np.minimum(longer - cut, n), end))):
+            half = _signed(S.mix(S.span_hash(sums, x, y) ^ (2 * longer + side).astype(np.uint64)))
+            halves.append(np.where(n >= least_chars, half, -1))
+    return np.stack([row, number]), [_signed(a), _signed(b), *halves]
 
 
 def _lines(least_chars: int):
-    """One row for each line of (id, text): name of the line in two words, length, and its halves if edits are looked for."""
+    """One row for each line of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "no", "a", "b", "halves"]
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                d, no, lines, halves = [], [], [], []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for k, line in enumerate((text or "").split("\n")):
-                        if line.strip():
-                            d.append(key)
-                            no.append(k)
-                            lines.append(line)
-                            halves.append(_halves(_codes(line)) if len(line) >= least_chars else None)
-                raw, off = S.utf8(pa.array(lines, pa.large_string()))
-                sums = S.prefix_hash(S.BYTE_VALUES[raw])
-                a = S.span_hash(sums, off[:-1], off[1:])
-                b = S.span_hash(S.prefix_hash(S.BYTE_VALUES[raw] * np.uint64(0xA0761D6478BD642F) ^ np.uint64(0xE7037ED1A0B428DB)), off[:-1], off[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, pa.int64()), pa.array(no, pa.int32()), pa.array(_signed(a)), pa.array(_signed(b)), pa.array(halves, pa.list_(pa.int64()))], names
-                )
+            _, off = S.utf8(batch.column(1))
+            keys = batch.column(0).to_numpy()
+            for i, j in S.slices(off):
+                (row, number), names = _line_names([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], least_chars)
+                cols = [keys[i:j][row], number.astype(np.int32), *names]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["d", "no", "a", "b", "h0", "h1", "h2", "h3"])
 
     return run
 
@@ -140,21 +148,22 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, least_chars: int = 20) -> DataFrame:
     """(d, gone): for documents (d, text) the numbers of the lines that go."""
     spark = docs.sparkSession
-    lines = docs.select("d", "text").mapInArrow(_lines(least_chars), "d long, no int, a long, b long, halves array<long>")
+    lines = docs.select("d", "text").mapInArrow(_lines(least_chars), "d long, no int, a long, b long, h0 long, h1 long, h2 long, h3 long")
     lines = space.save(lines, "lines")
-    first = lines.groupBy("a", "b").agg(F.min(F.struct("d", "no")).alias("at"), F.max(F.struct(F.col("halves").isNotNull().alias("k"), "halves"))["halves"].alias("halves"))
-    first = space.save(first.select("a", "b", "at.d", "at.no", "halves"), "different")
+    halves = [f"h{k}" for k in range(4)]
+    first = lines.groupBy("a", "b").agg(F.min(F.struct("d", "no")).alias("at"), *[F.max(h).alias(h) for h in halves])
+    first = space.save(first.select("a", "b", "at.d", "at.no", *halves), "different")
     near = None
     if max_edits:
         # step 1: lines that share a half with another
-        halves = first.filter("halves is not null").select("d", "no", F.explode("halves").alias("half"))
+        each = first.filter("h0 <> -1").select("a", "d", "no", F.explode(F.array(*halves)).alias("half"))
+        met = each.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("half")
+        some = each.join(met.hint("merge"), "half", "left_semi").select("d", "no").distinct()
         at = F.struct("d", "no")
-        met = halves.groupBy("half").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo <> hi").select("half")
-        some = halves.join(met, "half", "left_semi").select("d", "no").distinct()
         wanted = space.save(some.groupBy("d").agg(F.collect_list("no").alias("nos")), "wanted")
         bits = spark.sparkContext.broadcast(S.bitmap(wanted, S.slots("d")))
         texts = docs.select(S.slots("d").alias("slot"), "d", "text").mapInArrow(_pick(bits), "slot int, d long, text string")
-        texts = texts.join(wanted, "d")
+        texts = texts.join(wanted.hint("merge"), "d")
         cut = F.split("text", "\n", -1)
         some = texts.select("d", "nos", cut.alias("ls")).select("d", F.explode("nos").alias("no"), "ls").select("d", "no", F.expr("try_element_at(ls, no + 1)").alias("line"))
         some = space.save(some.filter("line is not null"), "candidates")
@@ -169,17 +178,17 @@ def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, leas
         pairs = seen.select("d", "no", F.explode(earlier).alias("e")).select("d", "no", F.col("e.d").alias("ed"), F.col("e.no").alias("eno")).distinct()
         # step 4
         other = some.select(F.col("d").alias("ed"), F.col("no").alias("eno"), F.col("line").alias("earlier"))
-        close = pairs.join(other, ["ed", "eno"]).join(some, ["d", "no"]).filter(F.levenshtein("line", "earlier", max_edits) >= 0)
+        close = pairs.join(other.hint("merge"), ["ed", "eno"]).join(some.hint("merge"), ["d", "no"]).filter(F.levenshtein("line", "earlier", max_edits) >= 0)
         near = space.save(close.select("d", "no").distinct(), "near")
-        drop = first.join(near, ["d", "no"]).select("a", "b", F.lit(True).alias("all"))
+        drop = first.join(near.hint("merge"), ["d", "no"]).select("a", "b", F.lit(True).alias("all"))
     else:
         drop = first.limit(0).select("a", "b", F.lit(True).alias("all"))
     firsts = first.select("a", "b", F.col("d").alias("fd"), F.col("no").alias("fno"))
-    marked = firsts.join(drop, ["a", "b"], "left")
+    marked = firsts.join(drop.hint("merge"), ["a", "b"], "left")
     repeated = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
     # lines that occur once and have no earlier neighbour stay: only the others are joined back
     marked = marked.join(repeated.withColumn("many", F.lit(True)), ["a", "b"], "left").filter("many or all")
-    gone = lines.select("d", "no", "a", "b").join(marked, ["a", "b"]).filter("all or d <> fd or no <> fno")
+    gone = lines.select("d", "no", "a", "b").join(marked.hint("merge"), ["a", "b"]).filter("all or d <> fd or no <> fno")
     return gone.groupBy("d").agg(F.collect_set("no").alias("gone"))
 
 
@@ -203,7 +212,7 @@ def dedup(docs: DataFrame, max_edits: int = 1, least_chars: int = 20, id_col: st
     from pyspark.sql import types as T
 
     kept = [c for c in named.columns if c != text_col]
-    rows = named.join(gone.withColumnRenamed("d", "__g"), F.col("__d") == F.col("__g"), "left").drop("__g")
+    rows = named.join(gone.withColumnRenamed("d", "__g").hint("merge"), F.col("__d") == F.col("__g"), "left").drop("__g")
     rows = rows.select(F.struct(*[F.col(c) for c in kept]).alias("d"), F.col(text_col).cast("string").alias("text"), F.col("gone"))
     schema = T.StructType([rows.schema["d"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = rows.mapInArrow(_strip, schema)
