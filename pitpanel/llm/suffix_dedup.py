@@ -109,19 +109,27 @@ def _stretches(text: _Text, repeated: np.ndarray, length: int, half: int) -> tup
 
 
 def _round2a(length: int, half: int):
-    """Rows (key, name, first, last) of the stretches of (key, text, repeated)."""
+    """Rows (key, name, firsts, lasts) of the stretches of (key, text, repeated): one for each different name of a document.
+
+    A periodic text has the same stretch at every position; its places are one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = S.utf8(batch.column(1))
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            keys, names, sizes, firsts, lasts = [], [], [], [], []
             for i, key in enumerate(batch.column(0).to_pylist()):
                 text = _Text(raw[off[i] : off[i + 1]])
                 start, end = _stretches(text, batch.column(2)[i].values.to_numpy().view(np.uint64), length, half)
-                for k, x in enumerate((np.full(len(start), key, np.int64), text.names(start, end + length).view(np.int64), start.astype(np.int32), end.astype(np.int32))):
-                    out[k].append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "name", "first", "last"])
+                name = text.names(start, end + length).view(np.int64)
+                order = np.argsort(name, kind="stable")
+                found, n = np.unique(name, return_counts=True)
+                for into, x in ((keys, np.full(len(found), key, np.int64)), (names, found), (sizes, n), (firsts, start[order].astype(np.int32)), (lasts, end[order].astype(np.int32))):
+                    into.append(x)
+            if keys:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+                places = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (firsts, lasts)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names)), *places], ["key", "name", "firsts", "lasts"])
 
     return run
 
@@ -217,11 +225,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     texts = space.save(some.select("key", "__text").join(repeated, "key"), "texts")
 
     # round 2: whole stretches, then positions
-    stretches = texts.select("key", "__text", "repeated").mapInArrow(_round2a(length, half), "key long, name long, first int, last int")
-    order = Window.partitionBy("name").orderBy("key", "first")
-    ranked = stretches.withColumns({"n": F.count(F.lit(1)).over(at_name), "rank": F.row_number().over(order)})
-    ranked = space.save(ranked.select("key", "first", "last", (F.col("n") > 1).alias("settled"), (F.col("rank") == 1).alias("goes_on")), "stretches")
-    going = ranked.filter("goes_on").groupBy("key").agg(F.collect_list(F.struct("first", "last", (~F.col("settled")).alias("asks"))).alias("s"))
+    stretches = texts.select("key", "__text", "repeated").mapInArrow(_round2a(length, half), "key long, name long, firsts array<int>, lasts array<int>")
+    ranked = stretches.withColumns({"n": F.sum(F.size("firsts")).over(at_name), "rank": F.row_number().over(at_name.orderBy("key"))})
+    ranked = space.save(ranked.select("key", "firsts", "lasts", (F.col("n") > 1).alias("settled"), (F.col("rank") == 1).alias("leads")), "stretches")
+    # of equal stretches the first place of the first document goes on
+    lead = ranked.filter("leads").select("key", F.col("firsts")[0].alias("first"), F.col("lasts")[0].alias("last"), (~F.col("settled")).alias("asks"))
+    going = lead.groupBy("key").agg(F.collect_list(F.struct("first", "last", "asks")).alias("s"))
     going = going.select("key", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"), F.col("s.asks").alias("asks"))
     positions = texts.select("key", "__text").join(going, "key").mapInArrow(_round2b(length), "name long, key long, at int, asks boolean")
     met = positions.withColumn("n", F.count(F.lit(1)).over(at_name)).filter("asks and n > 1").select("key", "at")
@@ -231,7 +240,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     runs = met.withColumn("new", first)
     runs = runs.withColumn("run", F.sum("new").over(by_key.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("key", "run").agg(F.min("at").alias("first"), F.max("at").alias("last")).select("key", "first", "last")
-    covered = ranked.filter("settled").select("key", "first", "last").unionByName(runs)
+    each = F.explode(F.arrays_zip("firsts", "lasts")).alias("x")
+    covered = ranked.filter("settled").select("key", each).select("key", F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last")).unionByName(runs)
     gone = covered.groupBy("key").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e"))).alias("r"))
     gone = space.save(gone.select("key", F.col("r.s").alias("starts"), F.col("r.e").alias("ends")), "gone")
     space.drop("texts", "stretches")
