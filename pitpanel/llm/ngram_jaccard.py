@@ -8,15 +8,17 @@ block, only where a pair can still reach the threshold:
    ``n - ceil(t*n) + 1`` least frequent ones. Two sets of Jaccard t or more share
    a shingle of their prefixes, whatever the common order is; the order here is
    by a count sketch of all documents, so frequent shingles come last.
-3. Blocks are the columns (one shingle): first every class of a block is
-   multiplied with the block's smallest class only - as many pairs as entries -
-   and pairs that reach the threshold are merged into components.
+3. Blocks are the columns (equal columns are one): first every class is multiplied
+   with a few of the classes that lead its blocks (each block's smallest), and
+   pairs that reach the threshold are merged into components.
 4. Blocks whose classes are then all in one component are done. In the others
    pairs of different components are multiplied; pairs below the bounds that
-   follow from their sizes and from the shingle's place in either order are
-   never made.
+   follow from their sizes and from the place of the first shared shingle in
+   either order are never made.
 
-Overlaps are counted on the whole sets (64-bit names of shingles).
+What a pair shares of the prefixes is counted first: pairs for which that and the
+rest of the shorter prefix cannot reach the threshold are discarded. Of the others
+the overlap is counted on the whole sets (64-bit names of shingles).
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from . import shared as S
 SPACES = " \t\n\x0b\x0c\r"
 _WORD = S.word_table(SPACES)
 SKETCH = 1 << 20  # counters of the count sketch: its size does not grow with the data
+HUBS = 3
 _PART = 1 << 16  # counters in one row of a sketch
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -111,9 +114,10 @@ def _prefixes(words: int, percent: int, held):
     """Rows (shingle, name, n, place): the rarest shingles of each set, one set of a name for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, done = held.value, set()
+        sketch, done, names = held.value, set(), ["h", "name", "n", "place"]
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
+            held_now = 0
             for _, s in shingle_sets(batch.column(0), words):
                 n, name = len(s), _name(s)
                 if not n or name in done:
@@ -123,8 +127,12 @@ def _prefixes(words: int, percent: int, held):
                 order = np.lexsort((s, sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:p]
                 for k, x in enumerate((s[order].view(np.int64), np.full(p, name, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32))):
                     out[k].append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "name", "n", "place"])
+                held_now += p
+                if held_now > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                    out, held_now = [[], [], [], []], 0
+            if held_now:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
     return run
 
@@ -162,7 +170,7 @@ def _overlap(percent: int):
 
 
 def join(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links_class): documents linked by shingle sets of Jaccard ``percent`` / 100 or more.
+    """(id, n_shingles, component_id): documents linked by shingle sets of Jaccard ``percent`` / 100 or more.
 
     component_id is the smallest id that links lead to, its own included. Null
     text or text without words has no shingles and no links; fewer than ``words``
@@ -177,57 +185,76 @@ def join(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_
     profile = seen.filter("part is null").select("__id", "n", "name")
     parts = seen.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_sketches, "part int, counts binary")
     sketch = np.zeros(SKETCH, np.uint32)
-    for r in parts.toLocalIterator():  # SKETCH / _PART rows
+    for r in parts.collect():  # SKETCH / _PART rows of 256 KiB, whatever the input
         sketch[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["counts"], np.uint32)
     context = spark.sparkContext
 
     # steps 1 and 2: entries of blocks with more than one class, with the block's smallest class
     entries = rows.select("__text").mapInArrow(_prefixes(words, percent, context.broadcast(sketch)), "h long, name long, n int, place int")
     block = Window.partitionBy("h")
-    entries = entries.repartition("h").dropDuplicates(["h", "name"]).withColumns({"hub": F.min("name").over(block), "last": F.max("name").over(block)})
+    entries = entries.repartition("h").dropDuplicates(["h", "name"])
+    # shingles that the same classes have (a passage, say) are one block: its name is made from its classes
+    x = F.struct(F.bit_xor(F.xxhash64("name")).over(block), F.bit_xor(F.xxhash64("name", F.lit(1))).over(block))
+    entries = entries.withColumns({"hub": F.min("name").over(block), "last": F.max("name").over(block), "block": F.xxhash64(x)})
     entries = space.save(entries.filter("hub <> last").drop("last"), "entries")
+    blocks = entries.groupBy("block", "name").agg(F.min("hub").alias("hub"), F.max("n").alias("n"), F.min("place").alias("place"))
+    blocks = space.save(blocks, "blocks")
 
-    # whole sets of the classes that share a block with another
     classes = profile.filter("n > 0").groupBy("name").agg(F.min("__id").alias("first"), F.max("n").alias("n"))
-    wanted = space.save(classes.filter("first is not null").join(entries.select("name").distinct(), "name", "left_semi"), "wanted")
-    bits = context.broadcast(S.bitmap(wanted, S.slots("first")))
-    sets = rows.withColumn("__slot", F.coalesce(S.slots("__id"), F.lit(0))).mapInArrow(_sets(words, bits), "__id long, shingles binary")
-    sets = sets.join(wanted.select(F.col("first").alias("__id"), "name"), "__id").dropDuplicates(["name"]).select("name", "shingles")
-    sets = space.save(sets, "sets")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
+    # the part of each class's prefix that others share: what a pair has in common there bounds its overlap
+    parts = entries.groupBy("name").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("h")).alias("part"))
+    parts = space.save(parts, "parts")
+
+    def linked(pairs: DataFrame, step: str) -> DataFrame:
+        """The pairs (a, b) that reach the threshold: first by the bound, then by the whole sets."""
+        left, right = (parts.select(F.col("name").alias(k), F.col("n").alias("n" + k), F.col("part").alias("p" + k)) for k in "ab")
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        # shared shingles lie in both prefixes, or behind the end of the prefix that ends first
+        behind = f"greatest(-floor(-{percent} * na / 100) - 1, -floor(-{percent} * nb / 100) - 1)"
+        able = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * (size(array_intersect(pa, pb)) + {behind}) >= {percent} * (na + nb)"
+        able = space.save(both.filter(F.expr(able)).select("a", "b"), f"able-{step}")
+        names = able.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        wanted = space.save(classes.filter("first is not null").join(names, "name", "left_semi").select("name", F.col("first").alias("__id")), f"wanted-{step}")
+        bits = context.broadcast(S.bitmap(wanted, S.slots("__id")))
+        sets = rows.withColumn("__slot", F.coalesce(S.slots("__id"), F.lit(0))).mapInArrow(_sets(words, bits), "__id long, shingles binary")
+        sets = space.save(sets.join(wanted.hint("merge"), "__id").dropDuplicates(["name"]).select("name", "shingles"), f"sets-{step}")
         left, right = (sets.select(F.col("name").alias(k), F.col("shingles").alias("s" + k)) for k in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        return space.save(both.mapInArrow(_overlap(percent), "a long, b long"), name)
+        full = able.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
+        return space.save(full.mapInArrow(_overlap(percent), "a long, b long"), f"links-{step}")
 
     # step 3
-    star = entries.filter("name <> hub").select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct()
-    links = linked(star, "links-1")
+    # a class tries the HUBS classes that lead most of its shingles; step 4 makes every other pair that is not settled then
+    led = entries.filter("name <> hub").groupBy("name", "hub").agg(F.count(F.lit(1)).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
+    star = led.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("name").alias("b"))
+    star = space.save(star, "star")
+    links = linked(star, "1")
     label = S.components(links, space, "labels-1")
 
     # step 4
-    marked = entries.join(label, entries["name"] == label["node"], "left").select("h", "name", "n", "place", F.coalesce("label", "name").alias("label"))
-    open_blocks = marked.withColumns({"lo": F.min("label").over(block), "hi": F.max("label").over(block)}).filter("lo <> hi").drop("lo", "hi")
+    marked = blocks.join(label.hint("merge"), blocks["name"] == label["node"], "left").select("block", "name", "n", "place", F.coalesce("label", "name").alias("label"))
+    of_block = Window.partitionBy("block")
+    open_blocks = marked.withColumns({"lo": F.min("label").over(of_block), "hi": F.max("label").over(of_block)}).filter("lo <> hi").drop("lo", "hi")
     open_blocks = space.save(open_blocks, "open")
     x, y = open_blocks.alias("x"), open_blocks.alias("y")
-    need = f"{percent} * (x.n + y.n)"  # overlap * (100 + percent) is at least this
-    bound = "(1 + least(x.n - x.place, y.n - y.place) - 1 + least(x.place, y.place))"
+    # a pair is looked for at the first shingle that both have: all that they share lies from there on
+    bound = "least(x.n - x.place, y.n - y.place)"
     pairs = x.join(
         y,
         F.expr(
-            f"x.h = y.h and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-            f" and {100 + percent} * {bound} >= {need}"
+            f"x.block = y.block and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+            f" and {100 + percent} * {bound} >= {percent} * (x.n + y.n)"
         ),
     )
     pairs = pairs.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
-    more = linked(pairs.join(star, ["a", "b"], "left_anti"), "links-2")
+    more = linked(pairs.join(star, ["a", "b"], "left_anti"), "2")
     label = S.components(links.unionByName(more), space, "labels-2")
 
     # back to documents
-    named = classes.join(label, classes["name"] == label["node"], "left").select("name", "first", F.coalesce("label", "name").alias("label"))
+    named = classes.join(label.hint("merge"), classes["name"] == label["node"], "left").select("name", "first", F.coalesce("label", "name").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component"))
     found = named.join(smallest, "label").select(F.col("name").alias("c"), "component")
-    out = profile.join(found, (profile["name"] == F.col("c")) & (profile["n"] > 0), "left")
+    out = profile.join(found.hint("merge"), (profile["name"] == F.col("c")) & (profile["n"] > 0), "left")
     return out.select(
         F.col("__id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id")
     )
