@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Characters that a pre-token's choice looks at beyond its start at least ('ll, 're, 've), or beyond its end (one).
 _LOOKS = 3
 
@@ -87,6 +89,7 @@ def encode(
     """
     if not 0 < overlap <= chunk_chars:
         raise ValueError("overlap must be between 1 and chunk_chars")
+    small_batches(docs.sparkSession)
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))

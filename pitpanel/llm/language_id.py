@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
@@ -58,6 +60,7 @@ def fit(labelled: DataFrame, train_docs: int = 3_000, bits: int = 16, id_col: st
     Null texts, null languages and texts without a letter teach nothing. No rows:
     a model without languages, which predicts ``und``.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(labelled[id_col].alias("__id"), labelled[text_col].alias("__text"), labelled[lang_col].cast("string").alias("__lang"))
     rows = rows.filter("__lang is not null and __text rlike '\\\\p{L}'")
     sizes = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -99,6 +102,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     ``docs`` with one of these two names is replaced; all others stay.
     """
     langs, bits = model["langs"], model["bits"]
+    small_batches(docs.sparkSession)
     # buckets by languages: the values of one n-gram lie side by side
     held = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(model["matrix"].T), model["prior"]))
 
@@ -107,7 +111,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 sums = np.tile(prior, (len(texts), 1))
                 for row, codes in _blocks(texts):
                     for b in _buckets(codes, bits):
@@ -122,12 +126,12 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                     conf.append(float(1 / likely[k].sum()) if known else 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names)
 
-    kept = docs.drop("lang_pred", "score")
-    names = [*kept.columns, "__text", "lang_pred", "score"]
+    kept = docs.drop("lang_pred", "score").withColumn(text_col, docs[text_col].cast("string"))
+    at, names = kept.columns.index(text_col), [*kept.columns, "lang_pred", "score"]
     from pyspark.sql import types as T
 
-    fields = [*kept.schema.fields, T.StructField("__text", T.StringType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return kept.withColumn("__text", kept[text_col].cast("string")).mapInArrow(score, T.StructType(fields)).drop("__text")
+    fields = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return kept.mapInArrow(score, T.StructType(fields))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -132,17 +132,18 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d, text, gone) to (d, text without the lines numbered in gone, n_lines, n_removed)."""
-    for batch in batches:
-        texts, n, m = [], [], []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            drop = set(gone or ())
-            n.append(sum(1 for x in lines if x.strip()))
-            m.append(len(drop))
-            texts.append(text if not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["d", "text", "n_lines", "n_removed"]
-        )
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch, texts, n, m = whole.slice(at, 256), [], [], []
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                drop = set(gone or ())
+                n.append(sum(1 for x in lines if x.strip()))
+                m.append(len(drop))
+                texts.append(text if not drop else "\n".join(x for k, x in enumerate(lines) if k not in drop))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["d", "text", "n_lines", "n_removed"]
+            )
 
 
 def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, least_chars: int = 20) -> DataFrame:

@@ -41,11 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
+#: Rows handed to Python at once: texts are long, and a worker holds a batch in and out.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays.
+
+    It holds for the session from then on, since plans read it when they run.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Workspace:
     """Tables and files of one operator call, below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._hadoop(self.path).deleteOnExit(self._path(self.path))
 
@@ -126,7 +141,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes each: work arrays stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -244,5 +259,6 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
         large = large.filter("u <> v").distinct()
         small = large.withColumn("m", F.min("v").over(at_u))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = space.save(small.select("e.u", "e.v").filter("u <> v").distinct(), f"{name}-{step}")
+        # links never grow in number: so few files hold them
+        now = space.save(small.select("e.u", "e.v").filter("u <> v").distinct().coalesce(1 + 2 * said[0] // 200_000), f"{name}-{step}")
         space.drop(f"{name}-{step - 1}")
