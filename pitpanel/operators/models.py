@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import composite, metric_vector
+from .metrics import auc_ap, brier, composite, ece
 
 
 def prevalence(train: DataFrame, valid: DataFrame) -> DataFrame:
@@ -84,11 +84,15 @@ def search_c(train: DataFrame, features: Sequence[str], grid: Sequence[float], i
     """
     parts = []
     for f in range(1, k + 1):
-        fit, check = train.filter(F.col(inner) != f), train.filter(F.col(inner) == f)
+        fit, check = _prepare(train.filter(F.col(inner) != f), features), _prepare(train.filter(F.col(inner) == f), features)
+        fit = fit.persist()
+        n = fit.count()
         for c in grid:
-            parts.append(fit_logistic(fit, check, features, c).withColumns({"c": F.lit(float(c)), "fold": F.lit(f)}))
-    vector = metric_vector(reduce(DataFrame.unionByName, parts), ["c", "fold"])
-    mean = vector.withColumn("score", composite(F.col("auc"), F.col("brier"), F.col("ece_uniform"))).groupBy("c").agg(F.avg("score").alias("mean_score"))
+            parts.append(score(logistic(features, c, n).fit(fit), check, "logistic").withColumns({"c": F.lit(float(c)), "fold": F.lit(f)}))
+        fit.unpersist()
+    scored, keys = reduce(DataFrame.unionByName, parts).persist(), ["c", "fold"]
+    each = auc_ap(scored, keys).join(brier(scored, keys), keys).join(ece(scored, keys, name="ece_uniform"), keys)
+    mean = each.withColumn("score", composite(F.col("auc"), F.col("brier"), F.col("ece_uniform"))).groupBy("c").agg(F.avg("score").alias("mean_score"))
     return mean.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("mean_score", "c")))  # a row for each c
 
 
