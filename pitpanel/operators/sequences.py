@@ -56,9 +56,13 @@ def row_moments(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame
     """``df`` with std (sample), mean, skew, kurt over the columns of a row that are not null."""
     v = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
     rows = df.withColumn("__v", v)
+    rows = rows.withColumn("__m", F.aggregate("__v", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("__v").cast("double"), F.lit(0.0)))
+    # power sums around the mean: nothing cancels; equal values are exactly 0
+    flat = F.array_max("__v") == F.array_min("__v")
+    rows = rows.withColumn("__v", F.transform("__v", lambda x: F.when(flat, 0.0).otherwise(x - F.col("__m"))))
     power = lambda k: F.aggregate("__v", F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(k)))
     rows = rows.withColumns({"__n": F.size("__v").cast("double"), **{f"__{k}": power(k) for k in (1, 2, 3, 4)}})
-    return _from_sums(rows, prefix).drop("__v", "__n", "__1", "__2", "__3", "__4")
+    return _from_sums(rows, prefix).withColumn(f"{prefix}_mean", F.col("__m")).drop("__v", "__m", "__n", "__1", "__2", "__3", "__4")
 
 
 def _from_sums(rows: DataFrame, prefix: str) -> DataFrame:

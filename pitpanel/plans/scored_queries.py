@@ -249,12 +249,12 @@ _MOM = ["l_quantity", "l_discount", "l_tax", "x"]
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([l_quantity, l_discount * 100, l_tax * 100, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber AS DOUBLE) END]) AS v, l_extendedprice FROM lineitem)
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([l_quantity, round(l_discount * 100, 6), round(l_tax * 100, 6), CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber AS DOUBLE) END]) AS v, l_extendedprice FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(stddev_samp(v), 4) AS m_std, round(avg(v), 4) AS m_mean, CASE WHEN count(v) >= 3 THEN CASE WHEN max(v) = min(v) THEN 0 ELSE round(skewness(v), 4) + 0.0 END END AS m_skew, CASE WHEN count(v) >= 4 THEN CASE WHEN max(v) = min(v) THEN 0 ELSE round(kurtosis(v), 4) + 0.0 END END AS m_kurt FROM r GROUP BY ALL"""
 )
 def row_moments(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", (F.col("l_discount") * 100).alias("dd"), (F.col("l_tax") * 100).alias("t"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.round(F.col("l_discount") * 100, 6).alias("dd"), F.round(F.col("l_tax") * 100, 6).alias("t"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber").cast("double")).alias("x"),
     )
     out = S.row_moments(rows, ["l_quantity", "dd", "t", "x"], "m")
