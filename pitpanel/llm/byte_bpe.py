@@ -4,10 +4,12 @@ Texts of at most ``chunk_chars`` characters are one chunk. Longer ones are cut
 by Spark into chunks that overlap; the chunks are dealt over all tasks and
 pre-tokenised there from their first character, although that may lie within a
 pre-token. Two neighbours are stitched at the first boundary that both see in
-their overlap: a pre-token depends only on the text from its start on, so from a
-common boundary on they agree. The pieces between the stitches are then encoded
-on their own, in parallel. Should two neighbours have no common boundary (one
-pre-token longer than the overlap), the text is one piece.
+their overlap and that does not follow white space: a pre-token depends only on
+the text from its start on, so from a common boundary on they agree. The pieces
+between the stitches are then encoded on their own, in parallel; only a run of
+white space looks at what follows it, and no piece but the last ends with one.
+Should two neighbours have no such boundary (one pre-token longer than the
+overlap), the text is one piece.
 """
 
 from __future__ import annotations
@@ -53,12 +55,12 @@ def _encode(ranks_path: str, pattern: str):
 
 
 def _boundaries(pattern: str, chunk: int, overlap: int):
-    """head, tail: starts of pre-tokens in the overlap with the chunk before and after, as positions in the text."""
+    """head, tail: starts of pre-tokens in the overlap with the chunk before and after, as positions in the text; in tail not those behind white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).finditer
+        find, space = regex.compile(pattern).finditer, regex.compile(r"\s").match
         for batch in batches:
             head, tail = [], []
             for text, first, last in zip(*(batch.column(n).to_pylist() for n in ("__text", "__first", "__last")), strict=True):
@@ -66,7 +68,8 @@ def _boundaries(pattern: str, chunk: int, overlap: int):
                 if not last:  # the end of the text is not in sight
                     starts = starts[starts + _LOOKS <= len(text)]
                 head.append(starts[starts < overlap] + first)
-                tail.append(starts[starts >= chunk] + first)
+                late = starts[starts >= chunk]
+                tail.append(late[[space(text, s - 1) is None for s in late.tolist()]] + first)
             cols = [pa.array(x, pa.list_(pa.int64())) for x in (head, tail)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "__head", "__tail"])
 

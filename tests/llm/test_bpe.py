@@ -42,6 +42,14 @@ def test_chunks_give_the_ids_of_the_whole_text(spark, enc, chunk, overlap):
     assert got == sorted(want)
 
 
+def test_chunks_that_end_right_behind_white_space(spark, enc):
+    runs = [" \xa0", "\n \u2003", "\n\n", "\t\u3000", "  ", "\r\n"]
+    texts = ["a" * n + run + "x" + "b" * 9 + " c" * 40 for run in runs for n in range(20, 40)] + ["a" * 30 + " \xa0" * 60 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in byte_bpe.encode(docs, chunk_chars=32, overlap=12).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_encode_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.encode(docs).count() == 0
