@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from .sequences import missing_count
 TIMING = ["Age", "TestDate_year", "TestDate_month", "YearMonthIndex"]
 
 
-def swap_history(matrix: DataFrame, new: DataFrame, key: str = "row_id", count: str = "isna_sum") -> DataFrame:
+def swap_history(matrix: DataFrame, new: DataFrame, key: str | Sequence[str] = "row_id", count: str = "isna_sum") -> DataFrame:
     """``matrix`` with the history columns of ``new``; the missing count keeps the other columns' part."""
+    keys = [key] if isinstance(key, str) else list(key)
     base = matrix.withColumn(count, F.col(count) - missing_count(FEATURES)).drop(*FEATURES)
-    out = base.join(new.select(key, *FEATURES), key, "left")
+    out = base.join(new.select(*keys, *FEATURES), keys, "left")
     return out.withColumn(count, F.col(count) + missing_count(FEATURES))
 
 

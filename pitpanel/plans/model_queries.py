@@ -8,7 +8,7 @@ from ..operators import history as H
 from ..operators import models as ML
 from ..operators import splits
 from ..sources.fixtures import PANEL, panel
-from .panel_queries import TRAIN, VALID, rounded
+from .panel_queries import _ENTITY, TRAIN, VALID, rounded
 from .registry import query
 
 HISTORY = ["prev_ab_YearMonthIndex_mean", "prev_ab_all_label_mean", "prev_ab_all_label_sum", "other_test_Test_id_count", "other_test_Label_mean"]
@@ -84,6 +84,23 @@ def factorial(spark, d):
     return out
 
 
+@query(
+    f"""WITH {PANEL}{_ENTITY}, v AS (SELECT CAST(fold AS INT) AS fold, count(*) AS n FROM g GROUP BY ALL), m(condition) AS (VALUES ('no_history'), ('self_history'))
+    SELECT fold, condition, n, CAST(0 AS BIGINT) AS bad FROM m, v"""
+)
+def factorial_all(spark, d):
+    """``factorial`` with each of the five folds fitted and scored."""
+    each = H.explode_folds(splits.grouped(panel(spark, d)), "fold", 5)
+    h = H.fold_history(each, each, ["fold", "role"]).select("row_id", "label", "fold", "role", *FEATURES).persist()
+    out = None
+    for fold in range(1, 6):
+        a, b = (h.filter((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "valid"))
+        for name, columns in (("no_history", ["amount", "ym_index"]), ("self_history", FEATURES)):
+            s = _summary(ML.fit_logistic(a, b, columns)).select(F.lit(fold).alias("fold"), F.lit(name).alias("condition"), "n", "bad")
+            out = s if out is None else out.unionByName(s)
+    return out
+
+
 @query(_COUNT + " SELECT CAST(least(n, 50) AS BIGINT) AS n, CAST(0 AS BIGINT) AS off FROM v")
 def shap_additivity(spark, d):
     """Permutation attributions of a sample of validation rows: the sum over features is the score less the background's."""

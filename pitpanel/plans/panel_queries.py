@@ -86,6 +86,13 @@ def hist_self_valid(spark, d):
     return rounded(H.fold_history(v, v).select("row_id", *H.FEATURES))
 
 
+@query(_hist("fold row_id", _ALL, "v", "v", " AND s.fold = t.fold", _ENTITY + ", v AS (SELECT * EXCLUDE fold, CAST(fold AS INT) AS fold FROM g)"))
+def hist_self_valid_all(spark, d):
+    """``hist_self_valid`` for the validation rows of all five folds."""
+    v = splits.grouped(panel(spark, d))
+    return rounded(H.fold_history(v, v, ["fold"]).select("fold", "row_id", *H.FEATURES))
+
+
 _ROLE = ", r AS (SELECT *, CASE WHEN period // 100 <= 1999 THEN 'train' ELSE 'valid' END AS role FROM panel WHERE period // 100 BETWEEN 1995 AND 2001)"
 
 
@@ -181,6 +188,22 @@ def missing_count_swap(spark, d):
     return swap_history(base, new, "row_id").select("row_id", "isna_sum")
 
 
+@query(
+    f"""WITH {PANEL}{_EACH}, h AS (SELECT t.fold, t.row_id, t.amount, count(s.row_id) AS n, count(s.row_id) FILTER (WHERE s.side = t.side) AS n1, count(s.row_id) FILTER (WHERE s.side <> t.side) AS n2
+      FROM e t LEFT JOIN src s ON s.entity = t.entity AND s.period < t.period AND s.fold = t.fold GROUP BY ALL)
+    SELECT fold, row_id, CAST((amount IS NULL)::INT + CASE WHEN n = 0 THEN 6 WHEN n = 1 THEN 2 ELSE 0 END + CASE WHEN n1 = 0 THEN 6 WHEN n1 = 1 THEN 2 ELSE 0 END + CASE WHEN n2 = 0 THEN 4 WHEN n2 = 1 THEN 1 ELSE 0 END AS INT) AS isna_sum FROM h"""
+)
+def missing_count_swap_all(spark, d):
+    """``missing_count_swap`` for all five folds: every row once in each of them."""
+    from ..operators.features import swap_history
+    from ..operators.sequences import missing_count as missing
+
+    p = splits.stratified(panel(spark, d))
+    base = H.fold_history(p, p).withColumn("isna_sum", missing(["amount", *H.FEATURES]))
+    base = base.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return swap_history(base, H.fold_isolated(p), ["fold", "row_id"]).select("fold", "row_id", "isna_sum")
+
+
 @query(_MISS + " SELECT row_id, round(amount, 6) AS amount, CAST((amount IS NULL)::INT AS INT) AS isna_sum FROM m")
 def no_history_features(spark, d):
     from ..operators.features import without_history
