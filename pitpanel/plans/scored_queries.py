@@ -116,31 +116,58 @@ _DELTA = f"{_auc('replicate, model', 'wl', 'w')}, dl AS (SELECT replicate, max(a
 
 @query(f"WITH {SCORED}, {_WEIGHTS} SELECT entity, replicate, w FROM w")
 def bootstrap_weights(spark, d):
-    return M.poisson_weights(scored_long(spark, d))
+    return M.poisson_weights(scored_long(spark, d), 20)
 
 
 @query(f"WITH {SCORED}, {_WEIGHTS}, {_DELTA} SELECT replicate, model, round(auc, 6) AS auc, round(average_precision, 6) AS average_precision FROM auc")
 def bootstrap_weighted_auc_ap(spark, d):
     rows = scored_long(spark, d)
-    return rounded(M.weighted_auc_ap(rows, M.poisson_weights(rows)))
+    return rounded(M.weighted_auc_ap(rows, M.poisson_weights(rows, 20)))
 
 
 _OBS = _auc("model").replace("pts AS", "opts AS").replace("FROM pts", "FROM opts").replace("cum AS", "ocum AS").replace("FROM cum", "FROM ocum").replace("\n auc AS", "\n oauc AS")
 
 
-@query(
-    f"""WITH {SCORED}, {_WEIGHTS}, {_DELTA}, {_OBS}, x AS (SELECT replicate, unnest(['auc', 'average_precision']) AS metric, unnest([delta_auc, delta_average_precision]) AS v FROM dl),
+_SUMMARY = f"""WITH {SCORED}, {_WEIGHTS}, {_DELTA}, {_OBS}, x AS (SELECT replicate, unnest(['auc', 'average_precision']) AS metric, unnest([delta_auc, delta_average_precision]) AS v FROM dl),
     o AS (SELECT 'auc' AS metric, max(auc) FILTER (WHERE model = 'm2') - max(auc) FILTER (WHERE model = 'm1') AS observed FROM oauc
       UNION ALL SELECT 'average_precision', max(average_precision) FILTER (WHERE model = 'm2') - max(average_precision) FILTER (WHERE model = 'm1') FROM oauc)
     SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(max(observed), 6) AS observed FROM x JOIN o USING (metric) GROUP BY metric"""
-)
+
+
+@query(_SUMMARY)
 def bootstrap_summary(spark, d):
+    return _summary(spark, d, 20)
+
+
+def _summary(spark, d, replicates: int):
     rows, values = scored_long(spark, d), ["auc", "average_precision"]
-    deltas = M.paired_delta(M.weighted_auc_ap(rows, M.poisson_weights(rows)), ["replicate"], "model", "m1", "m2", values)
+    deltas = M.paired_delta(M.weighted_auc_ap(rows, M.poisson_weights(rows, replicates)), ["replicate"], "model", "m1", "m2", values)
     observed = M.paired_delta(M.auc_ap(rows, ["model"]), [], "model", "m1", "m2", values)
     return rounded(M.bootstrap_summary(deltas, observed, values))
 
 
+def _of_500(sql: str) -> str:
+    return sql.replace("range(1, 21)", "range(1, 501)")
+
+
+@query(_of_500(f"WITH {SCORED}, {_WEIGHTS} SELECT entity, replicate, w FROM w"))
+def bootstrap_weights_500(spark, d):
+    """``bootstrap_weights`` with the reference's number of replicates."""
+    return M.poisson_weights(scored_long(spark, d))
+
+
+@query(_of_500(f"WITH {SCORED}, {_WEIGHTS}, {_DELTA} SELECT replicate, model, round(auc, 6) AS auc, round(average_precision, 6) AS average_precision FROM auc"))
+def bootstrap_weighted_auc_ap_500(spark, d):
+    rows = scored_long(spark, d)
+    return rounded(M.weighted_auc_ap(rows, M.poisson_weights(rows)))
+
+
+@query(_of_500(_SUMMARY))
+def bootstrap_summary_500(spark, d):
+    """``bootstrap_summary`` with the reference's number of replicates, which its percentiles need."""
+    return _summary(spark, d, 500)
+
+
 @query(f"WITH {SCORED}, {_vector('model')} SELECT {', '.join(f'''round(max({c}) FILTER (WHERE model = 'm2') - max({c}) FILTER (WHERE model = 'm1'), 4) AS delta_{c}''' for c in ('auc', 'average_precision', 'brier', 'composite'))} FROM vec")
 def incremental_value(spark, d):
     v = M.metric_vector(scored_long(spark, d), ["model"])

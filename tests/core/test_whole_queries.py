@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "customer"):
+    for t in ("orders", "lineitem", "customer", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     out = E.queries()[name](spark, FOLDER)
     want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({E.oracle_sql()[name]})").fetchall()
@@ -37,3 +37,18 @@ def test_self_history_of_every_row(spark):
 
 def test_factorial_scores_every_fold(spark):
     assert {(r["fold"], r["condition"]) for r in equals_its_sql(spark, "factorial_all")} == {(f, c) for f in range(1, 6) for c in ("no_history", "self_history")}
+
+
+@pytest.mark.parametrize("name", ["bootstrap_weights_500", "bootstrap_weighted_auc_ap_500", "bootstrap_summary_500"])
+def test_bootstrap_draws_five_hundred_replicates(spark, name):
+    rows = equals_its_sql(spark, name)
+    if "replicate" in rows[0]:
+        assert {r["replicate"] for r in rows} == set(range(1, 501))
+    else:
+        assert all(r["low"] < r["mean"] < r["high"] for r in rows)
+
+
+def test_bootstrap_default_is_the_references(spark):
+    from pitpanel.operators import metrics
+
+    assert metrics.poisson_weights(spark.createDataFrame([(1,)], "entity long")).count() == 500
