@@ -77,6 +77,36 @@ def _postings(held, least: int):
     return run
 
 
+def _counts(held):
+    """(term, freq) of each slice of (id, text): how often its benchmark words occur."""
+    mask = np.uint64(S.BITMAP_BITS - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            for _, _, names, _ in word_names(batch.column(1)):
+                terms, n = np.unique(names[S.in_bitmap(bits, (names & mask).astype(np.int64))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "freq"])
+
+    return run
+
+
+def _places(held):
+    """(id, pos, term) of the words of (id, text) that the bitmap has."""
+    mask = np.uint64(S.BITMAP_BITS - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            for i, j, names, first in word_names(batch.column(1)):
+                at = np.flatnonzero(S.in_bitmap(bits, (names & mask).astype(np.int64)))
+                row = np.searchsorted(first, at, "right") - 1
+                ids = batch.column(0).slice(i, j - i).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((at - first[row]).astype(np.int64)), pa.array(names[at].view(np.int64))], ["__id", "pos", "term"])
+
+    return run
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches (id, key, start, end) of the alignments (id, key, run_start, shift, window, run, item)."""
     for batch in batches:
@@ -112,11 +142,12 @@ class Index:
         self.items = items.groupBy("key").agg(F.first("words").alias("words")).withColumn("window", F.least(F.size("words"), F.lit(window)))
         self.kind = "long"
         shortest = self.items.agg(F.min("window")).first()[0] or window
+        self.least = least or shortest
         terms = items.select(F.explode("words").alias("term"))
         bits = docs.sparkSession.sparkContext.broadcast(S.bitmap(terms, F.pmod("term", F.lit(S.BITMAP_BITS)).cast("int")))
         rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("__id"), docs[text_col].cast("string").alias("__text"))
         fields = f"__id {self.kind}, n_words long, starts array<int>, lengths array<int>, places array<int>, words array<long>"
-        self.stored = self.space.save(rows.mapInArrow(_postings(bits, least or shortest), fields), "postings")
+        self.stored = self.space.save(rows.mapInArrow(_postings(bits, self.least), fields), "postings")
         runs = self.stored.filter("size(starts) > 0").select("__id", "words", F.explode(F.arrays_zip("starts", "lengths", "places")).alias("r"))
         self.runs = runs.select("__id", F.col("r.starts").alias("run_start"), F.expr("slice(words, r.places + 1, r.lengths)").alias("run"))
         #: (id, run_start, pos, term) of every stored word
@@ -145,8 +176,11 @@ class Index:
     def near(self, terms: int = 3, within: int = 20) -> DataFrame:
         """(id, item_id): documents that have the item's ``terms`` rarest words (all, if it has fewer) within ``within`` words, in any order.
 
-        Words outside the stored stretches are not seen: build the index with ``least=1`` for all of them.
+        Words outside the stored stretches would not be seen, so the index must be built with ``least=1``. A word that
+        no document has counts as rarest: such an item matches nothing. ``proximity`` ranks only words that occur.
         """
+        if self.least > 1:
+            raise ValueError("proximity needs an index with least=1")
         distinct = self.words.groupBy("key", "term").agg(F.min("freq").alias("freq"))
         rank = F.row_number().over(Window.partitionBy("key").orderBy("freq", "term"))
         rare = distinct.withColumn("rank", rank).filter(F.col("rank") <= terms).withColumn("wanted", F.count(F.lit(1)).over(Window.partitionBy("key")))
@@ -187,6 +221,45 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, terms: int = 3, within: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row for each document: id, n_near (items near), items_sha256 (of their sorted ids).
+
+    An item is near if its ``terms`` rarest words among those that occur in any
+    document (all words of an item with fewer) lie within ``within`` words of the
+    document, in any order and with any words between them. An item of which
+    fewer words than that occur is near nowhere. Ids and nulls as in ``contamination``.
+
+    Two passes over the texts: the first counts the benchmark's words, the second
+    keeps the places of each item's rarest words alone.
+    """
+    space = S.Workspace(docs.sparkSession, "proximity")
+    spread = docs.sparkSession.sparkContext.broadcast
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item_id"), benchmark[item_text_col].cast("string").alias("text"))
+    items = items.mapInArrow(_words, "item_id string, words array<long>").filter("size(words) > 0")
+    items = space.save(items.withColumn("words", F.array_sort(F.array_distinct("words"))).withColumn("key", F.xxhash64("words")), "items")
+    named = items.select("item_id", "key").distinct()
+    words = items.groupBy("key").agg(F.first("words").alias("words")).select("key", F.least(F.size("words"), F.lit(terms)).alias("wanted"), F.explode("words").alias("term"))
+    bitmap = lambda t: spread(S.bitmap(t, F.pmod("term", F.lit(S.BITMAP_BITS)).cast("int")))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("__id"), docs[text_col].cast("string").alias("__text"))
+    counts = rows.mapInArrow(_counts(bitmap(words.select("term"))), "term long, freq long").groupBy("term").agg(F.sum("freq").alias("freq"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("freq", "term"))
+    rare = words.join(counts, "term").withColumn("rank", rank).filter("rank <= wanted")
+    rare = rare.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("found = wanted").select("key", "wanted", "term")
+    rare = space.save(rare, "rare")
+    at = rows.mapInArrow(_places(bitmap(rare.select("term"))), "__id long, pos long, term long").join(rare, "term")
+    frame = Window.partitionBy("__id", "key").orderBy("pos").rangeBetween(0, within - 1)
+    close = at.withColumn("met", F.size(F.collect_set("term").over(frame))).filter("met >= wanted").select("__id", "key").distinct()
+    near = close.join(named, "key").groupBy("__id").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumnRenamed("__id", "__near")
+    listed = F.coalesce("items", F.array().cast("array<string>"))
+    out = rows.select("__id").join(near, F.col("__id") == F.col("__near"), "left")
+    return out.select(F.nullif("__id", F.lit(_NO_ID)).alias(id_col), F.size(listed).cast("long").alias("n_near"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"))
+
+
+def op5_near(spark, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` near a place of each text of ``documents``, which ``op5`` does not look for."""
+    return proximity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (all columns) without those that hold a window of a benchmark item."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).filter("contaminated").select(F.col(id_col).alias("__bad")).distinct()

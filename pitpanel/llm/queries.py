@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.op3,
     "op4_simhash": simhash.op4,
     "op5_decontamination": decontamination.op5,
+    "op5_proximity": decontamination.op5_near,
     "op6_token_counts": token_counts.op6,
     "op7_url_reputation": url_reputation.op7,
     "op8_ngram_jaccard": ngram_jaccard.op8,

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from pitpanel.llm import decontamination as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -93,6 +96,54 @@ def test_near(spark):
     assert sorted((r.doc_id, r.item_id) for r in D.Index(d, b, least=1).near(3, 10).collect()) == [(1, "7"), (3, "7")]
 
 
+def near_by_brute_force(docs, items, terms, within):
+    import hashlib
+    from collections import Counter
+
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+    hashed = lambda w: next(D.word_names(pa.array([w])))[2].view("int64")[0]
+    freq = Counter(w for _, t in docs for w in split(t))
+    out = []
+    for i, t in docs:
+        words, near = split(t), set()
+        for item, text in items:
+            own = set(split(text))
+            rare = sorted((w for w in own if freq[w]), key=lambda w: (freq[w], hashed(w.decode())))[:terms]
+            if own and len(rare) == min(terms, len(own)) and any(set(rare) <= set(words[k : k + within]) for k in range(len(words))):
+                near.add(str(item))
+        out.append((i, len(near), hashlib.sha256(",".join(sorted(near)).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_proximity_sees_reordered_passages_that_windows_miss(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa nowhere"
+    docs = [
+        (1, "alpha x beta x gamma delta x epsilon x zeta eta x theta iota kappa"),
+        (2, "kappa iota theta eta zeta epsilon delta gamma beta alpha"),
+        (3, " x".join(item.split()[:10]).replace(" ", " x " * 30)),
+        (4, "nothing of it"),
+        (5, None),
+        (6, ""),
+    ]
+    items = [(7, item), (8, "theta iota"), (9, "nowhere else"), (10, ""), (11, "kappa KAPPA")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert all(r.n_hit <= 2 for r in D.contamination(d, b).collect())  # no more than the short item 8
+    out = sorted(tuple(r) for r in D.proximity(d, b).collect())
+    assert out == near_by_brute_force(docs, items, 3, 20)
+    assert [r[1] for r in out][:2] == [3, 3]
+    with pytest.raises(ValueError):
+        D.Index(d, spark.createDataFrame([(7, item)], "item_id long, text string")).near()
+
+
+def test_op5_proximity_on_the_small_tables(spark):
+    d = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    want = near_by_brute_force(docs, items, 3, 20)
+    assert any(x[1] for x in want)
+    assert sorted(tuple(r) for r in D.op5_near(spark, d).collect()) == want
+
+
 def test_op5_on_the_small_tables(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
