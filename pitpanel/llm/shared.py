@@ -6,12 +6,17 @@
 * :func:`bitmap` / :func:`in_bitmap` are a fixed-size prefilter: a bitmap of
   ``BITMAP_BITS`` bits however many keys it holds. It may let others pass, never
   drops a key, and is always followed by an exact join.
-* ``hash_*`` name byte strings in bulk with numpy.
+* Names of byte strings come in three strengths. :func:`span_names` are 64-bit
+  hashes of words and lines, :func:`exact_names` are sums modulo the prime 2**61 - 1
+  over any span: these two decide equality. :func:`span_hash` sums modulo 2**64 are
+  cheaper, but differ for some regular strings less often than chance would have it:
+  they choose and filter only, and what they let through is compared again.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,7 +26,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a prefilter bitmap (1 MiB), independent of the data.
@@ -37,8 +43,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a private folder only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """``spark.checkpoint.dir`` of the session; where it is unset, a private folder in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset on {master}: intermediate tables need a folder that all executors share")
+        folder = _own_folder()
+    return folder.rstrip("/")
 
 
 #: Rows handed to Python at once: texts are long, and a worker holds a batch in and out.
@@ -194,6 +206,83 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_CHUNKS = 4  # spans of up to so many 8-byte words are hashed in bulk
+
+
+def span_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans raw[start:end], whatever they hold.
+
+    Short spans are mixed eight bytes at a time, all at once; longer ones, few for
+    their bytes, go to xxHash one by one.
+    """
+    size = (end - start).astype(np.int64)
+    held = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    short = size <= 8 * _CHUNKS
+    todo = np.arange(len(size)) if short.all() else np.flatnonzero(short)
+    for k in range(_CHUNKS):
+        todo = todo[size[todo] > 8 * k]
+        if not len(todo):
+            break
+        left = np.minimum(size[todo] - 8 * k, 8).astype(np.uint64)
+        value = words[start[todo] + 8 * k] & (_TOP >> (np.uint64(64) - np.uint64(8) * left))
+        out[todo] = mix(out[todo] ^ mix(value + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)))
+    for i in np.flatnonzero(~short):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes(), 20240229)
+    return out
+
+
+#: The prime of exact names, and a fixed base and value for each byte drawn below it.
+_PRIME = (1 << 61) - 1
+_EXACT_BASE = 0x12D687E3A5C94B17 % _PRIME
+_EXACT_VALUES = np.random.Generator(np.random.PCG64(61)).integers(1, 1 << 31, 256).astype(np.uint64)
+_TOP, _P, _LOW31, _LOW30 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(_PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_U31, _U30, _U61, _TWO = np.uint64(31), np.uint64(30), np.uint64(61), np.uint64(2)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & _P) + (x >> _U61)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, up to one multiple of it; both below 2**61 + 8."""
+    a1, a0, b1, b0 = a >> _U31, a & _LOW31, b >> _U31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _fold(_fold(_TWO * (a1 * b1)) + (middle >> _U30) + ((middle & _LOW30) << _U31) + _fold(a0 * b0))
+
+
+@lru_cache(maxsize=2)
+def _prime_powers(size: int, inverse: bool) -> np.ndarray:
+    base, out, done = np.array([pow(_EXACT_BASE, -1 if inverse else 1, _PRIME)], np.uint64), np.ones(size, np.uint64), 1
+    while done < size:
+        step = np.array([pow(int(base[0]), done, _PRIME)], np.uint64)
+        more = _times(out[: min(done, size - done)], step)
+        out[done : done + len(more)] = np.where(more >= _P, more - _P, more)
+        done += len(more)
+    return out
+
+
+def exact_sums(raw: np.ndarray) -> np.ndarray:
+    """Running sums modulo 2**61 - 1 of the bytes' values times powers of a base."""
+    power = _prime_powers(1 << max(16, int(len(raw)).bit_length()), False)[: len(raw)]
+    value = _EXACT_VALUES[raw]
+    high = value * (power >> _U31)
+    term = _fold(_fold((high >> _U30) + ((high & _LOW30) << _U31)) + _fold(value * (power & _LOW31)))
+    out = np.zeros(len(raw) + 1, np.uint64)
+    top = np.cumsum(term >> _U31, dtype=np.uint64)
+    out[1:] = _fold((top >> _U30) + ((top & _LOW30) << _U31) + np.cumsum(term & _LOW31, dtype=np.uint64))
+    return out
+
+
+def exact_names(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the bytes of each span from their ``exact_sums``; spans of unequal length have names of their own."""
+    inverse = _prime_powers(1 << max(16, int(len(sums)).bit_length()), True)
+    x = _times(_fold(sums[end] + (_P + _P - sums[start])), inverse[start])
+    x = np.where(x >= _P, x - _P, x)
+    return mix(x + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def token_spans(raw: np.ndarray, is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of word bytes, and for each row the index of its first run.
 
@@ -248,16 +337,19 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     now, said, step = space.save(now, f"{name}-0"), None, 0
-    at_u = Window.partitionBy("u")
+
+    def least(links: DataFrame) -> DataFrame:
+        """``links`` with m, the smallest v of each u; the joins may split a node with many links."""
+        return links.join(links.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
+
     while True:
         print_now = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if print_now == said:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         said, step = print_now, step + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(at_u), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(at_u))
+        large = least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
+        small = least(large)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         # links never grow in number: so few files hold them
         now = space.save(small.select("e.u", "e.v").filter("u <> v").distinct().coalesce(1 + 2 * said[0] // 200_000), f"{name}-{step}")
