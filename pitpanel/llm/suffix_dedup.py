@@ -1,26 +1,26 @@
 """Suffix-array dedup (operator 10): remove bytes covered by long repeated strings.
 
-Distributed prefix doubling, begun late and on few positions. A suffix's rank
-among all suffixes by their first k bytes is replaced by the 64-bit name of those
+Distributed prefix doubling on the positions that can matter. A suffix's rank
+among all suffixes by their first k bytes is held as the 64-bit name of those
 bytes: names are equal exactly where ranks are, and only equality is asked for.
-Since a rolling sum names any k bytes at once, the doubling need not begin at one
-byte: it begins at half the length (200 bytes) and one more round gives 400.
-
-Round 1 names the first half of the suffixes at *anchors* only, the positions
-whose name is the least within ``length - half + 1`` neighbouring ones. Every
-string of ``length`` bytes has an anchor, the least name among the halves within
-it, and two equal strings have the same one. Spark sorts the (name, position)
-pairs; a string whose anchor's name occurs once cannot repeat.
-
-Round 2 takes the positions that are left, in stretches between anchors. The
-name of a whole stretch (its first ``length`` bytes from every position) is
-ranked first: a stretch that occurs twice is settled as a whole, and only its
-first copy goes on. The rest is expanded into pairs of position and name of
-``length`` bytes (the pair of the two halves' names), which Spark sorts again; a
-position whose name occurs twice starts a repeated string.
-
-Groups of equal names are never expanded into pairs, so copies of a document
-cost as much as their stretches, whatever their number.
+A round sorts pairs (rank at p, rank at p + k); the name of a pair is the rank by
+2k bytes. Positions whose rank is unique are resolved and leave the rounds.
+
+1. *Anchors.* The positions whose name of half the length (200 bytes) is the least
+   among ``length - half + 1`` neighbouring ones: every string of ``length`` bytes
+   holds one, and equal strings hold the same. Where no anchor's name occurs twice
+   nothing repeats, and such stretches (starts between two anchors) go no further.
+   Of the others, one that occurs twice as a whole is settled as a whole, and only
+   its first copy goes on; so copies of a document cost as much as their stretches.
+2. *Doubling.* In what is left, positions chosen by their own first bytes are
+   ranked by length/8 (50) bytes, then by pairs of ranks at offset 50 (100 bytes),
+   then 100 (200 bytes), until unique or past half the length. A start whose string
+   holds a unique one is unique itself: it is resolved.
+3. *The last round.* The starts left over are ranked by the pair of their halves
+   (200 bytes at p, 200 at p + 200). One whose pair occurs twice repeats.
+
+Names of step 2 only resolve; those of whole stretches and of step 3 decide, and
+are taken modulo the prime 2**61 - 1 (``exact_names``).
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: One position in so many is ranked in step 2.
+_EVERY = 16
 
 
 def _extreme(x: np.ndarray, width: int, fold) -> np.ndarray:
@@ -56,6 +57,20 @@ class _Text:
     def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return S.span_hash(self.sums, start, end)
 
+    def chosen(self, first: np.ndarray, last: np.ndarray, length: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending positions, chosen by the name of their ``unit`` bytes, within the strings that start in the ranges, and how many units follow there (4 at most)."""
+        change = np.zeros(self.n + 1, np.int32)
+        np.add.at(change, first, 1)
+        np.add.at(change, last + length, -1)
+        inside = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, size = edge[0::2], edge[1::2] - edge[0::2]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        units = np.minimum((np.repeat(edge[1::2], size) - at) // unit, 4)
+        at, units = at[units > 0], units[units > 0]
+        own = self.names(at, at + unit) % np.uint64(_EVERY) == 0
+        return at[own], units[own]
+
     def anchors(self, length: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ascending anchor positions, their names, and for each start of a string the name of its anchor.
 
@@ -121,7 +136,7 @@ def _round2a(length: int, half: int):
             for i, key in enumerate(batch.column(0).to_pylist()):
                 text = _Text(raw[off[i] : off[i + 1]])
                 start, end = _stretches(text, batch.column(2)[i].values.to_numpy().view(np.uint64), length, half)
-                name = text.names(start, end + length).view(np.int64)
+                name = S.exact_names(S.exact_sums(raw[off[i] : off[i + 1]]), start, end + length).view(np.int64)
                 order = np.argsort(name, kind="stable")
                 found, n = np.unique(name, return_counts=True)
                 for into, x in ((keys, np.full(len(found), key, np.int64)), (names, found), (sizes, n), (firsts, start[order].astype(np.int32)), (lasts, end[order].astype(np.int32))):
@@ -134,8 +149,29 @@ def _round2a(length: int, half: int):
     return run
 
 
-def _round2b(length: int):
-    """Rows (name, key, at, asks) of every position of the stretches of (key, text, firsts, lasts, asks)."""
+def _ranked(length: int, unit: int):
+    """Rows (key, at, r0, r1, r2, r3): ranks of four units from each chosen position of (key, text, firsts, lasts, asks) on, null beyond the strings that are open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "at", "r0", "r1", "r2", "r3"]
+        for batch in batches:
+            raw, off = S.utf8(batch.column(1))
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                text = _Text(raw[off[i] : off[i + 1]])
+                at, units = text.chosen(*(batch.column(c)[i].values.to_numpy().astype(np.int64) for c in (2, 3)), length, unit)
+                if len(at):
+                    ranks = []
+                    for k in range(4):
+                        start = np.where(units > k, at + k * unit, 0)
+                        ranks.append(pa.array(text.names(start, start + unit).view(np.int64), mask=units <= k))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32)), *ranks], names)
+
+    return run
+
+
+def _last_round(length: int):
+    """Rows (name, key, at, asks) of the starts of (key, text, firsts, lasts, asks, at, size) whose strings hold no unique span (at, size)."""
+    half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["name", "key", "at", "asks"]
@@ -144,11 +180,22 @@ def _round2b(length: int):
             out: list[list[np.ndarray]] = [[], [], [], []]
             held = 0
             for i, key in enumerate(batch.column(0).to_pylist()):
-                text = _Text(raw[off[i] : off[i + 1]])
                 first, last, asks = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3, 4))
                 n = (last - first + 1).astype(np.int64)
                 at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                for k, x in enumerate((text.names(at, at + length).view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32), np.repeat(asks, n))):
+                asks = np.repeat(asks, n)
+                if batch.column(5)[i].is_valid:
+                    span, size = (batch.column(c)[i].values.to_numpy().astype(np.int64) for c in (5, 6))
+                    change = np.zeros(off[i + 1] - off[i] + 1, np.int32)
+                    np.add.at(change, np.maximum(span + size - length, 0), 1)
+                    np.add.at(change, span + 1, -1)
+                    left = (np.cumsum(change) <= 0)[at]
+                    at, asks = at[left], asks[left]
+                if not len(at):
+                    continue
+                sums = S.exact_sums(raw[off[i] : off[i + 1]])
+                pair = S.exact_names(sums, at, at + half) * np.uint64(0x9FB21C651E98DF25) + S.exact_names(sums, at + half, at + length)
+                for k, x in enumerate((S.mix(pair).view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32), asks)):
                     out[k].append(x)
                 held += len(at)
                 if held > 200_000:
@@ -160,6 +207,27 @@ def _round2b(length: int):
     return run
 
 
+def _resolved(going: DataFrame, space: S.Workspace, length: int) -> DataFrame | None:
+    """(key, spans, sizes): unique strings within the starts of (key, text, firsts, lasts, asks), by doubling; None for short lengths."""
+    unit = length // 8
+    if not unit:
+        return None
+    ranked = space.save(going.mapInArrow(_ranked(length, unit), "key long, at int, r0 long, r1 long, r2 long, r3 long"), "ranked")
+    found = None
+    for n in (1, 2, 4):
+        rank = [f"r{k}" for k in range(n)]
+        groups = ranked.filter(f"r{n - 1} is not null").groupBy(*rank).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("at").alias("at"))
+        if n < 4:
+            groups = space.save(groups.select("n", "key", "at", *rank), f"groups-{n}")
+        unique = groups.filter("n = 1").select("key", "at", F.lit(n * unit).alias("size"))
+        found = unique if found is None else found.unionByName(unique)
+        if n < 4:  # only positions that are not unique yet are ranked by the next pair
+            again = groups.filter("n > 1").select(*rank)
+            ranked = ranked.join(again.hint("merge"), rank, "left_semi")
+    held = found.groupBy("key").agg(F.collect_list(F.struct("at", "size")).alias("s"))
+    return held.select("key", F.col("s.at").alias("spans"), F.col("s.size").alias("sizes"))
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, n_bytes, n_removed, n_spans, kept) of (id, text, starts, ends): runs of bytes to remove."""
     for batch in batches:
@@ -211,11 +279,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     rows = rows.withColumn("key", F.xxhash64("__id", "__text"))
     long = rows.filter(F.octet_length("__text") >= length)
 
-    # round 1: names of anchors that occur more than once
-    anchors = long.select("key", "__text").mapInArrow(_round1(length, half), "key long, name long, twice boolean")
-    at_name = Window.partitionBy("name")
-    again = anchors.withColumn("n", F.count(F.lit(1)).over(at_name) + F.max(F.col("twice").cast("int")).over(at_name)).filter("n > 1")
+    # step 1: names of anchors that occur more than once
+    anchors = space.save(long.select("key", "__text").mapInArrow(_round1(length, half), "key long, name long, twice boolean"), "anchors")
+    twice = anchors.groupBy("name").agg((F.count(F.lit(1)) + F.max(F.col("twice").cast("int"))).alias("n")).filter("n > 1").select("name")
+    again = anchors.join(twice.hint("merge"), "name")
     repeated = space.save(again.groupBy("key").agg(F.collect_set("name").alias("repeated")), "repeated")
+    space.drop("anchors")
 
     # the documents with such an anchor
     bits = spark.sparkContext.broadcast(S.bitmap(repeated, S.slots("key")))
@@ -224,16 +293,25 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     some = slotted.filter(F.octet_length("__text") >= length).mapInArrow(_only(bits), f"slot int, key long, __id {kind}, __text string")
     texts = space.save(some.select("key", "__text").join(repeated, "key"), "texts")
 
-    # round 2: whole stretches, then positions
+    # stretches as a whole: of equal ones the first place of the first document goes on
     stretches = texts.select("key", "__text", "repeated").mapInArrow(_round2a(length, half), "key long, name long, firsts array<int>, lasts array<int>")
-    ranked = stretches.withColumns({"n": F.sum(F.size("firsts")).over(at_name), "rank": F.row_number().over(at_name.orderBy("key"))})
-    ranked = space.save(ranked.select("key", "firsts", "lasts", (F.col("n") > 1).alias("settled"), (F.col("rank") == 1).alias("leads")), "stretches")
-    # of equal stretches the first place of the first document goes on
-    lead = ranked.filter("leads").select("key", F.col("firsts")[0].alias("first"), F.col("lasts")[0].alias("last"), (~F.col("settled")).alias("asks"))
-    going = lead.groupBy("key").agg(F.collect_list(F.struct("first", "last", "asks")).alias("s"))
+    stretches = space.save(stretches, "stretches")
+    lead = stretches.groupBy("name").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("key", F.col("firsts")[0].alias("first"), F.col("lasts")[0].alias("last"))).alias("l"))
+    lead = space.save(lead.select("name", (F.col("n") > 1).alias("settled"), "l.*"), "leads")
+    going = lead.groupBy("key").agg(F.collect_list(F.struct("first", "last", (~F.col("settled")).alias("asks"))).alias("s"))
     going = going.select("key", F.col("s.first").alias("firsts"), F.col("s.last").alias("lasts"), F.col("s.asks").alias("asks"))
-    positions = texts.select("key", "__text").join(going, "key").mapInArrow(_round2b(length), "name long, key long, at int, asks boolean")
-    met = positions.withColumn("n", F.count(F.lit(1)).over(at_name)).filter("asks and n > 1").select("key", "at")
+    going = space.save(texts.select("key", "__text").join(going, "key"), "going")
+    settled = stretches.join(lead.filter("settled").select("name").hint("merge"), "name", "left_semi").select("key", "firsts", "lasts")
+    space.drop("texts")
+
+    # steps 2 and 3
+    resolved = _resolved(going, space, length)
+    none = F.lit(None).cast("array<int>")
+    left = going.withColumns({"spans": none, "sizes": none}) if resolved is None else going.join(resolved.hint("merge"), "key", "left")
+    positions = left.mapInArrow(_last_round(length), "name long, key long, at int, asks boolean")
+    positions = space.save(positions, "positions")
+    twice = positions.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    met = positions.filter("asks").join(twice.hint("merge"), "name", "left_semi").select("key", "at")
     # neighbouring starts of a document become one run of bytes
     by_key = Window.partitionBy("key")
     first = F.when(F.col("at") - F.lag("at").over(by_key.orderBy("at")) <= length, 0).otherwise(1)
@@ -241,10 +319,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     runs = runs.withColumn("run", F.sum("new").over(by_key.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("key", "run").agg(F.min("at").alias("first"), F.max("at").alias("last")).select("key", "first", "last")
     each = F.explode(F.arrays_zip("firsts", "lasts")).alias("x")
-    covered = ranked.filter("settled").select("key", each).select("key", F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last")).unionByName(runs)
+    covered = settled.select("key", each).select("key", F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last")).unionByName(runs)
     gone = covered.groupBy("key").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e"))).alias("r"))
     gone = space.save(gone.select("key", F.col("r.s").alias("starts"), F.col("r.e").alias("ends")), "gone")
-    space.drop("texts", "stretches")
+    space.drop("stretches", "leads", "going", "ranked", "groups-1", "groups-2", "positions")
 
     # only documents that lose bytes meet their runs
     bits = spark.sparkContext.broadcast(S.bitmap(gone, S.slots("key")))
