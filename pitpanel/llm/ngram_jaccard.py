@@ -1,24 +1,28 @@
 """N-gram Jaccard join (operator 8).
 
 The document by shingle incidence is multiplied with its transpose block by
-block, only where a pair can still reach the threshold:
+block, only where a pair can still reach the threshold; Spark sums a pair's
+overlap counts over the blocks:
 
 1. Documents with equal shingle sets are one class (named by the set).
 2. A class puts only a prefix of its shingles into the product: the
    ``n - ceil(t*n) + 1`` least frequent ones. Two sets of Jaccard t or more share
    a shingle of their prefixes, whatever the common order is; the order here is
    by a count sketch of all documents, so frequent shingles come last.
-3. Blocks are the columns (equal columns are one): first every class is multiplied
-   with a few of the classes that lead its blocks (each block's smallest), and
-   pairs that reach the threshold are merged into components.
+3. Columns that the same classes have are one block, with the number of its columns
+   as weight. First every class is multiplied with a few of the classes that lead
+   its blocks (each block's smallest), and pairs that reach the threshold are
+   merged into components.
 4. Blocks whose classes are then all in one component are done. In the others
-   pairs of different components are multiplied; pairs below the bounds that
-   follow from their sizes and from the place of the first shared shingle in
-   either order are never made.
-
-What a pair shares of the prefixes is counted first: pairs for which that and the
-rest of the shorter prefix cannot reach the threshold are discarded. Of the others
-the overlap is counted on the whole sets (64-bit names of shingles).
+   pairs of different components are made, within bands of sizes that can match;
+   pairs below the bounds that follow from their sizes and from the place of the
+   first shared shingle in either order are never made.
+
+For the pairs of either step the weights of their common blocks are summed: this is
+their overlap within both prefixes. Pairs for which that and the rest of the shorter
+prefix cannot reach the threshold are discarded. Of the others the rows of the whole
+incidence matrix, cut into ``COLUMNS`` blocks of columns, are multiplied block by
+block, and the sums decide.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SPACES = " \t\n\x0b\x0c\r"
 _WORD = S.word_table(SPACES)
 SKETCH = 1 << 20  # counters of the count sketch: its size does not grow with the data
 HUBS = 3
+_NO_ID = -(1 << 63)  # stands for a null id within the joins
+COLUMNS = 8  # blocks of columns of the whole matrix
 _PART = 1 << 16  # counters in one row of a sketch
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -48,7 +54,7 @@ def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[tuple[int, np.nda
     for i, j in S.slices(offsets):
         part = S.LOWER[raw[offsets[i] : offsets[j]]]
         start, end, first = S.token_spans(part, _WORD, offsets[i : j + 1] - offsets[i])
-        h = S.span_hash(S.prefix_hash(S.BYTE_VALUES[part]), start, end) if len(start) else np.zeros(0, np.uint64)
+        h = S.span_names(part, start, end)
         padded = np.concatenate([h, np.zeros(words, np.uint64)])
         names = np.zeros(len(h), np.uint64)
         for k in range(words):
@@ -73,15 +79,14 @@ def _name(names: np.ndarray) -> int:
 
 
 def _profile(words: int):
-    """Rows (id, n, name) of documents, then the rows (part, counts) of this task's count sketch."""
+    """Rows (id, k, n, name) of documents (id, k, text), then the rows (part, counts) of this task's count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kinds = np.zeros(SKETCH, np.uint32), [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["__id", "n", "name", "part", "counts"]
-        id_kind = pa.int64()
+        names = ["__id", "__k", "n", "name", "part", "counts"]
         for batch in batches:
-            id_kind, n, name, seen = batch.column(0).type, [], [], []
-            for _, s in shingle_sets(batch.column(1), words):
+            n, name, seen = [], [], []
+            for _, s in shingle_sets(batch.column(2), words):
                 n.append(len(s))
                 name.append(_name(s))
                 seen.append(s)
@@ -91,12 +96,12 @@ def _profile(words: int):
             if seen:
                 sketch += np.bincount((np.concatenate(seen) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip((n, name, none, none), kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip((n, name, none, none), kinds, strict=True))], names)
         for p in range(SKETCH // _PART):
             part = sketch[p * _PART : (p + 1) * _PART]
             if part.any():
                 row = ([None], [None], [p], [part.tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), *(pa.array(x, k) for x, k in zip(row, kinds, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array(x, k) for x, k in zip(row, kinds, strict=True))], names)
 
     return run
 
@@ -110,11 +115,12 @@ def _sum_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["part", "counts"])
 
 
-def _prefixes(words: int, percent: int, held):
-    """Rows (shingle, name, n, place): the rarest shingles of each set, one set of a name for each task."""
+def _prefixes(words: int, percent: int, held, only=None):
+    """Rows (shingle, name, n, place): the rarest shingles of each set, those that the bitmap ``only`` has; one set of a name for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, done, names = held.value, set(), ["h", "name", "n", "place"]
+        bits, mask = only and only.value, np.uint64(S.BITMAP_BITS - 1)
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             held_now = 0
@@ -125,9 +131,13 @@ def _prefixes(words: int, percent: int, held):
                 done.add(name)
                 p = n - -(-percent * n // 100) + 1
                 order = np.lexsort((s, sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))[:p]
-                for k, x in enumerate((s[order].view(np.int64), np.full(p, name, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32))):
+                h, place = s[order], np.arange(p, dtype=np.int32)
+                if bits is not None:
+                    met = S.in_bitmap(bits, (h & mask).astype(np.int64))
+                    h, place = h[met], place[met]
+                for k, x in enumerate((h.view(np.int64), np.full(len(h), name, np.int64), np.full(len(h), n, np.int32), place)):
                     out[k].append(x)
-                held_now += p
+                held_now += len(h)
                 if held_now > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
                     out, held_now = [[], [], [], []], 0
@@ -137,94 +147,96 @@ def _prefixes(words: int, percent: int, held):
     return run
 
 
-def _sets(words: int, held):
-    """Rows (id, shingles) of the documents whose id the bitmap lets through."""
+def _incidence(words: int, held):
+    """Rows (id, k, cb, shingles): the blocks of columns of the documents (slot, id, k, text) that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
-            keep = S.in_bitmap(bits, batch.column(2).to_numpy(zero_copy_only=False))
-            part = batch.filter(pa.array(keep))
-            if part.num_rows:
-                sets = [s.tobytes() for _, s in shingle_sets(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["__id", "shingles"])
+            part = batch.filter(pa.array(S.in_bitmap(bits, batch.column(0).to_numpy())))
+            if not part.num_rows:
+                continue
+            rows, blocks, sizes, values = [], [], [], []
+            for row, s in shingle_sets(part.column(3), words):
+                block = (s & np.uint64(COLUMNS - 1)).astype(np.int32)
+                found, n = np.unique(block, return_counts=True)
+                rows.append(np.full(len(found), row))
+                blocks.append(found)
+                sizes.append(n)
+                values.append(s[np.argsort(block, kind="stable")].view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            ids = [part.column(c).take(pa.array(np.concatenate(rows))) for c in (1, 2)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate(blocks)), lists], ["__id", "__k", "cb", "shingles"])
 
     return run
 
 
-def _overlap(percent: int):
-    """The pairs (a, b) whose sets reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return run
-
+def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k, text): a document is an id with its text (named k)."""
+    text = docs[text_col].cast("string")
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__k"), text.alias("__text"))
 
-def join(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): documents linked by shingle sets of Jaccard ``percent`` / 100 or more.
 
-    component_id is the smallest id that links lead to, its own included. Null
-    text or text without words has no shingles and no links; fewer than ``words``
-    words are one shingle. Rows that repeat are linked with each other; a null id
-    is kept and never the smallest unless all are null. Other columns are not
-    looked at. Ids are whole numbers.
-    """
+def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __k, n, component, first): per document (id and name of its text) the size of its set, the smallest id of its component, and whether it is the first there."""
     spark = docs.sparkSession
+    context = spark.sparkContext
     space = S.Workspace(spark, "ngram-jaccard")
-    rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("__text"))
-    seen = space.save(rows.mapInArrow(_profile(words), "__id long, n int, name long, part int, counts binary"), "profile")
-    profile = seen.filter("part is null").select("__id", "n", "name")
-    parts = seen.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_sketches, "part int, counts binary")
+    rows = _document(docs, id_col, text_col)
+    seen = space.save(rows.mapInArrow(_profile(words), "__id long, __k long, n int, name long, part int, counts binary"), "profile")
+    profile = seen.filter("part is null").select("__id", "__k", "n", "name")
+    # sketches are added in two rounds: many tasks add some of a part's, then one those sums
+    some = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * _PART // SKETCH)
+    parts = seen.filter("part is not null").select("part", "counts", (F.spark_partition_id() % some).alias("g"))
+    parts = parts.repartition("part", "g").select("part", "counts").mapInArrow(_sum_sketches, "part int, counts binary")
+    parts = parts.repartition("part").mapInArrow(_sum_sketches, "part int, counts binary")
     sketch = np.zeros(SKETCH, np.uint32)
     for r in parts.collect():  # SKETCH / _PART rows of 256 KiB, whatever the input
         sketch[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["counts"], np.uint32)
-    context = spark.sparkContext
-
-    # steps 1 and 2: entries of blocks with more than one class, with the block's smallest class
-    entries = rows.select("__text").mapInArrow(_prefixes(words, percent, context.broadcast(sketch)), "h long, name long, n int, place int")
-    block = Window.partitionBy("h")
-    entries = entries.repartition("h").dropDuplicates(["h", "name"])
-    # shingles that the same classes have (a passage, say) are one block: its name is made from its classes
-    x = F.struct(F.bit_xor(F.xxhash64("name")).over(block), F.bit_xor(F.xxhash64("name", F.lit(1))).over(block))
-    entries = entries.withColumns({"hub": F.min("name").over(block), "last": F.max("name").over(block), "block": F.xxhash64(x)})
-    entries = space.save(entries.filter("hub <> last").drop("last"), "entries")
+    held = context.broadcast(sketch)
+
+    # steps 1 and 2: columns that more than one class has; tasks combine what they see of a column before it is dealt out
+    order = F.struct((F.col("__id") == _NO_ID).alias("none"), "__id", "__k")
+    classes = profile.filter("n > 0").groupBy("name").agg(F.min(order).alias("first"), F.max("n").alias("n"))
+    classes = space.save(classes.select("name", "n", "first"), "classes")
+    entry = "h long, name long, n int, place int"
+    columns = rows.select("__text").mapInArrow(_prefixes(words, percent, held), entry).groupBy("h")
+    columns = columns.agg(F.min("name").alias("hub"), F.max("name").alias("last"), F.bit_xor(F.xxhash64("name")).alias("x")).filter("hub <> last")
+    # the block of a column is named by its classes; a class that several tasks saw may keep blocks apart, and never hides one
+    columns = space.save(columns.select("h", "hub", F.xxhash64("hub", "last", "x").alias("block")), "columns")
+    bits = context.broadcast(S.bitmap(columns, F.pmod("h", F.lit(S.BITMAP_BITS)).cast("int")))
+    entries = rows.select("__text").mapInArrow(_prefixes(words, percent, held, bits), entry).join(columns.hint("merge"), "h")
     blocks = entries.groupBy("block", "name").agg(F.min("hub").alias("hub"), F.max("n").alias("n"), F.min("place").alias("place"))
-    blocks = space.save(blocks, "blocks")
-
-    classes = profile.filter("n > 0").groupBy("name").agg(F.min("__id").alias("first"), F.max("n").alias("n"))
-    # the part of each class's prefix that others share: what a pair has in common there bounds its overlap
-    parts = entries.groupBy("name").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("h")).alias("part"))
-    parts = space.save(parts, "parts")
+    weights = columns.groupBy("block").agg(F.count(F.lit(1)).alias("w"))
+    blocks = space.save(blocks.join(space.save(weights, "weights").hint("merge"), "block"), "blocks")
 
     def linked(pairs: DataFrame, step: str) -> DataFrame:
-        """The pairs (a, b) that reach the threshold: first by the bound, then by the whole sets."""
-        left, right = (parts.select(F.col("name").alias(k), F.col("n").alias("n" + k), F.col("part").alias("p" + k)) for k in "ab")
-        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        """The pairs (a, b) that reach the threshold: first by the product of prefixes, then by that of the whole rows."""
+        for k in "ab":
+            pairs = pairs.join(classes.select(F.col("name").alias(k), F.col("n").alias("n" + k)).hint("merge"), k)
+        pairs = space.save(pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), f"pairs-{step}")
+        left, right = (blocks.select(F.col("name").alias(k), "block", *(["w"] if k == "b" else [])).hint("merge") for k in "ab")
+        shared = pairs.join(right, "b").join(left, ["a", "block"]).groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("c"))
         # shared shingles lie in both prefixes, or behind the end of the prefix that ends first
         behind = f"greatest(-floor(-{percent} * na / 100) - 1, -floor(-{percent} * nb / 100) - 1)"
-        able = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * (size(array_intersect(pa, pb)) + {behind}) >= {percent} * (na + nb)"
-        able = space.save(both.filter(F.expr(able)).select("a", "b"), f"able-{step}")
+        able = space.save(shared.filter(f"{100 + percent} * (c + {behind}) >= {percent} * (na + nb)").drop("c"), f"able-{step}")
         names = able.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        wanted = space.save(classes.filter("first is not null").join(names, "name", "left_semi").select("name", F.col("first").alias("__id")), f"wanted-{step}")
-        bits = context.broadcast(S.bitmap(wanted, S.slots("__id")))
-        sets = rows.withColumn("__slot", F.coalesce(S.slots("__id"), F.lit(0))).mapInArrow(_sets(words, bits), "__id long, shingles binary")
-        sets = space.save(sets.join(wanted.hint("merge"), "__id").dropDuplicates(["name"]).select("name", "shingles"), f"sets-{step}")
-        left, right = (sets.select(F.col("name").alias(k), F.col("shingles").alias("s" + k)) for k in "ab")
-        full = able.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sa", "sb")
-        return space.save(full.mapInArrow(_overlap(percent), "a long, b long"), f"links-{step}")
+        wanted = space.save(classes.join(names.hint("merge"), "name", "left_semi").select("name", "first.__id", "first.__k"), f"wanted-{step}")
+        bits = context.broadcast(S.bitmap(wanted, S.slots("__k")))
+        whole = rows.select(S.slots("__k").alias("slot"), "__id", "__k", "__text").mapInArrow(_incidence(words, bits), "__id long, __k long, cb int, shingles array<long>")
+        whole = whole.join(wanted.hint("merge"), ["__id", "__k"]).dropDuplicates(["name", "cb"]).select("name", "cb", "shingles")
+        whole = space.save(whole, f"whole-{step}")
+        left, right = (whole.select(F.col("name").alias(k), "cb", F.col("shingles").alias("s" + k)).hint("merge") for k in "ab")
+        product = able.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(COLUMNS - 1)))).join(right, ["b", "cb"]).join(left, ["a", "cb"])
+        counts = product.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+        links = space.save(counts.filter(f"100 * c >= {percent} * (na + nb - c)").select("a", "b"), f"links-{step}")
+        space.drop(f"pairs-{step}", f"able-{step}", f"wanted-{step}", f"whole-{step}")
+        return links
 
     # step 3
     # a class tries the HUBS classes that lead most of its shingles; step 4 makes every other pair that is not settled then
-    led = entries.filter("name <> hub").groupBy("name", "hub").agg(F.count(F.lit(1)).alias("c"))
+    led = blocks.filter("name <> hub").groupBy("name", "hub").agg(F.sum("w").alias("c"))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
     star = led.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("name").alias("b"))
     star = space.save(star, "star")
@@ -233,16 +245,20 @@ def join(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_
 
     # step 4
     marked = blocks.join(label.hint("merge"), blocks["name"] == label["node"], "left").select("block", "name", "n", "place", F.coalesce("label", "name").alias("label"))
-    of_block = Window.partitionBy("block")
-    open_blocks = marked.withColumns({"lo": F.min("label").over(of_block), "hi": F.max("label").over(of_block)}).filter("lo <> hi").drop("lo", "hi")
-    open_blocks = space.save(open_blocks, "open")
-    x, y = open_blocks.alias("x"), open_blocks.alias("y")
+    marked = space.save(marked, "marked")
+    still_open = marked.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block")
+    open_blocks = marked.join(space.save(still_open, "open").hint("merge"), "block")
+    # sizes that can match lie in the same band or in neighbouring ones (bands a little wider than the ratio: no rounding)
+    band = F.floor(F.log("n") * (0.999 / np.log(100 / percent))) if percent < 100 else F.col("n").cast("long")
+    open_blocks = space.save(open_blocks.withColumn("band", band), "open-blocks")
+    x = open_blocks.alias("x")
+    y = open_blocks.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
     # a pair is looked for at the first shingle that both have: all that they share lies from there on
     bound = "least(x.n - x.place, y.n - y.place)"
     pairs = x.join(
         y,
         F.expr(
-            f"x.block = y.block and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+            f"x.block = y.block and x.band = y.band and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
             f" and {100 + percent} * {bound} >= {percent} * (x.n + y.n)"
         ),
     )
@@ -252,21 +268,48 @@ def join(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_
 
     # back to documents
     named = classes.join(label.hint("merge"), classes["name"] == label["node"], "left").select("name", "first", F.coalesce("label", "name").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component"))
-    found = named.join(smallest, "label").select(F.col("name").alias("c"), "component")
+    named = space.save(named, "named")
+    smallest = named.groupBy("label").agg(F.min("first").alias("f"))
+    found = named.join(smallest.hint("merge"), "label").select(F.col("name").alias("c"), "f")
     out = profile.join(found.hint("merge"), (profile["name"] == F.col("c")) & (profile["n"] > 0), "left")
+    own = F.col("n") == 0
     return out.select(
-        F.col("__id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id")
+        "__id",
+        "__k",
+        F.col("n").cast("long").alias("n"),
+        F.when(own, F.col("__id")).otherwise(F.col("f.__id")).alias("component"),
+        (own | ((F.col("f.__id") == F.col("__id")) & (F.col("f.__k") == F.col("__k")))).alias("first"),
     )
 
 
+def join(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id): documents linked by shingle sets of Jaccard ``percent`` / 100 or more.
+
+    component_id is the smallest id that links lead to, its own included. Null
+    text or text without words has no shingles and no links; fewer than ``words``
+    words are one shingle. Rows that repeat are linked with each other; a null id
+    is kept and never the smallest unless all are null. Other columns are not
+    looked at. Ids are whole numbers.
+    """
+    found = groups(docs, percent, words, id_col, text_col)
+    none = F.lit(_NO_ID)
+    return found.select(F.nullif("__id", none).alias(id_col), F.col("n").alias("n_shingles"), F.nullif("component", none).alias("component_id"))
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     """All texts of ``documents``."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (all columns) with one document, the one with the smallest id, of each group of linked ones."""
-    found = join(docs, id_col=id_col, text_col=text_col)
-    rest = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(rest, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` (all columns) with one document of each group of linked ones: the one with the smallest id.
+
+    Of texts that share an id the order depends on the texts alone; a null id
+    comes last. Rows equal in id and text are one document, and one of them stays.
+    """
+    found = groups(docs, id_col=id_col, text_col=text_col).filter("not first").select(F.col("__id").alias("__gone"), F.col("__k").alias("__gone_k")).distinct()
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    own = docs.withColumns({"__id": F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)), "__k": F.xxhash64(text)})
+    # tasks drop the equal rows that they see before rows are dealt out, once for both steps
+    one = own.dropDuplicates(["__id", "__k"])
+    return one.join(found.hint("merge"), (one["__id"] == F.col("__gone")) & (one["__k"] == F.col("__gone_k")), "left_anti").select(*docs.columns)
