@@ -20,10 +20,12 @@ lines are found by name and count. For the rest:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,28 +68,28 @@ def _line_names(texts: list[str], least_chars: int) -> tuple[np.ndarray, list[np
     start, end, row, number = start[keep], end[keep], row[keep], number[keep]
     values = _values(codes)
     sums = S.prefix_hash(values)
-    a = S.span_hash(sums, start, end)
-    b = S.span_hash(S.prefix_hash(values * np.uint64(0xA0761D6478BD642F) ^ np.uint64(0xE7037ED1A0B428DB)), start, end)
+    shown = itertools.compress("\n".join(texts).split("\n"), keep)
+    named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in shown), "<i8").reshape(-1, 2)
     halves, n = [], end - start
     for longer in (n, n + 1):
         cut = longer // 2
         for side, (x, y) in enumerate(((start, start + np.minimum(cut, n)), (end - np.minimum(longer - cut, n), end))):
             half = _signed(S.mix(S.span_hash(sums, x, y) ^ (2 * longer + side).astype(np.uint64)))
             halves.append(np.where(n >= least_chars, half, -1))
-    return np.stack([row, number]), [_signed(a), _signed(b), *halves]
+    return np.stack([row, number]), [named[:, 0], named[:, 1], *halves]
 
 
 def _lines(least_chars: int):
-    """One row for each line of (id, text)."""
+    """One row for each line of (d, k, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, off = S.utf8(batch.column(1))
-            keys = batch.column(0).to_numpy()
+            _, off = S.utf8(batch.column(2))
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in S.slices(off):
-                (row, number), names = _line_names([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], least_chars)
-                cols = [keys[i:j][row], number.astype(np.int32), *names]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["d", "no", "a", "b", "h0", "h1", "h2", "h3"])
+                (row, number), names = _line_names([t or "" for t in batch.column(2).slice(i, j - i).to_pylist()], least_chars)
+                cols = [ids[i:j][row], keys[i:j][row], number.astype(np.int32), *names]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["d", "k", "no", "a", "b", "h0", "h1", "h2", "h3"])
 
     return run
 
@@ -106,12 +108,12 @@ def _pick(held):
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, p, d, no) for each line (d, no, line): its name with p = -1, and its name without its p-th character."""
-    names = ["h", "p", "d", "no"]
+    """(h, p, d, k, no) for each line (d, k, no, line): its name with p = -1, and its name without its p-th character."""
+    names = ["h", "p", "d", "k", "no"]
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         held = 0
-        for d, no, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for d, key, no, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             codes = _codes(line)
             n, values = len(codes), _values(codes)
             sums = S.prefix_hash(values)
@@ -120,12 +122,13 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             less = sums[p] + (sums[n] - sums[p + 1]) * inverse
             whole = sums[n : n + 1]
             h = S.mix(np.concatenate([whole, less]) + np.concatenate([[n], np.full(len(p), n - 1)]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            for k, x in enumerate((_signed(h), np.concatenate([[-1], p]).astype(np.int32), np.full(len(h), d, np.int64), np.full(len(h), no, np.int32))):
+            place = np.concatenate([[-1], p]).astype(np.int32)
+            for k, x in enumerate((_signed(h), place, np.full(len(h), d, np.int64), np.full(len(h), key, np.int64), np.full(len(h), no, np.int32))):
                 out[k].append(x)
             held += len(h)
             if held > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
-                out, held = [[], [], [], []], 0
+                out, held = [[], [], [], [], []], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
@@ -147,50 +150,50 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, least_chars: int = 20) -> DataFrame:
-    """(d, gone): for documents (d, text) the numbers of the lines that go."""
+    """(d, k, gone): for documents (d, k, text), in order of d and k, the numbers of the lines that go."""
     spark = docs.sparkSession
-    lines = docs.select("d", "text").mapInArrow(_lines(least_chars), "d long, no int, a long, b long, h0 long, h1 long, h2 long, h3 long")
+    line = ["d", "k", "no"]
+    lines = docs.select("d", "k", "text").mapInArrow(_lines(least_chars), "d long, k long, no int, a long, b long, h0 long, h1 long, h2 long, h3 long")
     lines = space.save(lines, "lines")
     halves = [f"h{k}" for k in range(4)]
-    first = lines.groupBy("a", "b").agg(F.min(F.struct("d", "no")).alias("at"), *[F.max(h).alias(h) for h in halves])
-    first = space.save(first.select("a", "b", "at.d", "at.no", *halves), "different")
-    near = None
+    first = lines.groupBy("a", "b").agg(F.min(F.struct(*line)).alias("at"), F.count(F.lit(1)).alias("n"), *[F.max(h).alias(h) for h in halves])
+    first = space.save(first.select("a", "b", "at.*", (F.col("n") > 1).alias("many"), *halves), "different")
     if max_edits:
         # step 1: lines that share a half with another
-        each = first.filter("h0 <> -1").select("a", "d", "no", F.explode(F.array(*halves)).alias("half"))
+        each = first.filter("h0 <> -1").select("a", *line, F.explode(F.array(*halves)).alias("half"))
         met = each.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("half")
-        some = each.join(met.hint("merge"), "half", "left_semi").select("d", "no").distinct()
-        at = F.struct("d", "no")
-        wanted = space.save(some.groupBy("d").agg(F.collect_list("no").alias("nos")), "wanted")
-        bits = spark.sparkContext.broadcast(S.bitmap(wanted, S.slots("d")))
-        texts = docs.select(S.slots("d").alias("slot"), "d", "text").mapInArrow(_pick(bits), "slot int, d long, text string")
-        texts = texts.join(wanted.hint("merge"), "d")
+        some = each.join(met.hint("merge"), "half", "left_semi").select(*line).distinct()
+        at = F.struct(*line)
+        wanted = space.save(some.groupBy("d", "k").agg(F.collect_list("no").alias("nos")), "wanted")
+        bits = spark.sparkContext.broadcast(S.bitmap(wanted, S.slots("k")))
+        texts = docs.select(S.slots("k").alias("slot"), "d", "k", "text").mapInArrow(_pick(bits), "slot int, d long, k long, text string")
+        # rows that are equal in id and text are one document
+        texts = texts.join(wanted.hint("merge"), ["d", "k"])
         cut = F.split("text", "\n", -1)
-        some = texts.select("d", "nos", cut.alias("ls")).select("d", F.explode("nos").alias("no"), "ls").select("d", "no", F.expr("try_element_at(ls, no + 1)").alias("line"))
-        some = space.save(some.filter("line is not null"), "candidates")
-        # steps 2 and 3
-        variants = some.mapInArrow(_variants, "h long, p int, d long, no int")
+        some = texts.select("d", "k", "nos", cut.alias("ls")).select("d", "k", F.explode("nos").alias("no"), "ls")
+        some = some.select(*line, F.expr("try_element_at(ls, no + 1)").alias("line")).filter("line is not null")
+        some = space.save(some.dropDuplicates(line), "candidates")
+        # steps 2 and 3; only different lines meet here, so a group is bounded by the neighbours that one string can have
+        variants = some.mapInArrow(_variants, "h long, p int, d long, k long, no int")
         whole, less = F.col("p") < 0, F.col("p") >= 0
         by_h, by_place = Window.partitionBy("h"), Window.partitionBy("h", "p")
         seen = variants.withColumns(
             {"whole": F.min(F.when(whole, at)).over(by_h), "less": F.min(F.when(less, at)).over(by_h), "same": F.min(at).over(by_place)}
         )
-        earlier = F.filter(F.array(F.when(whole, F.col("less")), F.when(less, F.col("whole")), F.when(less, F.col("same"))), lambda x: x < F.struct("d", "no"))
-        pairs = seen.select("d", "no", F.explode(earlier).alias("e")).select("d", "no", F.col("e.d").alias("ed"), F.col("e.no").alias("eno")).distinct()
+        earlier = F.filter(F.array(F.when(whole, F.col("less")), F.when(less, F.col("whole")), F.when(less, F.col("same"))), lambda x: x < at)
+        pairs = seen.select(*line, F.explode(earlier).alias("e")).select(*line, *[F.col("e")[c].alias("e" + c) for c in line]).distinct()
         # step 4
-        other = some.select(F.col("d").alias("ed"), F.col("no").alias("eno"), F.col("line").alias("earlier"))
-        close = pairs.join(other.hint("merge"), ["ed", "eno"]).join(some.hint("merge"), ["d", "no"]).filter(F.levenshtein("line", "earlier", max_edits) >= 0)
-        near = space.save(close.select("d", "no").distinct(), "near")
-        drop = first.join(near.hint("merge"), ["d", "no"]).select("a", "b", F.lit(True).alias("all"))
+        other = some.select(*[F.col(c).alias("e" + c) for c in line], F.col("line").alias("earlier"))
+        close = pairs.join(other.hint("merge"), ["e" + c for c in line]).join(some.hint("merge"), line).filter(F.levenshtein("line", "earlier", max_edits) >= 0)
+        near = space.save(close.select(*line).distinct(), "near")
+        marked = first.join(near.withColumn("all", F.lit(True)).hint("merge"), line, "left")
     else:
-        drop = first.limit(0).select("a", "b", F.lit(True).alias("all"))
-    firsts = first.select("a", "b", F.col("d").alias("fd"), F.col("no").alias("fno"))
-    marked = firsts.join(drop.hint("merge"), ["a", "b"], "left")
-    repeated = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
+        marked = first.withColumn("all", F.lit(None).cast("boolean"))
     # lines that occur once and have no earlier neighbour stay: only the others are joined back
-    marked = marked.join(repeated.withColumn("many", F.lit(True)), ["a", "b"], "left").filter("many or all")
-    gone = lines.select("d", "no", "a", "b").join(marked.hint("merge"), ["a", "b"]).filter("all or d <> fd or no <> fno")
-    return gone.groupBy("d").agg(F.collect_set("no").alias("gone"))
+    marked = marked.filter("many or all").select("a", "b", F.coalesce("all", F.lit(False)).alias("all"), *[F.col(c).alias("f" + c) for c in line])
+    marked = space.save(marked, "marked")  # so that the join below may split a line that many documents have
+    gone = lines.select(*line, "a", "b").join(marked.hint("merge"), ["a", "b"]).filter("all or d <> fd or k <> fk or no <> fno")
+    return gone.groupBy("d", "k").agg(F.collect_set("no").alias("gone"))
 
 
 def dedup(docs: DataFrame, max_edits: int = 1, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,25 +202,30 @@ def dedup(docs: DataFrame, max_edits: int = 1, least_chars: int = 20, id_col: st
     Lines end at line feeds. Lines of white space stay and count neither as lines
     nor as repeats. Lines shorter than ``least_chars`` characters go only if an
     earlier line equals them; longer ones also if one is within ``max_edits`` (0
-    or 1). Null text stays null, without lines. An id is a whole number and names
-    a text: of rows that repeat an id in full, all get what the first one gets.
-    Rows with a null id are treated as the first document.
+    or 1): a change of one character is a small part of a long line, but makes
+    another item of a short one. Null text stays null, without lines.
+
+    An id is a whole number. Null ids come first; texts that share an id, or lack
+    one, are documents of their own, in an order that depends on the texts alone.
+    Rows equal in id and text are one document: each of them gets what it gets.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     space = S.Workspace(docs.sparkSession, "line-dedup")
-    named = docs.drop("n_lines", "n_removed").withColumn("__d", F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)))
-    pairs = named.select(F.col("__d").alias("d"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    named = docs.drop("n_lines", "n_removed").withColumns({"__d": F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)), "__k": F.xxhash64(text)})
+    pairs = named.select(F.col("__d").alias("d"), F.col("__k").alias("k"), F.col(text_col).cast("string").alias("text"))
     gone = space.save(repeated_lines(pairs, space, max_edits, least_chars), "gone")
-    space.drop("lines", "candidates", "different", "near", "wanted")
+    space.drop("lines", "candidates", "different", "near", "wanted", "marked")
     from pyspark.sql import types as T
 
     kept = [c for c in named.columns if c != text_col]
-    rows = named.join(gone.withColumnRenamed("d", "__g").hint("merge"), F.col("__d") == F.col("__g"), "left").drop("__g")
-    rows = rows.select(F.struct(*[F.col(c) for c in kept]).alias("d"), F.col(text_col).cast("string").alias("text"), F.col("gone"))
+    found = gone.withColumnsRenamed({"d": "__gd", "k": "__gk", "gone": "__gone"})
+    rows = named.join(found.hint("merge"), (F.col("__d") == F.col("__gd")) & (F.col("__k") == F.col("__gk")), "left").drop("__gd", "__gk")
+    rows = rows.select(F.struct(*[F.col(c) for c in kept]).alias("d"), F.col(text_col).cast("string").alias("text"), F.col("__gone"))
     schema = T.StructType([rows.schema["d"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = rows.mapInArrow(_strip, schema)
-    order = [F.col("text").alias(text_col) if c == text_col else F.col("d")[c].alias(c) for c in named.columns if c != "__d"]
+    order = [F.col("text").alias(text_col) if c == text_col else F.col("d")[c].alias(c) for c in named.columns if c not in ("__d", "__k")]
     return out.select(*order, "n_lines", "n_removed")
 
 
