@@ -4,8 +4,15 @@ Labelled page outcomes (good or bad) are counted by host, registered domain and
 suffix. Each level's beta prior has its parent's posterior mean as mean; how
 firm it is, is estimated from the level itself: the method of moments for the
 beta-binomial gives the correlation within a group, and 1/correlation - 1 is the
-prior's weight in pages. A host is blocked when even the upper posterior bound
-of its share of good pages lies below the threshold.
+prior's weight in pages; a level without two outcomes in a group says nothing of
+its correlation and has the weakest prior. A host is blocked when even the upper
+posterior bound of its share of good pages lies below the threshold. The bound is
+taken on the log-odds, where a beta posterior (a, b) has a variance of about
+1/a + 1/b, so it lies between 0 and 1.
+
+The suffix is the last label of a host, or the last two where a country code
+follows one of ``SECOND``; the registered domain is one label more. The list of
+public suffixes is not at hand, so other shared suffixes count as domains.
 """
 
 from __future__ import annotations
@@ -15,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Workspace
+
 #: (host, path, verdict) of the contract (fixed values).
 RULES = (
     ("com", "/en/", "block"),
@@ -24,6 +33,8 @@ RULES = (
     ("org", "/es/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Labels under which countries register domains (fixed values).
+SECOND = ("ac", "co", "com", "edu", "gov", "ne", "net", "or", "org")
 #: The weight of a prior in pages is kept within these bounds.
 WEIGHT = (1.0, 1000.0)
 
@@ -45,35 +56,43 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return name, verdict
 
 
-def _level(groups: DataFrame, key: str, good: str, n: str, mean: str) -> DataFrame:
-    """Adds ``weight``, the estimated weight of the level's prior: one number, computed from all its groups."""
-    var = F.col(mean) * (1 - F.col(mean))
-    excess = F.sum(F.pow(F.col(good) - F.col(n) * F.col(mean), 2) - F.col(n) * var)
-    room = F.sum(F.col(n) * (F.col(n) - 1) * var)
-    rho = F.greatest(F.least(F.coalesce(F.try_divide(excess, room), F.lit(0.0)), F.lit(1 / (1 + WEIGHT[0]))), F.lit(1 / (1 + WEIGHT[1])))
-    one = groups.agg((1 / rho - 1).alias("weight"))  # a single row
-    return groups.join(F.broadcast(one), how="left", on=F.lit(True))
+def _weight(groups: DataFrame) -> float:
+    """The weight of a level's prior from its groups (n, k, q): one number, computed over all of them."""
+    var = F.col("q") * (1 - F.col("q"))
+    excess = F.sum(F.pow(F.col("k") - F.col("n") * F.col("q"), 2) - F.col("n") * var)
+    room = F.sum(F.col("n") * (F.col("n") - 1) * var)
+    excess, room = groups.agg(excess, room).first()  # one row
+    weakest, firmest = WEIGHT
+    rho = excess / room if room else 1.0
+    return 1 / max(min(rho, 1 / (1 + weakest)), 1 / (1 + firmest)) - 1
 
 
-def reputation(pages: DataFrame, z: float = 1.645) -> DataFrame:
+def reputation(pages: DataFrame, space: Workspace, z: float = 1.645) -> DataFrame:
     """host, n, good, prior, mean, upper from rows (host, good) where ``good`` is 1, 0 or null (no label)."""
     hosts = pages.groupBy("host").agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("k"))
     parts = F.split("host", r"\.")
-    hosts = hosts.withColumns(
-        {"domain": F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), F.lit(2)), "."), "suffix": F.element_at(parts, -1)}
-    )
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = suffixes.agg(((F.sum("k") + 0.5) / (F.sum("n") + 1.0)).alias("q"))  # a single row
-    post = (F.col("k") + F.col("weight") * F.col("q")) / (F.col("n") + F.col("weight"))
-    s = _level(suffixes.join(F.broadcast(total), how="left", on=F.lit(True)), "suffix", "k", "n", "q")
-    s = s.select("suffix", post.alias("q"))
-    d = _level(domains.join(s, "suffix"), "domain", "k", "n", "q").select("suffix", "domain", post.alias("q"))
-    h = _level(hosts.join(d, ["suffix", "domain"]), "host", "k", "n", "q")
-    a = F.col("k") + F.col("weight") * F.col("q")
-    size = F.col("n") + F.col("weight")
-    sd = F.sqrt(post * (1 - post) / (size + 1))
-    return h.select("host", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("good"), F.col("q").alias("prior"), (a / size).alias("mean"), (a / size + z * sd).alias("upper"))
+    country = (F.size(parts) > 2) & (F.length(F.element_at(parts, -1)) == 2) & F.try_element_at(parts, F.lit(-2)).isin(*SECOND)
+    labels = F.when(country, 2).otherwise(1)
+    last = lambda k: F.array_join(F.slice(parts, -F.least(F.size(parts), k), k), ".")
+    hosts = space.save(hosts.withColumns({"domain": last(labels + 1), "suffix": last(labels)}), "hosts")
+    total = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = space.save(total(hosts, "suffix", "domain"), "domains")
+    suffixes = space.save(total(domains, "suffix"), "suffixes")
+    n, k = suffixes.agg(F.sum("n"), F.sum("k")).first()  # one row
+    level = suffixes.withColumn("q", F.lit(((k or 0) + 0.5) / ((n or 0) + 1.0)))
+
+    def posterior(groups: DataFrame) -> tuple[Column, Column]:
+        """Pages for and against, prior included."""
+        weight = F.lit(_weight(groups))
+        return F.col("k") + weight * F.col("q"), F.col("n") - F.col("k") + weight * (1 - F.col("q"))
+
+    for key, below in (("suffix", domains), ("domain", hosts)):
+        a, b = posterior(level)
+        # a domain lies under one suffix
+        level = space.save(below.join(level.select(key, (a / (a + b)).alias("q")), key), f"below-{key}")
+    a, b = posterior(level)
+    odds = F.log(a / b) + z * F.sqrt(1 / a + 1 / b)
+    return level.select("host", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("good"), F.col("q").alias("prior"), (a / (a + b)).alias("mean"), (1 / (1 + F.exp(-odds))).alias("upper"))
 
 
 def judge(
@@ -98,7 +117,7 @@ def judge(
     rows = rows.withColumn("number", F.expr("try_cast(nullif(number, '') as long)"))
     known = outcomes.select(F.col("doc_id").cast("long").alias("number"), "good").filter("number is not null").groupBy("number").agg(F.min("good").alias("good"))
     labelled = rows.select("host", "number").join(known, "number", "left").select("host", "good")
-    hosts = reputation(labelled)
+    hosts = reputation(labelled, Workspace(pages.sparkSession, "url-reputation"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(hosts, "host", "left").withColumns({"rule": name, "ruled": verdict})
     own = F.when(F.col("upper") < least, "block").otherwise("allow")
@@ -132,26 +151,29 @@ WITH p AS (
 ), lab AS (
   SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) AS good FROM labels GROUP BY doc_id
 ), h AS (
-  SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS k,
-         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+  SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS k, string_split(host, '.') AS parts,
+         CASE WHEN len(parts) > 2 AND length(parts[-1]) = 2 AND parts[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'ne', 'net', 'or', 'org') THEN 2 ELSE 1 END AS labels,
+         array_to_string(list_slice(parts, -labels - 1, -1), '.') AS domain, array_to_string(list_slice(parts, -labels, -1), '.') AS suffix
   FROM num LEFT JOIN lab ON number = doc_id GROUP BY host
 ), d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
 sq AS (SELECT *, (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM s) AS q FROM s),
-sw AS (SELECT 1 / greatest(least(coalesce(sum((k - n*q)**2 - n*q*(1-q)) / nullif(sum(n*(n-1)*q*(1-q)), 0), 0.0), 1/2.0), 1/1001.0) - 1 AS w FROM sq),
+sw AS (SELECT CASE WHEN coalesce(sum(n*(n-1)*q*(1-q)), 0) = 0 THEN 1.0 ELSE 1 / greatest(least(sum((k - n*q)**2 - n*q*(1-q)) / sum(n*(n-1)*q*(1-q)), 1/2.0), 1/1001.0) - 1 END AS w FROM sq),
 sp AS (SELECT suffix, (k + w*q) / (n + w) AS q FROM sq, sw),
 dq AS (SELECT d.*, q FROM d JOIN sp USING (suffix)),
-dw AS (SELECT 1 / greatest(least(coalesce(sum((k - n*q)**2 - n*q*(1-q)) / nullif(sum(n*(n-1)*q*(1-q)), 0), 0.0), 1/2.0), 1/1001.0) - 1 AS w FROM dq),
+dw AS (SELECT CASE WHEN coalesce(sum(n*(n-1)*q*(1-q)), 0) = 0 THEN 1.0 ELSE 1 / greatest(least(sum((k - n*q)**2 - n*q*(1-q)) / sum(n*(n-1)*q*(1-q)), 1/2.0), 1/1001.0) - 1 END AS w FROM dq),
 dp AS (SELECT suffix, domain, (k + w*q) / (n + w) AS q FROM dq, dw),
 hq AS (SELECT h.*, q FROM h JOIN dp USING (suffix, domain)),
-hw AS (SELECT 1 / greatest(least(coalesce(sum((k - n*q)**2 - n*q*(1-q)) / nullif(sum(n*(n-1)*q*(1-q)), 0), 0.0), 1/2.0), 1/1001.0) - 1 AS w FROM hq),
-hp AS (SELECT host, n, (k + w*q) / (n + w) AS m, n + w AS size FROM hq, hw),
+hw AS (SELECT CASE WHEN coalesce(sum(n*(n-1)*q*(1-q)), 0) = 0 THEN 1.0 ELSE 1 / greatest(least(sum((k - n*q)**2 - n*q*(1-q)) / sum(n*(n-1)*q*(1-q)), 1/2.0), 1/1001.0) - 1 END AS w FROM hq),
+hp AS (
+  SELECT host, n, (k + w*q) / (n + w) AS m, 1 / (1 + exp(-(ln((k + w*q) / (n - k + w*(1-q))) + 1.645 * sqrt(1 / (k + w*q) + 1 / (n - k + w*(1-q)))))) AS upper FROM hq, hw
+),
 rules(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 fit AS (
   SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
   FROM (SELECT DISTINCT host, path FROM r) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path
 )
-SELECT page_id, r.host, r.path, rule, coalesce(v, CASE WHEN m + 1.645 * sqrt(m * (1-m) / (size + 1)) < 0.75 THEN 'block' ELSE 'allow' END) AS verdict,
-       CAST(n AS BIGINT) AS n_labelled, round(m, 6) AS good_mean, round(m + 1.645 * sqrt(m * (1-m) / (size + 1)), 6) AS good_upper
+SELECT page_id, r.host, r.path, rule, coalesce(v, CASE WHEN upper < 0.75 THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(n AS BIGINT) AS n_labelled, round(m, 6) AS good_mean, round(upper, 6) AS good_upper
 FROM r LEFT JOIN hp USING (host) LEFT JOIN fit ON fit.host = r.host AND fit.path = r.path
 """
