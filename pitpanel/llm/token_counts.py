@@ -25,10 +25,16 @@ from .tokens import encoder
 SUFFIX = ".tokens"
 
 
-def write_flat(docs: DataFrame, out_dir: str, tokenizer_path: str | None = None, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def free_id(tokenizer_path: str) -> int:
+    """The first id behind the vocabulary: no text can hold it."""
+    return encoder(tokenizer_path).size
+
+
+def write_flat(docs: DataFrame, out_dir: str, tokenizer_path: str | None = None, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One flat file for each task; returns the (lazy) list id, path, doc_no, width: who is the n-th document of a file.
 
-    Null text is empty. A repeated attempt writes a file of its own; the saved
+    ``end_id`` is by default the first id behind the vocabulary; ids are as wide as
+    it needs. Null text is empty. A repeated attempt writes a file of its own; the saved
     list names only the files of attempts that succeeded.
     """
     tok = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
@@ -36,19 +42,20 @@ def write_flat(docs: DataFrame, out_dir: str, tokenizer_path: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tok)
-        if end_id >= 1 << (8 * enc.dtype.itemsize):
-            raise ValueError("the end id does not fit the vocabulary's type")
+        last = free_id(tok) if end_id is None else end_id
+        dtype = enc.dtype if last < 1 << (8 * enc.dtype.itemsize) else np.dtype("<u4")
+        ids = (lambda t: enc.encode(t)) if dtype == enc.dtype else (lambda t: np.frombuffer(enc.encode(t), enc.dtype).astype(dtype).tobytes())
         path, out, no = f"{out_dir}/{uuid.uuid4().hex}{SUFFIX}", None, 0
-        end = np.array([end_id], enc.dtype).tobytes()
+        end = np.array([last], dtype).tobytes()
         for batch in batches:
             if out is None:
                 fs, name = _open(path)
                 out = fs.open_output_stream(name)
             for i in range(0, batch.num_rows, 256):
-                out.write(b"".join(enc.encode(t or "") + end for t in batch.column(1).slice(i, 256).to_pylist()))
+                out.write(b"".join(ids(t or "") + end for t in batch.column(1).slice(i, 256).to_pylist()))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([path] * n, pa.string()), pa.array(np.arange(no, no + n)), pa.array(np.full(n, enc.dtype.itemsize, np.int32))],
+                [batch.column(0), pa.array([path] * n, pa.string()), pa.array(np.arange(no, no + n)), pa.array(np.full(n, dtype.itemsize, np.int32))],
                 ["__id", "path", "doc_no", "width"],
             )
             no += n
@@ -105,11 +112,13 @@ def count(listed: DataFrame, end_id: int, width: int = 2, block_bytes: int = 8 <
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """Token count of every text of ``documents``, from flat files that the query writes first."""
+    end_id = free_id(public_tokenizers.path("byte_bpe_50k.json"))
+    width = 2 if end_id < 1 << 16 else 4
     space = Workspace(spark, "token-counts")
     folder = space.folder("flat")
     named = space.save(write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder), "names")
     base = lambda c: F.substring_index(c, "/", -1)
     listed = files(spark, folder).join(named.select(base("path").alias("f")).distinct(), base("path") == F.col("f"), "left_semi")
-    counted = count(listed, 50256).select(base("path").alias("f"), "doc_no", "start", "n_tokens")
+    counted = count(listed, end_id, width).select(base("path").alias("f"), "doc_no", "start", "n_tokens")
     # both sides grow with the documents: neither is broadcast
     return named.select("doc_id", base("path").alias("f"), "doc_no").join(counted.hint("merge"), ["f", "doc_no"]).select("doc_id", "n_tokens")

@@ -4,8 +4,9 @@ A byte-level BPE never merges over the edges of its pre-tokens, so the ids of a
 text are the ids of its pre-tokens one after another. A worker keeps the ids of
 pre-tokens it has met (``CACHE_WORDS`` at most; the memory is emptied when full)
 and asks the library's BPE model only for new ones. Texts with characters for
-which Python's and the library's classes could differ, and tokenizers of another
-kind, go to the library whole.
+which Python's and the library's classes could differ, texts that hold the string
+of an added token, and tokenizers of another kind go to the library whole, which
+is left at its defaults: such a string becomes the token's one id.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         with open(path, encoding="utf-8") as f:
@@ -53,13 +53,15 @@ class WordEncoder:
             and model.get("type") == "BPE"
             and not model.get("dropout")
         )
+        added = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.alphabet, self.known = self.tokenizer.model, byte_alphabet(), {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _ODD.search(text):
+        if not self.by_word or _ODD.search(text) or (self.added and self.added.search(text)):
             return self._whole(text)
         words, known = _WORDS.findall(text), self.known
         try:

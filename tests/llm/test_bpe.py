@@ -60,9 +60,8 @@ def test_encode_empty_table(spark):
 def test_word_encoder_equals_the_library():
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     mine = tokens.WordEncoder(path)
-    for text in [x or "" for _, x in ODD] + ["“quoted” — dash…  €5", "ẞ̀ x", "a_b__c 1_000", "tab\tand\r\nlines \x0b"]:
+    for text in [x or "" for _, x in ODD] + ["“quoted” — dash…  €5", "ẞ̀ x", "a_b__c 1_000", "hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "<|endoftext", "tab\tand\r\nlines \x0b"]:
         assert np.frombuffer(mine.encode(text), mine.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
@@ -74,7 +73,6 @@ def test_files_read_back(spark, tmp_path, length, rows):
     for r in token_files.read(index).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.n_tokens, bytes(r.ids)))
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     start = 0
     for i, text in sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
