@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.llm import language_id, token_counts, tokens, url_reputation
+from pitpanel.llm import language_id, token_counts, url_reputation
 
 D = "/root/testdata/sf0.01"
 
@@ -57,12 +57,38 @@ def test_counts_across_blocks(spark, tmp_path, block):
     assert got == sorted(want)
 
 
+def test_scores_equal_a_plain_naive_bayes(spark):
+    """Log-scores of counts in dictionaries, n-gram by n-gram, over the same sample and buckets."""
+    import math
+    from collections import Counter, defaultdict
+
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    bits = 12
+    grams = lambda t: [int(b) for x in language_id._buckets(language_id._codes(t), bits) for b in x]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.fit(table, train_docs=10**9, bits=bits)
+    counts, sizes = defaultdict(Counter), Counter()
+    for _, t, lang in docs:
+        if lang is not None and any(c.isalpha() for c in t or ""):
+            counts[lang].update(grams(t))
+            sizes[lang] += 1
+    total = {k: sum(c.values()) + 0.5 * 2**bits for k, c in counts.items()}
+    for r in language_id.predict(table.limit(60), model).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        scores = {k: math.log(sizes[k] / sum(sizes.values())) + sum(math.log((counts[k][g] + 0.5) / total[k]) for g in grams(r.text)) for k in counts}
+        best = max(scores, key=scores.get)
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(v - scores[best]) for v in scores.values())) < 1e-3
+
+
 def test_op6_equals_the_encoder(spark):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     d = "/root/testdata/sf0.001"
-    enc = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-    want = {r.doc_id: len(enc.encode(r.text or "")) // 2 for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in token_counts.op6(spark, d).collect()} == want
 
 
@@ -70,8 +96,9 @@ def test_flat_files_of_odd_texts(spark, tmp_path):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<|endoftext|> a", "x"), (3, "<|endoftext|> a", "x"), (None, "b", "x")], "doc_id long, text string, path string")
     named = token_counts.write_flat(docs.coalesce(1), str(tmp_path)).persist()
     assert named.count() == 5
-    n = sorted(r.n_tokens for r in token_counts.count(token_counts.files(spark, str(tmp_path)), 50256).collect())
-    assert n[:3] == [0, 0, 1] and n[3] == n[4] > 4
+    # the text's own end of text is an id like any other, and no end of a document
+    n = sorted(r.n_tokens for r in token_counts.count(token_counts.files(spark, str(tmp_path)), 50257).collect())
+    assert n == [0, 0, 1, 2, 2]
     assert token_counts.write_flat(docs.limit(0), str(tmp_path)).count() == 0
 
 
