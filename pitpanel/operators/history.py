@@ -67,10 +67,43 @@ def explode_folds(rows: DataFrame, fold: str, k: int) -> DataFrame:
     return out.withColumn("role", F.when(F.col("__own") == F.col(fold), "valid").otherwise("train")).drop("__own")
 
 
-def fold_isolated(rows: DataFrame, fold: str = "fold", k: int = 5) -> DataFrame:
-    """For each fold: history of all rows from the fold's training rows alone, all folds in one job."""
-    each = explode_folds(rows, fold, k)
-    return fold_history(each, each.filter("role = 'train'"), [fold])
+def fold_isolated(rows: DataFrame, fold: str = "fold", k: int = 5, centre: int = 24000) -> DataFrame:
+    """For each fold 1..k: ``rows`` (once a fold, with ``role``) with their history from the fold's training rows alone.
+
+    Every row is a source of all folds but its own, so one pass over an entity's
+    rows carries the sums of each fold, and rows are multiplied only behind it: a
+    record is moved and sorted once, whatever k is. Sums of both sides are kept
+    apart; a row then reads its own side's, the other one's, or all. Month indexes
+    are summed as whole numbers around ``centre``. Nulls as in ``fold_history``.
+    """
+    past = Window.partitionBy("entity").orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
+    known = F.col("period").isNotNull() & F.col("entity").isNotNull()
+    c, label = F.col("ym_index").cast("long") - centre, F.col("label").cast("long")
+    measures = {"n": F.lit(1).cast("long"), "y": c, "yy": c * c, "l": label, "ll": label * label}
+    sides = {"A": F.col("side") == "A", "B": F.col("side") == "B", "all": F.lit(True)}
+    sums = []
+    for f in range(1, k + 1):
+        each = []
+        for side, own in sides.items():
+            use = known & own & ~F.col(fold).eqNullSafe(F.lit(f))
+            each.append(F.struct(*[F.sum(F.when(use, v)).over(past).alias(m) for m, v in measures.items()]).alias(side))
+        sums.append(F.struct(*each))
+    held = rows.withColumn("__h", F.array(*sums))
+    held = held.select("*", F.posexplode("__h").alias("__f", "__s")).drop("__h")
+    role = F.when(F.col(fold) == F.col("__f") + 1, "valid").otherwise("train")
+    held = held.withColumns({"role": role, fold: (F.col("__f") + 1).cast("int")}).drop("__f")
+    pick = lambda own: F.when(F.col("side") == "A", F.col("__s.A" if own else "__s.B")).when(F.col("side") == "B", F.col("__s.B" if own else "__s.A"))
+    held = held.withColumns({"__any": F.col("__s.all"), "__same": pick(True), "__other": pick(False)}).drop("__s")
+
+    def block(state: str) -> dict[str, Column]:
+        n, y, yy, lab, ll = (F.col(f"{state}.{m}") for m in measures)
+        total = y + n * centre
+        return {"ym_mean": total / n, "ym_sum": total, "ym_std": sample_std(n, y, yy), "label_mean": lab / n, "label_sum": lab, "label_std": sample_std(n, lab, ll), "n": n}
+
+    new = dict(zip(ANY, list(block("__any").values())[:6], strict=True)) | dict(zip(SAME, list(block("__same").values())[:6], strict=True))
+    other = block("__other")
+    new |= dict(zip(OTHER, (other["n"], other["ym_mean"], other["ym_std"], other["label_mean"]), strict=True))
+    return held.withColumns(new).drop("__any", "__same", "__other")
 
 
 def static_history(targets: DataFrame, sources: DataFrame) -> DataFrame:

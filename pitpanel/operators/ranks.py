@@ -1,8 +1,10 @@
 """Global ranks and prefix sums without a single-partition window.
 
-Rows are dealt to buckets by at most ``EDGES`` quantiles of the order column; a
-window runs inside each bucket and an offset, a prefix sum over at most
-``EDGES`` bucket totals for each group, is added. Exact whatever the edges are.
+Rows are dealt to buckets by quantiles of the order column, a few for each shuffle
+partition; a window runs inside each bucket and an offset, a prefix sum over the
+bucket totals of each group, is added. Exact whatever the edges are. A value that
+several quantiles fall on holds many rows: they are dealt again, by quantiles of
+the column that breaks ties.
 """
 
 from __future__ import annotations
@@ -12,24 +14,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EDGES = 256
+#: Buckets at least and at most; between them, two for each shuffle partition.
+EDGES = (64, 4096)
+_STEP = 64
 
 
-def edges(df: DataFrame, column: str, most: int = EDGES) -> list[float]:
-    """Ascending different quantiles; few, whatever the number of rows."""
-    got = df.agg(F.percentile_approx(F.col(column), [i / most for i in range(1, most)], 10 * most)).first()[0]
-    return sorted(set(got or []))
+def quantiles(df: DataFrame, *columns: str, most: int | None = None) -> list[list[float]]:
+    """Of each column, in one pass: ascending quantiles, repeated where a value holds many rows; few, whatever the number of rows."""
+    most = most or min(max(EDGES[0], 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), EDGES[1])
+    shares = [i / most for i in range(1, most)]
+    return [sorted(x or []) for x in df.agg(*[F.percentile_approx(F.col(c), shares, 10 * most) for c in columns]).first()]
+
+
+def edges(df: DataFrame, column: str, most: int | None = None) -> list[float]:
+    """Ascending different quantiles."""
+    return sorted(set(quantiles(df, column, most=most)[0]))
 
 
 def bucket(column: Column, cuts: Sequence[float]) -> Column:
-    """Number of edges at or below the value."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e: e <= column)) if cuts else F.lit(0)
+    """Number of edges at or below the value: looked for among every 64th edge, then among the edges behind it."""
+    if not cuts:
+        return F.lit(0)
+    held = F.array(*map(F.lit, cuts))
+    if len(cuts) <= _STEP:
+        return F.size(F.filter(held, lambda e: e <= column))
+    coarse = F.size(F.filter(F.array(*map(F.lit, cuts[::_STEP])), lambda e: e <= column))
+    inner = F.size(F.filter(F.slice(held, (coarse - 1) * _STEP + 1, F.lit(_STEP)), lambda e: e <= column))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * _STEP + inner)
 
 
 def prefix_sums(df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str], cuts: Sequence[float] | None = None) -> DataFrame:
-    """``df`` (one row for each value of ``order`` in a group) with ``below_<v>``, the sum over smaller ones, and ``all_<v>``."""
-    cuts = edges(df, order) if cuts is None else cuts
-    rows = df.withColumn("__b", bucket(F.col(order), cuts))
+    """``df`` (one row for each value of ``order`` in a group) with ``below_<v>``, the sum over smaller ones, and ``all_<v>``.
+
+    A column ``__b`` that ``df`` has is taken as the rows' buckets.
+    """
+    rows = df if "__b" in df.columns else df.withColumn("__b", bucket(F.col(order), edges(df, order) if cuts is None else cuts))
     by = Window.partitionBy(*groups)
     before = by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     total = rows.groupBy(*groups, "__b").agg(*[F.sum(v).alias("__t_" + v) for v in values])
@@ -50,8 +69,17 @@ def prefix_sums(df: DataFrame, groups: Sequence[str], order: str, values: Sequen
 
 def row_numbers(df: DataFrame, groups: Sequence[str], order: str, tie: str, descending: bool = False, cuts: Sequence[float] | None = None) -> DataFrame:
     """``df`` with ``rn`` (from 0, by ``order``, equals by ascending ``tie``) and ``n`` (rows of the group)."""
-    cuts = edges(df, order) if cuts is None else cuts
-    rows = df.withColumn("__b", bucket(F.col(order), cuts) * (-1 if descending else 1))
+    found = quantiles(df, order)[0] if cuts is None else list(cuts)
+    own = bucket(F.col(order), sorted(set(found)))
+    often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    if often:  # rows of a frequent value come before (descending: behind) the others of its bucket, by their tie
+        parts = edges(df, tie)
+        size = len(parts) + 2
+        late = F.when(F.col(order).isin(often), bucket(F.col(tie), parts) + (1 if descending else 0)).otherwise(0 if descending else size - 1)
+        place = own * (-size if descending else size) + late
+    else:
+        place = own * (-1 if descending else 1)
+    rows = df.withColumn("__b", place)
     by = Window.partitionBy(*groups)
     counts = rows.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

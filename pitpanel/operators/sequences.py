@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +55,16 @@ def numeric_list(df: DataFrame, column: str, longest: int | None = None) -> Data
 
 def row_moments(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
     """``df`` with std (sample), mean, skew, kurt over the columns of a row that are not null."""
-    v = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
-    rows = df.withColumn("__v", v)
-    rows = rows.withColumn("__m", F.aggregate("__v", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("__v").cast("double"), F.lit(0.0)))
+    values = [F.col(c).cast("double") for c in columns]
+    total = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0.0))
+    rows = df.withColumns({"__n": total([v.isNotNull().cast("double") for v in values]), "__flat": F.greatest(*values, F.lit(None)) == F.least(*values, F.lit(None))})
+    rows = rows.withColumn("__m", total([F.coalesce(v, F.lit(0.0)) for v in values]) / F.nullif("__n", F.lit(0.0)))
     # power sums around the mean: nothing cancels; equal values are exactly 0
-    flat = F.array_max("__v") == F.array_min("__v")
-    rows = rows.withColumn("__v", F.transform("__v", lambda x: F.when(flat, 0.0).otherwise(x - F.col("__m"))))
-    power = lambda k: F.aggregate("__v", F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(k)))
-    rows = rows.withColumns({"__n": F.size("__v").cast("double"), **{f"__{k}": power(k) for k in (1, 2, 3, 4)}})
-    return _from_sums(rows, prefix).withColumn(f"{prefix}_mean", F.col("__m")).drop("__v", "__m", "__n", "__1", "__2", "__3", "__4")
+    off = {f"__v{i}": F.when(F.col("__flat") | v.isNull(), 0.0).otherwise(v - F.col("__m")) for i, v in enumerate(values)}
+    rows = rows.withColumns(off)
+    power = lambda k: total([reduce(lambda a, b: a * b, [F.col(c)] * k) for c in off])
+    rows = rows.withColumns({f"__{k}": power(k) for k in (1, 2, 3, 4)})
+    return _from_sums(rows, prefix).withColumn(f"{prefix}_mean", F.col("__m")).drop("__flat", "__m", "__n", *off, "__1", "__2", "__3", "__4")
 
 
 def _from_sums(rows: DataFrame, prefix: str) -> DataFrame:

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import order_hash
 
 
-def stratified(rows: DataFrame, k: int = 5, seed: int = 42, name: str = "fold", within: Sequence[str] = (), shards: int = 64) -> DataFrame:
+def _shards(rows: DataFrame) -> int:
+    """Hash ranges of a class that is dealt in parts: one for each shuffle partition, 64 to 65,536."""
+    return min(max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 65_536)
+
+
+def _shard(digest: Column | str, shards: int) -> Column:
+    """The range of a hash: ranges follow the order of the hashes."""
+    return F.floor(F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") * shards / 65536)
+
+
+def stratified(rows: DataFrame, k: int = 5, seed: int = 42, name: str = "fold", within: Sequence[str] = (), shards: int | None = None) -> DataFrame:
     """``rows`` with a fold 1..k: rows of one label are dealt in turn, in hash order.
 
     Labels are few and may hold nearly all rows, so the deal runs in ``shards``
     hash ranges of each label, with an offset of what the ranges before hold.
     """
-    rows = rows.withColumn("__h", order_hash(seed, "row_id")).withColumn("__s", F.floor(F.conv(F.substring("__h", 1, 4), 16, 10).cast("int") * shards / 65536))
+    rows = rows.withColumn("__h", order_hash(seed, "row_id")).withColumn("__s", _shard("__h", shards or _shards(rows)))
     by = [*within, "label"]
     sizes = rows.groupBy(*by, "__s").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
@@ -29,15 +39,22 @@ def grouped(rows: DataFrame, k: int = 5, seed: int = 42, name: str = "fold", wit
     """``rows`` with a fold 1..k in which entities are whole.
 
     Entities are dealt to and fro, those with equal numbers of positives and rows
-    in hash order. The numbers are few, so each (positives, rows) class is ranked
-    on its own and starts where the classes before it end.
+    in hash order. Each hash range of a (positives, rows) class is ranked on its
+    own and starts where those before it end: most entities may be of one class.
     """
     entity = rows.groupBy(*within, "entity").agg(F.sum("label").alias("__pos"), F.count(F.lit(1)).alias("__n"))
-    sizes = entity.groupBy(*within, "__pos", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    entity = entity.withColumn("__h", order_hash(seed, "entity")).withColumn("__s", _shard("__h", _shards(rows)))
+    part = [*within, "__pos", "__n", "__s"]
+    sizes = entity.groupBy(*part).agg(F.count(F.lit(1)).alias("__c"))
+    # classes first (few: one for each pair of numbers), then the ranges within them
+    classes = sizes.groupBy(*part[:-1]).agg(F.sum("__c").alias("__all"))
     before = Window.partitionBy(*within).orderBy(F.desc("__pos"), F.desc("__n")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
-    inside = Window.partitionBy(*within, "__pos", "__n").orderBy(order_hash(seed, "entity"), "entity")
-    dealt = entity.withColumn("__r", F.row_number().over(inside) - 1).join(sizes, [*within, "__pos", "__n"])
+    classes = classes.withColumn("__start", F.coalesce(F.sum("__all").over(before), F.lit(0))).drop("__all")
+    ranges = Window.partitionBy(*part[:-1]).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__o", F.coalesce(F.sum("__c").over(ranges), F.lit(0))).join(classes, part[:-1])
+    sizes = sizes.select(*part, (F.col("__o") + F.col("__start")).alias("__o"))
+    inside = Window.partitionBy(*part).orderBy("__h", "entity")
+    dealt = entity.withColumn("__r", F.row_number().over(inside) - 1).join(sizes, part)
     at = F.pmod(F.col("__o") + F.col("__r"), F.lit(2 * k))
     dealt = dealt.select(*within, "entity", F.when(at < k, at + 1).otherwise(2 * k - at).cast("int").alias(name))
     return rows.join(dealt, [*within, "entity"])
