@@ -50,6 +50,16 @@ def sample_std(n: Column, total: Column, squares: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
 
 
+def format_fixed(c: Column, digits: int = 4) -> Column:
+    """A number with a fixed number of decimals, without separators."""
+    return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def format_thousands(c: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(c.cast("long"), 0)
+
+
 def format_share(c: Column, digits: int = 2) -> Column:
     """A share as text in percent."""
     return F.concat(F.format_number(100 * c, digits), F.lit("%"))

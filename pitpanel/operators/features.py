@@ -50,6 +50,23 @@ def variants(columns: list[str]) -> dict[str, list[str]]:
     return steps | {f"no_{k}": [c for c in columns if c not in v] for k, v in g.items() if v}
 
 
+#: Columns that hold a calendar position, which a time variant leaves out.
+ABSOLUTE = ("TestDate_year", "YearMonthIndex", *[c for c in FEATURES if "YearMonthIndex" in c and not c.endswith("_std")])
+
+
+def time_variants(matrix: DataFrame, columns: list[str]) -> dict[str, tuple[DataFrame, list[str]]]:
+    """full, without_absolute_time and relative_time: a table and the feature columns of each.
+
+    The last one reads gaps to the present instead of positions in the calendar.
+    """
+    from .history import relative_time
+
+    rest = [c for c in columns if c not in ABSOLUTE]
+    gaps = relative_time(matrix)
+    new = [c for c in gaps.columns if "month_gap" in c]
+    return {"full": (matrix, list(columns)), "without_absolute_time": (matrix, rest), "relative_time": (gaps, [c for c in rest if c in gaps.columns] + new)}
+
+
 def union_common(a: DataFrame, b: DataFrame) -> DataFrame:
     """Both tables' rows in the columns that both have."""
     common = [c for c in a.columns if c in b.columns]

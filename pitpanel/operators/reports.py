@@ -135,3 +135,60 @@ def checks(df: DataFrame, key: str, label: str) -> DataFrame:
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.coalesce(F.col(label).isin(0, 1), F.lit(False))).alias("bad"))
     one = per.agg(F.count_if(F.col("c") > 1).alias("a"), F.count_if(F.col(key).isNull()).alias("b"), F.coalesce(F.sum("bad"), F.lit(0)).alias("c"))
     return one.selectExpr("stack(3, 'unique_key', a, 'null_key', b, 'binary_label', c) AS (check, value)").withColumn("ok", F.col("value") == 0)
+
+
+def compare(saved: DataFrame, expected: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
+    """One row for each failure: keys, ``column`` (null for whole rows), ``kind`` (missing, extra, repeated, differs), saved, expected.
+
+    Values compare as doubles, null only with null. Rows of ``expected`` that
+    ``saved`` lacks are missing, the others extra; keys that ``saved`` has twice
+    are repeated. No rows: the table was saved as it is computed again.
+    """
+    side = lambda df, p: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(p + "_times"), *[F.first(F.col(v).cast("double")).alias(p + v) for v in values])
+    both = side(saved, "__s_").join(side(expected, "__e_"), list(keys), "full")
+    none = F.lit(None).cast("double")
+    fault = lambda when, kind, column=None, a=none, b=none: F.when(when, F.struct(F.lit(column).cast("string").alias("column"), F.lit(kind).alias("kind"), a.alias("saved"), b.alias("expected")))
+    found = [fault(F.col("__s__times").isNull(), "missing"), fault(F.col("__e__times").isNull(), "extra"), fault(F.col("__s__times") > 1, "repeated")]
+    for v in values:
+        a, b = F.col("__s_" + v), F.col("__e_" + v)
+        off = (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > tolerance, F.lit(False))
+        found.append(fault(F.col("__s__times").isNotNull() & F.col("__e__times").isNotNull() & off, "differs", v, a, b))
+    return both.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("f")).select(*keys, "f.*")
+
+
+def verdict(checked: DataFrame) -> DataFrame:
+    """One row from (check, value, ok): checks, failed, failures (their sorted names, comma-joined), verdict PASS or FAIL. A null ok fails; no checks fail too."""
+    bad = ~F.coalesce(F.col("ok"), F.lit(False))
+    one = checked.agg(F.count(F.lit(1)).alias("checks"), F.count_if(bad).alias("failed"), F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("check")))), ",").alias("failures"))
+    return one.withColumn("verdict", F.when((F.col("failed") == 0) & (F.col("checks") > 0), "PASS").otherwise("FAIL"))
+
+
+def subset(part: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of ``part`` that ``whole`` lacks; none: it is contained."""
+    return part.select(*keys).distinct().join(whole.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def validated_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``left`` joined with at most one row of ``right`` each; the job fails where ``right`` has a key twice."""
+    rest = [c for c in right.columns if c not in keys]
+    once = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in rest])
+    checked = F.when(F.assert_true(F.coalesce(F.col("__n"), F.lit(1)) == 1, "a key of the right table repeats").isNull(), F.lit(True))
+    return left.join(once, list(keys), how).withColumn("__ok", checked).filter("__ok").drop("__n", "__ok")
+
+
+def ordered(df: DataFrame, key: str, labels: Sequence[tuple[str, str]]) -> DataFrame:
+    """The rows of the named keys with ``position`` (from 1) and ``label``, as a report lists them."""
+    made = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(k).alias("k"), F.lit(t).alias("label")) for i, (k, t) in enumerate(labels)])
+    own = F.filter(made, lambda x: x["k"] == F.col(key))
+    return df.withColumn("__x", F.try_element_at(own, F.lit(1))).filter("__x is not null").select(F.col("__x.position").alias("position"), F.col("__x.label").alias("label"), *df.columns)
+
+
+def overlap_summary(pairs: DataFrame) -> DataFrame:
+    """k: mean, min and max of shared and of jaccard over the pairs of folds."""
+    return pairs.groupBy("k").agg(*[f(c).alias(f"{c}_{n}") for c in ("shared", "jaccard") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+
+
+def importance(phi: DataFrame, groups: Sequence[str] = ("fold",)) -> DataFrame:
+    """groups, feature, mean_abs, mean_signed, rank: attributions of rows as importance of features; 1 is the largest."""
+    out = phi.groupBy(*groups, "feature").agg(F.avg(F.abs(F.col("phi"))).alias("mean_abs"), F.avg("phi").alias("mean_signed"))
+    return out.withColumn("rank", F.rank().over(Window.partitionBy(*groups).orderBy(F.desc("mean_abs"))))

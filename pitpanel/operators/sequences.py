@@ -24,6 +24,12 @@ def token_counts(df: DataFrame, tokens: str, key: str = "row_id") -> DataFrame:
     return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def select_tokens(counts: DataFrame, rules: Sequence[tuple[str, int, Sequence[str]]]) -> DataFrame:
+    """Counts of the tokens that a rule (start of the token, place from 1, characters) picks: the character at that place is one of them."""
+    picked = reduce(lambda a, b: a | b, [F.col("token").startswith(start) & F.substring("token", at, 1).isin(*codes) for start, at, codes in rules], F.lit(False))
+    return counts.filter(picked)
+
+
 def vocabulary(counts: DataFrame) -> DataFrame:
     """The tokens of a training set; bounded by the code book, not by the rows."""
     return counts.select("token").distinct()
@@ -80,12 +86,18 @@ def _from_sums(rows: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def token_moments(rows: DataFrame, counts: DataFrame, size: int, prefix: str, key: str = "row_id") -> DataFrame:
-    """(key, moments) over the counts of all ``size`` tokens of a vocabulary, zeros of absent ones included: power sums, no pivot."""
+def token_moments(rows: DataFrame, counts: DataFrame, size: int, prefix: str, key: str = "row_id", scalars: Sequence[str] = ()) -> DataFrame:
+    """(key, moments) over the counts of all ``size`` tokens of a vocabulary, zeros of absent ones included: power sums, no pivot.
+
+    ``scalars`` are columns of ``rows`` that count as values beside the tokens, where they are not null.
+    """
     n = F.col("n").cast("double")
     sums = counts.groupBy(key).agg(*[F.sum(F.pow(n, F.lit(k))).alias(f"__{k}") for k in (1, 2, 3, 4)])
-    out = rows.select(key).join(sums, key, "left").withColumns({"__n": F.lit(float(size)), **{f"__{k}": F.coalesce(F.col(f"__{k}"), F.lit(0.0)) for k in (1, 2, 3, 4)}})
-    return _from_sums(out, prefix).drop("__n", "__1", "__2", "__3", "__4")
+    values = [F.col(c).cast("double") for c in scalars]
+    total = lambda xs, first: reduce(lambda a, b: a + b, xs, first)
+    power = {f"__{k}": total([F.coalesce(F.pow(v, F.lit(k)), F.lit(0.0)) for v in values], F.coalesce(F.col(f"__{k}"), F.lit(0.0))) for k in (1, 2, 3, 4)}
+    out = rows.select(key, *scalars).join(sums, key, "left").withColumns({"__n": total([v.isNotNull().cast("double") for v in values], F.lit(float(size))), **power})
+    return _from_sums(out, prefix).drop("__n", "__1", "__2", "__3", "__4", *scalars)
 
 
 def missing_count(columns: Sequence[str]) -> Column:

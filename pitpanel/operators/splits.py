@@ -97,6 +97,47 @@ def audit(rows: DataFrame, fold: str = "fold", k: int = 5) -> DataFrame:
     return out.join(row, fold).join(entity, fold)
 
 
+def inner_roles(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Rows with an inner fold of their own: each once in every inner fold 1..k of its outer fold, with its role there."""
+    out = rows.withColumnRenamed("inner_fold", "__own").withColumn("inner_fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    return out.withColumn("role", F.when(F.col("__own") == F.col("inner_fold"), "valid").otherwise("train")).drop("__own")
+
+
+#: What ``nested_audit`` counts, in order.
+VIOLATIONS = ("row_overlap", "entity_overlap", "outer_overlap", "not_contained", "outer_leakage", "not_forward")
+
+
+def nested_audit(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """For each (outer_fold, inner_fold): train_rows, valid_rows, and violations of a nested split.
+
+    ``outer`` has (outer_fold, row_id, role), ``inner`` (outer_fold, inner_fold,
+    row_id, entity, period, role). Rows and entities on both sides of the inner
+    fold; rows on both sides of the outer fold; inner rows that the outer fold's
+    training rows lack (``left_anti`` in effect), or that its validation rows
+    have; training rows no earlier than the first validation row. Which of them
+    are faults depends on the scheme: entities may be on both sides of a
+    stratified split, and only a temporal one must run forward.
+    """
+    keys = ["outer_fold", "inner_fold"]
+    is_in = lambda role: F.max((F.col("role") == role).cast("int"))
+    both = (F.col("t") == 1) & (F.col("v") == 1)
+    sides = outer.groupBy("outer_fold", "row_id").agg(is_in("train").alias("ot"), is_in("valid").alias("ov"))
+    twice = sides.groupBy("outer_fold").agg(F.count_if((F.col("ot") == 1) & (F.col("ov") == 1)).alias("outer_overlap"))
+    row = inner.groupBy(*keys, "row_id").agg(is_in("train").alias("t"), is_in("valid").alias("v")).join(sides, ["outer_fold", "row_id"], "left")
+    row = row.groupBy(*keys).agg(
+        F.sum("t").alias("train_rows"),
+        F.sum("v").alias("valid_rows"),
+        F.count_if(both).alias("row_overlap"),
+        F.count_if(F.coalesce(F.col("ot"), F.lit(0)) == 0).alias("not_contained"),
+        F.count_if(F.col("ov") == 1).alias("outer_leakage"),
+    )
+    entity = inner.groupBy(*keys, "entity").agg(is_in("train").alias("t"), is_in("valid").alias("v")).groupBy(*keys).agg(F.count_if(both).alias("entity_overlap"))
+    starts = inner.filter("role = 'valid'").groupBy(*keys).agg(F.min("period").alias("__start"))  # a row for each fold
+    forward = inner.filter("role = 'train'").join(F.broadcast(starts), keys).groupBy(*keys).agg(F.count_if(F.col("period") >= F.col("__start")).alias("not_forward"))
+    out = row.join(entity, keys, "left").join(forward, keys, "left").join(twice, "outer_fold", "left")
+    return out.select(*keys, "train_rows", "valid_rows", *[F.coalesce(v, F.lit(0)).cast("long").alias(v) for v in VIOLATIONS])
+
+
 def sample(rows: DataFrame, n: int, key: str = "row_id", seed: int = 42) -> DataFrame:
     """The ``n`` rows that come first in hash order: sampling without replacement."""
     return rows.orderBy(order_hash(seed, key), key).limit(n)

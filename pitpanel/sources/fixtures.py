@@ -57,20 +57,24 @@ def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, code_1, code_2, times): encoded comma lists, one row for each order."""
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_quantity")
+    """(row_id, code_1, code_2, times, times_2, times_3, times_4): encoded comma lists, one row for each order."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.array_sort(F.collect_list(item)).alias("i"))
     flag = lambda x: F.when(x["l_returnflag"] == "A", "1").when(x["l_returnflag"] == "N", "2").otherwise("3")
     status = lambda x: F.when(x["l_linestatus"] == "O", "1").otherwise("2")
-    time = lambda x: x["l_quantity"].cast("int").cast("string")
-    return rows.select("row_id", *[F.array_join(F.transform("i", f), ",").alias(n) for n, f in (("code_1", flag), ("code_2", status), ("times", time))])
+    time = lambda c, by=1: lambda x: F.round(x[c] * by).cast("int").cast("string")
+    lists = (("code_1", flag), ("code_2", status), ("times", time("l_quantity")), ("times_2", time("l_discount", 100)), ("times_3", time("l_tax", 100)), ("times_4", time("l_linenumber")))
+    return rows.select("row_id", *[F.array_join(F.transform("i", f), ",").alias(n) for n, f in lists])
 
 
-_ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, l_quantity"
+_ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax"
 SEQ = f"""seq AS (
   SELECT l_orderkey AS row_id, string_agg(CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END, ',' {_ORDER}) AS code_1,
          string_agg(CASE l_linestatus WHEN 'O' THEN '1' ELSE '2' END, ',' {_ORDER}) AS code_2,
-         string_agg(CAST(CAST(l_quantity AS INT) AS VARCHAR), ',' {_ORDER}) AS times
+         string_agg(CAST(CAST(l_quantity AS INT) AS VARCHAR), ',' {_ORDER}) AS times,
+         string_agg(CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR), ',' {_ORDER}) AS times_2,
+         string_agg(CAST(CAST(round(l_tax * 100) AS INT) AS VARCHAR), ',' {_ORDER}) AS times_3,
+         string_agg(CAST(l_linenumber AS VARCHAR), ',' {_ORDER}) AS times_4
   FROM lineitem GROUP BY l_orderkey)"""
 
 

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.reports import fingerprint
+from ..operators.reports import checks, fingerprint
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files of one call, below ``spark.checkpoint.dir``; where that is unset, a private one in local mode and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: files need a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="pitpanel-")
+        atexit.register(shutil.rmtree, own, True)
+        shared = f"file://{own}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return path
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -28,8 +48,25 @@ def read_folds(spark: SparkSession, path: str, folds: Sequence[int] | None = Non
     return df.filter(F.col("fold").isin(*folds)) if folds is not None else df
 
 
-def write_predictions(df: DataFrame, path: str, keys: Sequence[str] = ("fold",)) -> None:
-    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+def write_predictions(df: DataFrame, path: str, keys: Sequence[str] = ("fold",), files: int = 8, by: str = "row_id") -> None:
+    """Parquet in a folder for each of ``keys``; rows of a key go to ``files`` tasks, so none writes a fold alone."""
+    part = F.pmod(F.xxhash64(by), F.lit(files))
+    df.repartition(*keys, part).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def save_features(df: DataFrame, path: str, key: str = "row_id") -> None:
+    """Features, target and record columns in one table, in files by ranges of the key: nothing is aligned by position."""
+    df.repartitionByRange(key).write.mode("overwrite").parquet(path)
+
+
+def load_features(spark: SparkSession, path: str, columns: Sequence[str], key: str = "row_id", label: str = "label") -> DataFrame:
+    """A table that :func:`save_features` wrote; refused if columns lack, keys repeat or are null, or labels are not 0 and 1."""
+    df = spark.read.parquet(path)
+    if missing := [c for c in (key, label, *columns) if c not in df.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    if bad := [r["check"] for r in checks(df, key, label).filter("not ok").collect()]:  # three rows at most
+        raise ValueError(f"the table fails: {', '.join(sorted(bad))}")
+    return df
 
 
 def write_report(df: DataFrame, path: str, digits: int = 6) -> None:
