@@ -223,7 +223,8 @@ def _resolved(going: DataFrame, space: S.Workspace, length: int) -> DataFrame |
         found = unique if found is None else found.unionByName(unique)
         if n < 4:  # only positions that are not unique yet are ranked by the next pair
             again = groups.filter("n > 1").select(*rank)
-            ranked = ranked.join(again.hint("merge"), rank, "left_semi")
+            # saved, so that a frequent rank is split by the join and combined before the next round deals it out
+            ranked = space.save(ranked.join(again.hint("merge"), rank, "left_semi"), f"ranked-{n}")
     held = found.groupBy("key").agg(F.collect_list(F.struct("at", "size")).alias("s"))
     return held.select("key", F.col("s.at").alias("spans"), F.col("s.size").alias("sizes"))
 
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     covered = settled.select("key", each).select("key", F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last")).unionByName(runs)
     gone = covered.groupBy("key").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e"))).alias("r"))
     gone = space.save(gone.select("key", F.col("r.s").alias("starts"), F.col("r.e").alias("ends")), "gone")
-    space.drop("stretches", "leads", "going", "ranked", "groups-1", "groups-2", "positions")
+    space.drop("stretches", "leads", "going", "ranked", "ranked-1", "ranked-2", "groups-1", "groups-2", "positions")
 
     # only documents that lose bytes meet their runs
     bits = spark.sparkContext.broadcast(S.bitmap(gone, S.slots("key")))
