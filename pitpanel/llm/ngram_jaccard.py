@@ -13,16 +13,18 @@ overlap counts over the blocks:
    as weight. First every class is multiplied with a few of the classes that lead
    its blocks (each block's smallest), and pairs that reach the threshold are
    merged into components.
-4. Blocks whose classes are then all in one component are done. In the others
-   pairs of different components are made, within bands of sizes that can match;
-   pairs below the bounds that follow from their sizes and from the place of the
-   first shared shingle in either order are never made.
+4. Blocks whose classes are then all in one component are done. In the others each
+   class tries leaders of other components, drawn anew for a few rounds, so that a
+   group of near copies grows together without its pairs being made. What is open
+   then is multiplied in full: pairs of different components, within bands of sizes
+   that can match; pairs below the bounds that follow from their sizes and from the
+   place of the first shared shingle in either order are never made.
 
 For the pairs of either step the weights of their common blocks are summed: this is
 their overlap within both prefixes. Pairs for which that and the rest of the shorter
 prefix cannot reach the threshold are discarded. Of the others the rows of the whole
-incidence matrix, cut into ``COLUMNS`` blocks of columns, are multiplied block by
-block, and the sums decide.
+incidence matrix, cut into blocks of about ``COLUMNS`` columns, are multiplied block
+by block, and the sums decide; so a set of any size meets another in parts.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ from . import shared as S
 SPACES = " \t\n\x0b\x0c\r"
 _WORD = S.word_table(SPACES)
 SKETCH = 1 << 20  # counters of the count sketch: its size does not grow with the data
-HUBS = 3
+HUBS = 3  # leaders that a class tries in a round
+ROUNDS = 4  # rounds with new leaders, at most
 _NO_ID = -(1 << 63)  # stands for a null id within the joins
-COLUMNS = 8  # blocks of columns of the whole matrix
+COLUMNS = 4096  # a set's columns in one block of the whole matrix, about
+_WEIGHT = 1 << 20  # the low bits of a block's name hold its weight; one less than this stands for any larger one
 _PART = 1 << 16  # counters in one row of a sketch
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -147,8 +151,14 @@ def _prefixes(words: int, percent: int, held, only=None):
     return run
 
 
-def _incidence(words: int, held):
-    """Rows (id, k, cb, shingles): the blocks of columns of the documents (slot, id, k, text) that the bitmap lets through."""
+def _levels(n: int, percent: int) -> range:
+    """Cuts of a set of ``n`` into 2**level blocks: its own, and those of the larger sets that it may meet."""
+    level = lambda size: max(0, (-(-size // COLUMNS) - 1).bit_length())
+    return range(level(n), level(100 * n // percent) + 1)
+
+
+def _incidence(words: int, percent: int, held):
+    """Rows (id, k, level, cb, shingles): the blocks of columns of the documents (slot, id, k, text) that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -156,18 +166,21 @@ def _incidence(words: int, held):
             part = batch.filter(pa.array(S.in_bitmap(bits, batch.column(0).to_numpy())))
             if not part.num_rows:
                 continue
-            rows, blocks, sizes, values = [], [], [], []
+            rows, levels, blocks, sizes, values = [], [], [], [], []
             for row, s in shingle_sets(part.column(3), words):
-                block = (s & np.uint64(COLUMNS - 1)).astype(np.int32)
-                found, n = np.unique(block, return_counts=True)
-                rows.append(np.full(len(found), row))
-                blocks.append(found)
-                sizes.append(n)
-                values.append(s[np.argsort(block, kind="stable")].view(np.int64))
+                for level in _levels(len(s), percent):
+                    block = (s & np.uint64((1 << level) - 1)).astype(np.int64)
+                    found, n = np.unique(block, return_counts=True)
+                    rows.append(np.full(len(found), row))
+                    levels.append(np.full(len(found), level, np.int32))
+                    blocks.append(found)
+                    sizes.append(n)
+                    values.append(s[np.argsort(block, kind="stable")].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
             ids = [part.column(c).take(pa.array(np.concatenate(rows))) for c in (1, 2)]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate(blocks)), lists], ["__id", "__k", "cb", "shingles"])
+            cols = [*ids, pa.array(np.concatenate(levels)), pa.array(np.concatenate(blocks)), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["__id", "__k", "level", "cb", "shingles"])
 
     return run
 
@@ -204,55 +217,88 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
     columns = rows.select("__text").mapInArrow(_prefixes(words, percent, held), entry).groupBy("h")
     columns = columns.agg(F.min("name").alias("hub"), F.max("name").alias("last"), F.bit_xor(F.xxhash64("name")).alias("x")).filter("hub <> last")
     # the block of a column is named by its classes; a class that several tasks saw may keep blocks apart, and never hides one
-    columns = space.save(columns.select("h", "hub", F.xxhash64("hub", "last", "x").alias("block")), "columns")
+    columns = space.save(columns.select("h", "hub", F.xxhash64("hub", "last", "x").alias("x")), "columns")
+    weight = F.least(F.count(F.lit(1)), F.lit(_WEIGHT - 1))
+    weights = space.save(columns.groupBy("x").agg((F.col("x") - F.pmod("x", F.lit(_WEIGHT)) + weight).alias("block")), "weights")
+    columns = space.save(columns.join(weights.hint("merge"), "x").drop("x"), "named-columns")
     bits = context.broadcast(S.bitmap(columns, F.pmod("h", F.lit(S.BITMAP_BITS)).cast("int")))
     entries = rows.select("__text").mapInArrow(_prefixes(words, percent, held, bits), entry).join(columns.hint("merge"), "h")
     blocks = entries.groupBy("block", "name").agg(F.min("hub").alias("hub"), F.max("n").alias("n"), F.min("place").alias("place"))
-    weights = columns.groupBy("block").agg(F.count(F.lit(1)).alias("w"))
-    blocks = space.save(blocks.join(space.save(weights, "weights").hint("merge"), "block"), "blocks")
+    blocks = space.save(blocks, "blocks")
+    parts = space.save(blocks.groupBy("name").agg(F.collect_list("block").alias("part")), "parts")
+    of_block = lambda block: F.pmod(block, F.lit(_WEIGHT))
 
-    def linked(pairs: DataFrame, step: str) -> DataFrame:
+    def incidence(names: DataFrame, step: str) -> DataFrame:
+        """(name, level, cb, shingles): the rows of the whole matrix of the classes ``names``, each from one of its documents."""
+        wanted = space.save(classes.join(names.hint("merge"), "name", "left_semi").select("name", "first.__id", "first.__k"), f"wanted-{step}")
+        bits = context.broadcast(S.bitmap(wanted, S.slots("__k")))
+        whole = rows.select(S.slots("__k").alias("slot"), "__id", "__k", "__text").mapInArrow(_incidence(words, percent, bits), "__id long, __k long, level int, cb long, shingles array<long>")
+        whole = whole.join(wanted.hint("merge"), ["__id", "__k"]).dropDuplicates(["name", "level", "cb"]).select("name", "level", "cb", "shingles")
+        return space.save(whole, f"whole-{step}")
+
+    def linked(pairs: DataFrame, step: str, whole: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) that reach the threshold: first by the product of prefixes, then by that of the whole rows."""
+        held = parts.join(classes.select("name", "n").hint("merge"), "name")
         for k in "ab":
-            pairs = pairs.join(classes.select(F.col("name").alias(k), F.col("n").alias("n" + k)).hint("merge"), k)
-        pairs = space.save(pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), f"pairs-{step}")
-        left, right = (blocks.select(F.col("name").alias(k), "block", *(["w"] if k == "b" else [])).hint("merge") for k in "ab")
-        shared = pairs.join(right, "b").join(left, ["a", "block"]).groupBy("a", "b", "na", "nb").agg(F.sum("w").alias("c"))
+            pairs = pairs.join(held.select(F.col("name").alias(k), F.col("n").alias("n" + k), F.col("part").alias("p" + k)).hint("merge"), k)
+        pairs = pairs.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        each = F.transform(F.array_intersect("pa", "pb"), lambda x: F.when(of_block(x) < _WEIGHT - 1, of_block(x)).otherwise(1 << 40))
+        shared = pairs.withColumn("c", F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x))
         # shared shingles lie in both prefixes, or behind the end of the prefix that ends first
         behind = f"greatest(-floor(-{percent} * na / 100) - 1, -floor(-{percent} * nb / 100) - 1)"
-        able = space.save(shared.filter(f"{100 + percent} * (c + {behind}) >= {percent} * (na + nb)").drop("c"), f"able-{step}")
-        names = able.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        wanted = space.save(classes.join(names.hint("merge"), "name", "left_semi").select("name", "first.__id", "first.__k"), f"wanted-{step}")
-        bits = context.broadcast(S.bitmap(wanted, S.slots("__k")))
-        whole = rows.select(S.slots("__k").alias("slot"), "__id", "__k", "__text").mapInArrow(_incidence(words, bits), "__id long, __k long, cb int, shingles array<long>")
-        whole = whole.join(wanted.hint("merge"), ["__id", "__k"]).dropDuplicates(["name", "cb"]).select("name", "cb", "shingles")
-        whole = space.save(whole, f"whole-{step}")
-        left, right = (whole.select(F.col("name").alias(k), "cb", F.col("shingles").alias("s" + k)).hint("merge") for k in "ab")
-        product = able.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(COLUMNS - 1)))).join(right, ["b", "cb"]).join(left, ["a", "cb"])
+        able = space.save(shared.filter(f"{100 + percent} * (c + {behind}) >= {percent} * (na + nb)").select("a", "b", "na", "nb"), f"able-{step}")
+        if whole is None:
+            whole = incidence(able.select(F.explode(F.array("a", "b")).alias("name")).distinct(), step)
+        left, right = (whole.select(F.col("name").alias(k), "level", "cb", F.col("shingles").alias("s" + k)).hint("merge") for k in "ab")
+        level = F.expr(f"if(greatest(na, nb) <= {COLUMNS}, 0, length(bin(int(ceil(greatest(na, nb) / {COLUMNS})) - 1)))").cast("int")
+        product = able.withColumn("level", level).withColumn("cb", F.explode(F.expr("sequence(0L, shiftleft(1L, level) - 1)")))
+        product = product.join(right, ["b", "level", "cb"]).join(left, ["a", "level", "cb"])
         counts = product.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
         links = space.save(counts.filter(f"100 * c >= {percent} * (na + nb - c)").select("a", "b"), f"links-{step}")
-        space.drop(f"pairs-{step}", f"able-{step}", f"wanted-{step}", f"whole-{step}")
+        space.drop(f"able-{step}", f"wanted-{step}", f"whole-{step}")
         return links
 
+    def leaders(led: DataFrame, step: str) -> DataFrame:
+        """(a, b) of rows (name, hub, c): the HUBS leaders with which a class shares most."""
+        rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
+        return space.save(led.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b")).distinct(), step)
+
+    def still_open(label: DataFrame, step: int) -> DataFrame:
+        """(block, name, n, place, label) of the blocks with classes of more than one component."""
+        marked = blocks.join(label.hint("merge"), blocks["name"] == label["node"], "left").select("block", "name", "n", "place", F.coalesce("label", "name").alias("label"))
+        marked = space.save(marked, f"marked-{step}")
+        apart = marked.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block")
+        out = space.save(marked.join(space.save(apart, f"apart-{step}").hint("merge"), "block"), f"open-{step}")
+        space.drop(f"marked-{step}", f"apart-{step}")
+        return out
+
+    weight = F.sum(of_block(F.col("block"))).alias("c")
     # step 3
-    # a class tries the HUBS classes that lead most of its shingles; step 4 makes every other pair that is not settled then
-    led = blocks.filter("name <> hub").groupBy("name", "hub").agg(F.sum("w").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
-    star = led.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("name").alias("b"))
-    star = space.save(star, "star")
-    links = linked(star, "1")
-    label = S.components(links, space, "labels-1")
-
-    # step 4
-    marked = blocks.join(label.hint("merge"), blocks["name"] == label["node"], "left").select("block", "name", "n", "place", F.coalesce("label", "name").alias("label"))
-    marked = space.save(marked, "marked")
-    still_open = marked.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block")
-    open_blocks = marked.join(space.save(still_open, "open").hint("merge"), "block")
+    tried = leaders(blocks.filter("name <> hub").groupBy("name", "hub").agg(weight), "star")
+    links = linked(tried, "star")
+    label = S.components(links, space, "labels-0")
+
+    # step 4: rounds with leaders of other components, then the rest in full
+    open_blocks = still_open(label, 0)
+    whole = incidence(open_blocks.select("name").distinct(), "open")
+    for step in range(1, ROUNDS + 1):
+        drawn = F.struct(F.xxhash64("name", F.lit(step)), F.col("name").alias("hub"), F.col("label").alias("__l"))
+        lead = space.save(open_blocks.groupBy("block").agg(F.min(drawn).alias("l")).select("block", "l.hub", "l.__l"), f"lead-{step}")
+        led = open_blocks.join(lead.hint("merge"), "block").filter("label <> __l").groupBy("name", "hub").agg(weight)
+        new = leaders(led, f"try-{step}").join(tried, ["a", "b"], "left_anti")
+        found = linked(new, f"round-{step}", whole)
+        tried = tried.unionByName(space.spark.read.schema(tried.schema).parquet(f"{space.path}/try-{step}"))
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        label = S.components(links, space, f"labels-{step}")
+        open_blocks = still_open(label, step)
+        space.drop(f"lead-{step}", f"open-{step - 1}")
     # sizes that can match lie in the same band or in neighbouring ones (bands a little wider than the ratio: no rounding)
     band = F.floor(F.log("n") * (0.999 / np.log(100 / percent))) if percent < 100 else F.col("n").cast("long")
-    open_blocks = space.save(open_blocks.withColumn("band", band), "open-blocks")
-    x = open_blocks.alias("x")
-    y = open_blocks.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
+    banded = space.save(open_blocks.withColumn("band", band), "open-blocks")
+    x = banded.alias("x")
+    y = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
     # a pair is looked for at the first shingle that both have: all that they share lies from there on
     bound = "least(x.n - x.place, y.n - y.place)"
     pairs = x.join(
@@ -263,8 +309,8 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
         ),
     )
     pairs = pairs.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
-    more = linked(pairs.join(star, ["a", "b"], "left_anti"), "2")
-    label = S.components(links.unionByName(more), space, "labels-2")
+    more = linked(pairs.join(tried, ["a", "b"], "left_anti"), "rest", whole)
+    label = S.components(links.unionByName(more), space, "labels-rest")
 
     # back to documents
     named = classes.join(label.hint("merge"), classes["name"] == label["node"], "left").select("name", "first", F.coalesce("label", "name").alias("label"))
