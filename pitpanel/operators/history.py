@@ -35,8 +35,9 @@ def fold_history(targets: DataFrame, sources: DataFrame, keys: Sequence[str] = (
     """``targets`` with the history columns of ``blocks``, taken from ``sources``.
 
     Both have entity, side, period, ym_index, label; ``keys`` (a fold, say) must
-    be equal too. No earlier source: null, in counts too. A null period, side or
-    entity has no history and is no history.
+    be equal too. No earlier source: null, in counts too. A null period or entity
+    has no history and is none; a null side has no same or opposite one, and is
+    part of any side's history alone.
     """
     names = ["entity", "side", "period", "ym_index", "label", *keys]
     t = targets.withColumns({"__source": F.lit(False), "__look": flip(F.col("side"))})
@@ -44,14 +45,15 @@ def fold_history(targets: DataFrame, sources: DataFrame, keys: Sequence[str] = (
     rows = t.unionByName(s, allowMissingColumns=True)
     past = lambda *by: Window.partitionBy(*by).orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
     source, new = F.col("__source"), {}
+    sided = source & F.col("side").isNotNull()
     rows = rows.repartition(*keys, "entity")
     if "any" in blocks:
         new |= _block(ANY, past(*keys, "entity"), source)
     if "same" in blocks:
-        new |= _block(SAME, past(*keys, "entity", "side"), source)
+        new |= _block(SAME, past(*keys, "entity", "side"), sided)
     if "other" in blocks:
         w = past(*keys, "entity", "__look")
-        v = lambda x: F.when(source, F.col(x))
+        v = lambda x: F.when(sided, F.col(x))
         new |= {
             OTHER[0]: F.nullif(F.count(v("period")).over(w), F.lit(0)),
             OTHER[1]: F.avg(v("ym_index")).over(w),

@@ -5,8 +5,12 @@ Everything is fitted on training rows only, medians and scales included.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import random
+from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,7 +19,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import auc_ap, brier, composite, ece
+from .metrics import metric_vector
+
+T = TypeVar("T")
 
 
 def prevalence(train: DataFrame, valid: DataFrame) -> DataFrame:
@@ -23,10 +29,10 @@ def prevalence(train: DataFrame, valid: DataFrame) -> DataFrame:
     return valid.select("row_id", "label").join(F.broadcast(train.agg(F.avg("label").alias("p"))))
 
 
-def _prepare(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Doubles, with an indicator for each column that may be missing: trees read it, medians fill the rest."""
+def _prepare(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and doubles, with an indicator for each column that may be missing: trees read it, medians fill the rest."""
     gaps = [F.col(c).isNull().cast("double").alias("na_" + c) for c in features]
-    return df.select("row_id", F.col("label").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in features], *gaps)
+    return df.select("row_id", *keys, F.col("label").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in features], *gaps)
 
 
 def _stages(features: Sequence[str], indicators: bool):
@@ -58,16 +64,18 @@ def score(model, df: DataFrame, name: str) -> DataFrame:
     return model.transform(df).select("row_id", F.col("label").cast("int").alias("y"), F.lit(name).alias("model"), vector_to_array("probability")[1].alias("p"))
 
 
-def fit_score(train: DataFrame, valid: DataFrame, features: Sequence[str], names: Sequence[str] | None = None, **settings) -> DataFrame:
-    """row_id, y, model, p on ``valid`` for each tree ensemble and for ``vote``, the mean of their probabilities."""
+def fit_score(
+    train: DataFrame, valid: DataFrame, features: Sequence[str], names: Sequence[str] | None = None, parallelism: int = 4, keep: Callable[[DataFrame], DataFrame] | None = None, **settings
+) -> DataFrame:
+    """row_id, y, model, p on ``valid`` for each tree ensemble and for ``vote``, the mean of their probabilities; ``keep`` as in ``search_c``."""
+    keep = keep or (lambda df: df)
     a, b = _prepare(train, features), _prepare(valid, features)
     fill, assemble = _stages(features, True)
     ready = Pipeline(stages=[fill, assemble]).fit(a)
-    a, b = ready.transform(a).select("row_id", "label", "raw").persist(), ready.transform(b).select("row_id", "label", "raw")
+    a, b = (keep(ready.transform(x).select("row_id", "label", "raw")) for x in (a, b))
     chosen = {k: m for k, m in members(**settings).items() if names is None or k in names}
-    each = reduce(DataFrame.unionByName, [score(m.fit(a), b, k) for k, m in chosen.items()])
+    each = reduce(DataFrame.unionByName, _at_once([lambda k=k, m=m: score(m.fit(a), b, k) for k, m in chosen.items()], parallelism))
     vote = each.groupBy("row_id").agg(F.max("y").alias("y"), F.avg("p").alias("p")).withColumn("model", F.lit("vote"))
-    a.unpersist()
     return each.unionByName(vote)
 
 
@@ -76,26 +84,84 @@ def fit_logistic(train: DataFrame, valid: DataFrame, features: Sequence[str], c:
     return score(logistic(features, c, a.count()).fit(a), _prepare(valid, features), "logistic")
 
 
-def search_c(train: DataFrame, features: Sequence[str], grid: Sequence[float], inner: str = "inner_fold", k: int = 3) -> DataFrame:
+def _at_once(tasks: Sequence[Callable[[], T]], parallelism: int) -> list[T]:
+    """Results in order; so many fits are submitted side by side, since small ones don't fill a cluster."""
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(lambda task: task(), tasks)
+
+
+def _mean_scores(scored: DataFrame, candidate: Sequence[str]) -> DataFrame:
+    """candidate and mean_score: the composite, averaged over the inner folds."""
+    keys = [*candidate, "fold"]
+    v = metric_vector(scored, keys)
+    return v.groupBy(*candidate).agg(F.avg("composite").alias("mean_score"))
+
+
+def search_c(
+    train: DataFrame, features: Sequence[str], grid: Sequence[float], inner: str = "inner_fold", k: int = 3, parallelism: int = 4, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """c, mean_score (composite over the inner folds, lower is better), rank; equal scores go to the smaller c.
 
-    Models are fitted one after another, each on the whole cluster; all scored
-    rows are evaluated in one job.
+    ``keep`` (writes a table and reads it back, say) holds the prepared rows and
+    the scored ones; without it they are computed as often as they are read.
     """
-    parts = []
-    for f in range(1, k + 1):
-        fit, check = _prepare(train.filter(F.col(inner) != f), features), _prepare(train.filter(F.col(inner) == f), features)
-        fit = fit.persist()
-        n = fit.count()
-        for c in grid:
-            parts.append(score(logistic(features, c, n).fit(fit), check, "logistic").withColumns({"c": F.lit(float(c)), "fold": F.lit(f)}))
-        fit.unpersist()
-    scored, keys = reduce(DataFrame.unionByName, parts).persist(), ["c", "fold"]
-    each = auc_ap(scored, keys).join(brier(scored, keys), keys).join(ece(scored, keys, name="ece_uniform"), keys)
-    mean = each.withColumn("score", composite(F.col("auc"), F.col("brier"), F.col("ece_uniform"))).groupBy("c").agg(F.avg("score").alias("mean_score"))
+    keep = keep or (lambda df: df)
+    ready = keep(_prepare(train, features, [inner]))
+    sizes = {r[inner]: r["n"] for r in ready.groupBy(inner).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each inner fold
+
+    def one(f: int, c: float) -> DataFrame:
+        model = logistic(features, c, sum(n for g, n in sizes.items() if g != f)).fit(ready.filter(F.col(inner) != f))
+        return score(model, ready.filter(F.col(inner) == f), "logistic").withColumns({"c": F.lit(float(c)), "fold": F.lit(f)})
+
+    parts = _at_once([lambda f=f, c=c: one(f, c) for f in range(1, k + 1) for c in grid], parallelism)
+    mean = _mean_scores(keep(reduce(DataFrame.unionByName, parts)), ["c"])
     return mean.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("mean_score", "c")))  # a row for each c
 
 
+#: Ranges that ``random_search`` draws from: low, high, and whether on a log scale.
+SPACE = {"depth": (2, 5, False), "rounds": (3, 10, False), "step": (0.03, 0.3, True), "share": (0.6, 1.0, False)}
+
+
+def candidates(n: int, seed: int = 42, space: dict = SPACE) -> list[dict[str, float]]:
+    """``n`` settings drawn at random; the same ones for the same seed, and the first of more."""
+    draw = random.Random(seed)
+    out = []
+    for _ in range(n):
+        one = {}
+        for name, (low, high, log) in space.items():
+            x = math.exp(draw.uniform(math.log(low), math.log(high))) if log else draw.uniform(low, high)
+            one[name] = round(draw.uniform(low - 0.5, high + 0.5)) if isinstance(low, int) else round(x, 6)
+        out.append({k: min(max(v, space[k][0]), space[k][1]) for k, v in one.items()})
+    return out
+
+
+def random_search(
+    train: DataFrame, features: Sequence[str], n: int = 4, inner: str = "inner_fold", k: int = 3, seed: int = 42, parallelism: int = 4, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """candidate, its settings, mean_score (over the inner folds, lower is better), rank of seeded random settings of a boosted ensemble."""
+    keep = keep or (lambda df: df)
+    fill, assemble = _stages(features, True)
+    drawn = candidates(n, seed)
+
+    def of_fold(f: int) -> tuple[DataFrame, DataFrame]:
+        fit, check = (_prepare(train.filter(c), features) for c in (F.col(inner) != f, F.col(inner) == f))
+        ready = Pipeline(stages=[fill, assemble]).fit(fit)
+        return keep(ready.transform(fit).select("row_id", "label", "raw")), keep(ready.transform(check).select("row_id", "label", "raw"))
+
+    folds = {f: of_fold(f) for f in range(1, k + 1)}
+
+    def one(i: int, f: int) -> DataFrame:
+        s = drawn[i]
+        model = GBTClassifier(featuresCol="raw", labelCol="label", seed=seed, maxDepth=int(s["depth"]), maxIter=int(s["rounds"]), stepSize=s["step"], subsamplingRate=s["share"])
+        return score(model.fit(folds[f][0]), folds[f][1], "gbt").withColumns({"candidate": F.lit(i + 1), "fold": F.lit(f)})
+
+    parts = _at_once([lambda i=i, f=f: one(i, f) for i in range(n) for f in folds], parallelism)
+    mean = _mean_scores(keep(reduce(DataFrame.unionByName, parts)), ["candidate"])
+    settings = F.element_at(F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in s.items()]) for s in drawn]), F.col("candidate"))
+    mean = mean.withColumn("s", settings).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("mean_score", "candidate")))  # a row for each candidate
+    return mean.select("candidate", "s.*", "mean_score", "rank")
+
+
 def permutation_shap(model, rows: DataFrame, background: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
     """row_id, feature, phi, fx, base: attributions along one shuffled order of the features and back.
 
