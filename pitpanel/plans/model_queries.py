@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..operators import features as X
+from ..operators import metrics as M
 from ..operators import models as ML
+from ..operators import reports as R
 from ..operators import splits
+from ..sources import io
 from ..sources.fixtures import PANEL, panel
+from .feature_queries import COLUMNS, matrix
 from .panel_queries import _ENTITY, TRAIN, VALID, rounded
 from .registry import query
 
@@ -16,9 +24,20 @@ FEATURES = ["amount", "ym_index", *HISTORY]
 _COUNT = f"WITH {PANEL}, v AS (SELECT count(*) AS n FROM panel WHERE period // 100 BETWEEN 2000 AND 2001)"
 
 
+def _keep(spark):
+    """Write a table into the shared folder and read it back: models read it many times, and a lost executor costs nothing."""
+
+    def keep(df):
+        path = io.scratch(spark, "models")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return keep
+
+
 def _temporal(spark, d):
     r = splits.temporal(panel(spark, d), TRAIN, VALID)
-    m = H.fold_history(r, r.filter("role = 'train'")).select("row_id", "entity", "label", "role", *FEATURES).persist()
+    m = _keep(spark)(H.fold_history(r, r.filter("role = 'train'")).select("row_id", "entity", "label", "role", *FEATURES))
     return m.filter("role = 'train'"), m.filter("role = 'valid'")
 
 
@@ -50,7 +69,7 @@ def c_search(spark, d):
 @query(_COUNT + ", m(model) AS (VALUES ('gbt_deep'), ('gbt_shallow'), ('gbt_sampled'), ('forest'), ('vote')) SELECT model, n, CAST(0 AS BIGINT) AS bad, CAST(0 AS BIGINT) AS off FROM m, v")
 def tree_vote(spark, d):
     """Four tree ensembles and their vote; ``off`` counts rows whose vote is not the mean of the members."""
-    s = ML.fit_score(*_temporal(spark, d), FEATURES).persist()
+    s = _keep(spark)(ML.fit_score(*_temporal(spark, d), FEATURES))
     mean = s.filter("model <> 'vote'").groupBy("row_id").agg(F.avg("p").alias("m"))
     off = s.filter("model = 'vote'").join(mean, "row_id").agg(F.count_if(F.abs(F.col("p") - F.col("m")) > 1e-9).alias("off"))
     return _summary(s).join(F.broadcast(off))
@@ -76,7 +95,8 @@ def factorial(spark, d):
     """Unseen entities: without history, and with the validation rows' own earlier records."""
     g = splits.grouped(panel(spark, d))
     train, valid = g.filter("fold <> 1"), g.filter("fold = 1")
-    a, b = H.fold_history(train, train).persist(), H.fold_history(valid, valid)
+    keep = _keep(spark)
+    a, b = keep(H.fold_history(train, train)), keep(H.fold_history(valid, valid))
     out = None
     for name, columns in (("no_history", ["amount", "ym_index"]), ("self_history", FEATURES)):
         s = _summary(ML.fit_logistic(a, b, columns)).select(F.lit(name).alias("condition"), "n", "bad")
@@ -91,7 +111,8 @@ def factorial(spark, d):
 def factorial_all(spark, d):
     """``factorial`` with each of the five folds fitted and scored."""
     each = H.explode_folds(splits.grouped(panel(spark, d)), "fold", 5)
-    h = H.fold_history(each, each, ["fold", "role"]).select("row_id", "label", "fold", "role", *FEATURES).persist()
+    h = H.fold_history(each, each, ["fold", "role"]).select("row_id", "label", "fold", "role", *FEATURES)
+    h = _keep(spark)(h)
     out = None
     for fold in range(1, 6):
         a, b = (h.filter((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "valid"))
@@ -115,3 +136,83 @@ def shap_additivity(spark, d):
     phi = ML.permutation_shap(predict, rows, background, columns)
     per = phi.groupBy("row_id").agg(F.sum("phi").alias("s"), F.max("fx").alias("fx"), F.max("base").alias("base"))
     return per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("s") - (F.col("fx") - F.col("base"))) > 1e-9).alias("off"))
+
+
+# ---------------------------------------------------------------- whole evaluations; tests/core/test_models.py holds the operators against plain computations
+
+#: The penalties of the nested search (fixed values).
+PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 1e1, 1e2, 1e3, 1e4)
+
+
+def _folds(spark, d, columns=FEATURES):
+    """Records of every outer fold with their role there and histories from its training rows."""
+    return _keep(spark)(H.fold_isolated(splits.stratified(panel(spark, d))).select("row_id", "entity", "label", "fold", "role", *columns))
+
+
+@query()
+def c_search_nine(spark, d):
+    """outer_fold, c, mean_score, rank: the nested search over nine penalties and three inner folds of every outer fold's training rows."""
+    h, keep, out = _folds(spark, d), _keep(spark), []
+    for fold in range(1, 6):
+        train = splits.stratified(h.filter((F.col("fold") == fold) & (F.col("role") == "train")), 3, 43, "inner_fold")
+        out.append(ML.search_c(train, FEATURES, PENALTIES, parallelism=8, keep=keep).select(F.lit(fold).alias("outer_fold"), "c", "mean_score", "rank"))
+    return rounded(reduce(DataFrame.unionByName, out))
+
+
+@query()
+def random_search(spark, d):
+    """Seeded random settings of a boosted ensemble over inner folds of the training years."""
+    train, _ = _temporal(spark, d)
+    return rounded(ML.random_search(splits.stratified(train, 3, 43, "inner_fold"), FEATURES, 4, keep=_keep(spark)))
+
+
+@query()
+def outer_evaluation(spark, d):
+    """fold, model and metrics of four tree ensembles and their vote, fitted on every outer fold's training rows, by way of the prediction sink; fails if a score is not finite."""
+    h, keep, out = _folds(spark, d), _keep(spark), []
+    for fold in range(1, 6):
+        a, b = (h.filter((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "valid"))
+        out.append(ML.fit_score(a, b, FEATURES, keep=keep, depth=3, rounds=5).withColumn("fold", F.lit(fold)))
+    path = io.scratch(spark, "outer")
+    finite = F.assert_true(F.col("p").isNotNull() & ~F.isnan("p") & F.col("p").between(0, 1), "a score is not a probability").isNull()
+    io.write_predictions(reduce(DataFrame.unionByName, out).filter(finite), path, ["fold", "model"])
+    return rounded(M.metric_vector(io.read_folds(spark, path), ["fold", "model"]))
+
+
+@query()
+def ablation_matrix(spark, d):
+    """condition and metrics: the logistic model refitted on stepwise sets, without each group, and on the time variants of the whole matrix."""
+    r = splits.temporal(panel(spark, d), TRAIN, VALID)
+    train = r.filter("role = 'train'")
+    m = _keep(spark)(matrix(spark, d, r, train, train))
+    sets = {k: (m, c) for k, c in X.variants(COLUMNS).items()} | {f"time_{k}": v for k, v in X.time_variants(m, COLUMNS).items()}
+    tasks = [lambda k=k, t=t, c=c: ML.fit_logistic(t.filter("role = 'train'"), t.filter("role = 'valid'"), c).withColumn("condition", F.lit(k)) for k, (t, c) in sets.items()]
+    return rounded(M.metric_vector(_keep(spark)(reduce(DataFrame.unionByName, ML._at_once(tasks, 4))), ["condition"]))
+
+
+@query()
+def factorial_metrics(spark, d):
+    """fold, condition and metrics of the factorial: entities unseen in training, without history and with their own earlier records."""
+    each = H.explode_folds(splits.grouped(panel(spark, d)), "fold", 5)
+    h = _keep(spark)(H.fold_history(each, each, ["fold", "role"]).select("row_id", "label", "fold", "role", *FEATURES))
+    tasks = []
+    for fold in range(1, 6):
+        a, b = (h.filter((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "valid"))
+        for name, columns in (("no_history", ["amount", "ym_index"]), ("self_history", FEATURES)):
+            tasks.append(lambda a=a, b=b, c=columns, f=fold, n=name: ML.fit_logistic(a, b, c).withColumns({"fold": F.lit(f), "condition": F.lit(n)}))
+    return rounded(M.metric_vector(_keep(spark)(reduce(DataFrame.unionByName, ML._at_once(tasks, 4))), ["fold", "condition"]))
+
+
+@query()
+def shap_importance(spark, d):
+    """fold, feature, mean_abs, mean_signed, rank: attributions of 2,000 validation rows against 100 training rows in every outer fold."""
+    from pyspark.ml.functions import vector_to_array
+
+    h, out = _folds(spark, d), []
+    for fold in range(1, 6):
+        a, b = (ML._prepare(h.filter((F.col("fold") == fold) & (F.col("role") == r)), FEATURES) for r in ("train", "valid"))
+        fitted = ML.logistic(FEATURES, 1.0, a.count()).fit(a)
+        predict = lambda t, m=fitted: m.transform(t).withColumn("p", vector_to_array("probability")[1])
+        phi = ML.permutation_shap(predict, splits.sample(b, 2000), splits.sample(a, 100).select(*FEATURES), FEATURES)
+        out.append(phi.withColumn("fold", F.lit(fold)))
+    return rounded(R.importance(_keep(spark)(reduce(DataFrame.unionByName, out))))
