@@ -126,12 +126,13 @@ def write(
 
     Index: id, part (files in order), path, place (of the first id in the file),
     n_tokens (with the end id). Null text is empty: its end id alone. Null ids
-    come first; rows with equal ids are ordered by text.
+    come first; rows with equal ids are ordered by a hash of their texts, which
+    also lets them lie in several files.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
-    rows = rows.repartitionByRange("__id").sortWithinPartitions("__id", "__text")
+    rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"), F.xxhash64(docs[text_col]).alias("__k"))
+    rows = rows.repartitionByRange("__id", "__k").sortWithinPartitions("__id", "__k")
     index = rows.mapInArrow(_writer(out_dir, path, end_id, length, batch_rows), f"__id {kind}, part int, path string, place long, n_tokens long")
     return index.withColumnRenamed("__id", id_col)
 

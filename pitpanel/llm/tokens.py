@@ -14,13 +14,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 CACHE_WORDS = 1_000_000
+#: Letters and white space among the characters that texts without ODD have.
+_LETTER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "\t-\r \x85\xa0"
 #: The pre-token pattern of byte-level BPE (fixed value), in the dialect of ``re``; exact on texts without ODD.
-_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Characters outside Latin letters, ASCII and usual punctuation, or of another class in ``re``.
 _ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
 
@@ -53,15 +56,15 @@ class WordEncoder:
             and model.get("type") == "BPE"
             and not model.get("dropout")
         )
-        added = [t["content"] for t in spec.get("added_tokens") or ()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.pack = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.alphabet, self.known = self.tokenizer.model, byte_alphabet(), {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _ODD.search(text) or (self.added and self.added.search(text)):
+        if not self.by_word or _ODD.search(text) or any(t in text for t in self.added):
             return self._whole(text)
         words, known = _WORDS.findall(text), self.known
         try:
@@ -71,7 +74,7 @@ class WordEncoder:
                 known.clear()
             for w in set(words).difference(known):
                 ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
-                known[w] = np.array(ids, self.dtype).tobytes()
+                known[w] = struct.pack(f"<{len(ids)}{self.pack}", *ids)
             return b"".join(map(known.__getitem__, words))
 
 
