@@ -13,9 +13,9 @@ overlap counts over the blocks:
    as weight. First every class is multiplied with a few of the classes that lead
    its blocks (each block's smallest), and pairs that reach the threshold are
    merged into components.
-4. Blocks whose classes are then all in one component are done. In the others each
+4. Blocks whose classes are then all in one component are done. In crowded ones each
    class tries leaders of other components, drawn anew for a few rounds, so that a
-   group of near copies grows together without its pairs being made. What is open
+   group of near copies grows together before its pairs are made. What is open
    then is multiplied in full: pairs of different components, within bands of sizes
    that can match; pairs below the bounds that follow from their sizes and from the
    place of the first shared shingle in either order are never made.
@@ -43,7 +43,8 @@ SPACES = " \t\n\x0b\x0c\r"
 _WORD = S.word_table(SPACES)
 SKETCH = 1 << 20  # counters of the count sketch: its size does not grow with the data
 HUBS = 3  # leaders that a class tries in a round
-ROUNDS = 4  # rounds with new leaders, at most
+ROUNDS = 3  # rounds with new leaders, at most
+CROWD = 64  # classes of a block that takes part in rounds; smaller ones make few pairs
 _NO_ID = -(1 << 63)  # stands for a null id within the joins
 COLUMNS = 4096  # a set's columns in one block of the whole matrix, about
 _WEIGHT = 1 << 20  # the low bits of a block's name hold its weight; one less than this stands for any larger one
@@ -263,9 +264,9 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
         rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
         return space.save(led.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b")).distinct(), step)
 
-    def still_open(label: DataFrame, step: int) -> DataFrame:
-        """(block, name, n, place, label) of the blocks with classes of more than one component."""
-        marked = blocks.join(label.hint("merge"), blocks["name"] == label["node"], "left").select("block", "name", "n", "place", F.coalesce("label", "name").alias("label"))
+    def still_open(some: DataFrame, label: DataFrame, step: str) -> DataFrame:
+        """(block, name, n, place, label) of those of ``some`` blocks that have classes of more than one component."""
+        marked = some.join(label.hint("merge"), some["name"] == label["node"], "left").select("block", "name", "n", "place", F.coalesce("label", "name").alias("label"))
         marked = space.save(marked, f"marked-{step}")
         apart = marked.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block")
         out = space.save(marked.join(space.save(apart, f"apart-{step}").hint("merge"), "block"), f"open-{step}")
@@ -279,21 +280,24 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
     label = S.components(links, space, "labels-0")
 
     # step 4: rounds with leaders of other components, then the rest in full
-    open_blocks = still_open(label, 0)
-    whole = incidence(open_blocks.select("name").distinct(), "open")
+    crowds = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= CROWD).select("block")
+    crowded = space.save(blocks.join(crowds.hint("merge"), "block"), "crowded")
+    apart = still_open(crowded, label, "0")
+    whole = None
     for step in range(1, ROUNDS + 1):
-        drawn = F.struct(F.xxhash64("name", F.lit(step)), F.col("name").alias("hub"), F.col("label").alias("__l"))
-        lead = space.save(open_blocks.groupBy("block").agg(F.min(drawn).alias("l")).select("block", "l.hub", "l.__l"), f"lead-{step}")
-        led = open_blocks.join(lead.hint("merge"), "block").filter("label <> __l").groupBy("name", "hub").agg(weight)
-        new = leaders(led, f"try-{step}").join(tried, ["a", "b"], "left_anti")
-        found = linked(new, f"round-{step}", whole)
-        tried = tried.unionByName(space.spark.read.schema(tried.schema).parquet(f"{space.path}/try-{step}"))
-        if found.isEmpty():
+        if apart.isEmpty():
             break
-        links = links.unionByName(found)
+        whole = whole or incidence(apart.select("name").distinct(), "crowd")
+        drawn = F.struct(F.xxhash64("name", F.lit(step)), F.col("name").alias("hub"), F.col("label").alias("__l"))
+        lead = space.save(apart.groupBy("block").agg(F.min(drawn).alias("l")).select("block", "l.hub", "l.__l"), f"lead-{step}")
+        led = apart.join(lead.hint("merge"), "block").filter("label <> __l").groupBy("name", "hub").agg(weight)
+        new = leaders(led, f"try-{step}")
+        found = linked(new.join(tried, ["a", "b"], "left_anti"), f"round-{step}", whole)
+        tried, links = tried.unionByName(new), links.unionByName(found)
         label = S.components(links, space, f"labels-{step}")
-        open_blocks = still_open(label, step)
+        apart = still_open(crowded, label, str(step))
         space.drop(f"lead-{step}", f"open-{step - 1}")
+    open_blocks = still_open(blocks, label, "rest")
     # sizes that can match lie in the same band or in neighbouring ones (bands a little wider than the ratio: no rounding)
     band = F.floor(F.log("n") * (0.999 / np.log(100 / percent))) if percent < 100 else F.col("n").cast("long")
     banded = space.save(open_blocks.withColumn("band", band), "open-blocks")
@@ -309,7 +313,7 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
         ),
     )
     pairs = pairs.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
-    more = linked(pairs.join(tried, ["a", "b"], "left_anti"), "rest", whole)
+    more = linked(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     label = S.components(links.unionByName(more), space, "labels-rest")
 
     # back to documents
