@@ -148,7 +148,8 @@ def near(held: DataFrame, asked: DataFrame, radius: int = 3, blocks: int = 6) ->
     for t, m in reversed(list(enumerate(tables))):
         found_at = F.when(diff.bitwiseAND(F.lit(m)) == 0, t).otherwise(found_at)
     on = (x["t"] == y["t"]) & (x["key"] == y["key"]) & (F.bit_count(diff) <= radius) & (found_at == x["t"])
-    return x.join(y, on).select("asked", "held", F.bit_count(diff).alias("distance"))
+    # both sides grow with the documents: neither is broadcast
+    return x.join(y.hint("merge"), on).select("asked", "held", F.bit_count(diff).alias("distance"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -157,9 +158,9 @@ def op4(spark, sf_dir: str) -> DataFrame:
     table = Workspace(spark, "simhash").save(fingerprint_table(docs), "fingerprints")
     asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
     sizes = table.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    close = near(sizes, table.filter(asked)).join(sizes.withColumnRenamed("fp", "held"), "held").groupBy("asked").agg((F.sum("n") - 1).alias("n_near"))
+    close = near(sizes, table.filter(asked)).join(sizes.withColumnRenamed("fp", "held").hint("merge"), "held").groupBy("asked").agg((F.sum("n") - 1).alias("n_near"))
     # only the rows that ask meet the counts
-    done = table.filter(asked).join(close, F.col("fp") == F.col("asked"), "left").drop("asked")
+    done = table.filter(asked).join(close.hint("merge"), F.col("fp") == F.col("asked"), "left").drop("asked")
     out = done.unionByName(table.filter(~asked).withColumn("n_near", F.lit(None).cast("long")))
     return out.select(
         "doc_id",
