@@ -42,8 +42,9 @@ from . import shared as S
 SPACES = " \t\n\x0b\x0c\r"
 _WORD = S.word_table(SPACES)
 SKETCH = 1 << 20  # counters of the count sketch: its size does not grow with the data
-HUBS = 3  # leaders that a class tries in a round
-ROUNDS = 3  # rounds with new leaders, at most
+HUBS = 3  # leaders that a class tries first
+ROUNDS = 2  # rounds with new leaders, at most
+DRAWN = 8  # leaders that a class tries in a round
 CROWD = 64  # classes of a block that takes part in rounds; smaller ones make few pairs
 _NO_ID = -(1 << 63)  # stands for a null id within the joins
 COLUMNS = 4096  # a set's columns in one block of the whole matrix, about
@@ -259,10 +260,10 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
         space.drop(f"able-{step}", f"wanted-{step}", f"whole-{step}")
         return links
 
-    def leaders(led: DataFrame, step: str) -> DataFrame:
-        """(a, b) of rows (name, hub, c): the HUBS leaders with which a class shares most."""
+    def leaders(led: DataFrame, step: str, most: int) -> DataFrame:
+        """(a, b) of rows (name, hub, c): the leaders with which a class shares most."""
         rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("c"), "hub"))
-        return space.save(led.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b")).distinct(), step)
+        return space.save(led.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b")).distinct(), step)
 
     def still_open(some: DataFrame, label: DataFrame, step: str) -> DataFrame:
         """(block, name, n, place, label) of those of ``some`` blocks that have classes of more than one component."""
@@ -275,7 +276,7 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
 
     weight = F.sum(of_block(F.col("block"))).alias("c")
     # step 3
-    tried = leaders(blocks.filter("name <> hub").groupBy("name", "hub").agg(weight), "star")
+    tried = leaders(blocks.filter("name <> hub").groupBy("name", "hub").agg(weight), "star", HUBS)
     links = linked(tried, "star")
     label = S.components(links, space, "labels-0")
 
@@ -288,10 +289,11 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
         if apart.isEmpty():
             break
         whole = whole or incidence(apart.select("name").distinct(), "crowd")
-        drawn = F.struct(F.xxhash64("name", F.lit(step)), F.col("name").alias("hub"), F.col("label").alias("__l"))
+        # blocks of a crowd have much the same classes: they draw by DRAWN different orders
+        drawn = F.struct(F.xxhash64("name", F.lit(step), F.pmod(F.xxhash64("block"), F.lit(DRAWN))), F.col("name").alias("hub"), F.col("label").alias("__l"))
         lead = space.save(apart.groupBy("block").agg(F.min(drawn).alias("l")).select("block", "l.hub", "l.__l"), f"lead-{step}")
         led = apart.join(lead.hint("merge"), "block").filter("label <> __l").groupBy("name", "hub").agg(weight)
-        new = leaders(led, f"try-{step}")
+        new = leaders(led, f"try-{step}", DRAWN)
         found = linked(new.join(tried, ["a", "b"], "left_anti"), f"round-{step}", whole)
         tried, links = tried.unionByName(new), links.unionByName(found)
         label = S.components(links, space, f"labels-{step}")

@@ -96,6 +96,34 @@ def test_random_groups_with_chains_and_hot_lines(spark, seed):
     assert got(ngram_jaccard.join(docs)) == brute(rows)
 
 
+def test_sets_on_both_sides_of_a_block_of_columns(spark):
+    """Sets of more columns than a block holds, and pairs of which only one has: counts of several blocks are added."""
+    r = random.Random(9)
+    base = [f"u{i}" for i in range(9000)]
+    rows = [(1, base[:4200]), (2, base[:3800]), (3, base[:5400]), (4, base), (5, base[:8000]), (6, base[3000:])]
+    for i in (7, 8):
+        text = list(base[:4300])
+        for _ in range(60 * (i - 6)):
+            text[r.randrange(len(text))] = f"new{i}-{r.random()}"
+        rows.append((i, text))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    out = got(ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == brute(rows) and len({x[2] for x in out}) == 3
+
+
+def test_a_crowd_of_near_copies_grows_together(spark):
+    """Copies with many edits each: most pairs lie below the threshold, links run over others; the crowd's blocks take part in rounds."""
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for at in r.sample(range(160), r.choice([1, 2, 3, 4, 5])):
+            text[at] = f"e{i}-{at}"
+        rows.append((i, " ".join(text)))
+    assert got(ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_op8_equals_brute_force_on_the_small_tables(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
