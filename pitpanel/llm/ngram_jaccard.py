@@ -14,8 +14,9 @@ overlap counts over the blocks:
    its blocks (each block's smallest), and pairs that reach the threshold are
    merged into components.
 4. Blocks whose classes are then all in one component are done. In crowded ones each
-   class tries leaders of other components, drawn anew for a few rounds, so that a
-   group of near copies grows together before its pairs are made. What is open
+   class tries leaders of other components for a few rounds, those with the fewest
+   shingles rarer than the block's, so that a group of near copies grows together
+   around its middle before its pairs are made. What is open
    then is multiplied in full: pairs of different components, within bands of sizes
    that can match; pairs below the bounds that follow from their sizes and from the
    place of the first shared shingle in either order are never made.
@@ -289,8 +290,11 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
         if apart.isEmpty():
             break
         whole = whole or incidence(apart.select("name").distinct(), "crowd")
-        # blocks of a crowd have much the same classes: they draw by DRAWN different orders
-        drawn = F.struct(F.xxhash64("name", F.lit(step), F.pmod(F.xxhash64("block"), F.lit(DRAWN))), F.col("name").alias("hub"), F.col("label").alias("__l"))
+        # a class with few shingles rarer than the block's has few of its own: it is near the middle of the crowd and most others link with it;
+        # blocks of a crowd have much the same classes: they draw among equals by DRAWN different orders, the second round among eight places
+        place = F.shiftright("place", 3 * (step - 1))
+        tie = F.xxhash64("name", F.lit(step), F.pmod(F.xxhash64("block"), F.lit(DRAWN)))
+        drawn = F.struct(place.alias("place"), tie.alias("tie"), F.col("name").alias("hub"), F.col("label").alias("__l"))
         lead = space.save(apart.groupBy("block").agg(F.min(drawn).alias("l")).select("block", "l.hub", "l.__l"), f"lead-{step}")
         led = apart.join(lead.hint("merge"), "block").filter("label <> __l").groupBy("name", "hub").agg(weight)
         new = leaders(led, f"try-{step}", DRAWN)
