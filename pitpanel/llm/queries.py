@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, language_id, line_dedup, merkle, ngram_jaccard, simhash, suffix_dedup, token_counts, token_files, url_reputation
+from . import byte_bpe, decontamination, language_id, lexical_search, line_dedup, merkle, ngram_jaccard, quality_ranking, simhash, suffix_dedup, token_counts, token_files, url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1,
@@ -20,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": ngram_jaccard.op8,
     "op9_byte_bpe": byte_bpe.op9,
     "op10_suffix_array": suffix_dedup.op10,
+    "op11_quality_ranking": quality_ranking.op11,
+    "op12_lexical_search": lexical_search.op12,
     "op13_merkle": merkle.op13,
 }
 
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL, "op7_url_reputation": url_reputation.OP7_SQL, "op13_merkle": merkle.OP13_SQL}
+ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.OP1_SQL, "op7_url_reputation": url_reputation.OP7_SQL, "op12_lexical_search": lexical_search.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
