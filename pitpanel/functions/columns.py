@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,18 @@ def age_band(c: Column) -> Column:
     return F.regexp_extract(c, r"^\d+", 0).try_cast("int") + F.when(c.endswith("b"), 5).otherwise(0)
 
 
-def flip(side: Column) -> Column:
-    return F.when(side == "A", "B").when(side == "B", "A")
+#: The two sides of a panel, unless a caller names others.
+SIDES = ("A", "B")
+
+
+def known_side(side: Column, sides: Sequence[str] = SIDES) -> Column:
+    """The side itself; a value that is neither of the two fails the job, null stays."""
+    return F.when(side.isNull() | side.isin(*sides), side).otherwise(F.raise_error(F.concat(F.lit("unknown side: "), side.cast("string"))))
+
+
+def flip(side: Column, sides: Sequence[str] = SIDES) -> Column:
+    """The other side; as in ``known_side``."""
+    return F.when(side == sides[0], sides[1]).when(side == sides[1], sides[0]).otherwise(known_side(side, sides))
 
 
 def order_hash(seed: int, *keys: Column | str) -> Column:

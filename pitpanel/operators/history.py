@@ -4,7 +4,9 @@ Sources and targets are stacked and read through a range frame that ends one
 period before the target's own: records of the same period never see each other.
 All three blocks (any side, same side, opposite side) partition by the entity
 first, so one shuffle on it serves them; a window over a growing range frame is
-one pass, not a join of every pair.
+one pass, not a join of every pair. Entities that hold more rows than a task
+should are summed by period first and scanned in two levels (``scan``); the
+values are the same.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import flip, sample_std
+from ..functions.columns import SIDES, flip, known_side, sample_std
+from . import scan
 
 ANY = [f"prev_ab_YearMonthIndex_{s}" for s in ("mean", "sum", "std")] + [f"prev_ab_all_label_{s}" for s in ("mean", "sum", "std")]
 SAME = [f"prev_YearMonthIndex_{s}" for s in ("mean", "sum", "std")] + [f"prev_all_label_{s}" for s in ("mean", "sum", "std")]
@@ -31,21 +35,37 @@ def _block(names: Sequence[str], window: Window, source: Column) -> dict[str, Co
     return out
 
 
-def fold_history(targets: DataFrame, sources: DataFrame, keys: Sequence[str] = (), blocks: Sequence[str] = ("any", "same", "other")) -> DataFrame:
+def fold_history(
+    targets: DataFrame, sources: DataFrame, keys: Sequence[str] = (), blocks: Sequence[str] = ("any", "same", "other"), sides: Sequence[str] = SIDES, hot: Sequence | None = None, centre: int = 24000
+) -> DataFrame:
     """``targets`` with the history columns of ``blocks``, taken from ``sources``.
 
     Both have entity, side, period, ym_index, label; ``keys`` (a fold, say) must
     be equal too. No earlier source: null, in counts too. A null period or entity
     has no history and is none; a null side has no same or opposite one, and is
-    part of any side's history alone.
+    part of any side's history alone. A side that is neither of ``sides`` fails the
+    job. ``hot``: entities that are scanned in two levels; by default those that
+    ``scan.hot_values`` finds in both tables. Their month indexes are squared around
+    ``centre``.
     """
+    if hot is None:
+        hot = scan.hot_values(sources) if targets is sources else scan.hot_values(targets, sources)
+    if not hot:
+        return _windowed(targets, sources, keys, blocks, sides)
+    often = scan.is_hot("entity", hot)
+    return _windowed(targets.filter(~often), sources.filter(~often), keys, blocks, sides).unionByName(
+        _two_level(targets.filter(often), _by_period(sources.filter(often), keys, sides, centre), keys, blocks, sides, centre)
+    )
+
+
+def _windowed(targets: DataFrame, sources: DataFrame, keys: Sequence[str], blocks: Sequence[str], sides: Sequence[str]) -> DataFrame:
     names = ["entity", "side", "period", "ym_index", "label", *keys]
-    t = targets.withColumns({"__source": F.lit(False), "__look": flip(F.col("side"))})
-    s = sources.select(*names).withColumns({"__source": F.lit(True), "__look": F.col("side")}).filter("period is not null and entity is not null")
+    t = targets.withColumns({"__source": F.lit(False), "__look": flip(F.col("side"), sides)})
+    s = sources.select(*names).withColumns({"__source": F.lit(True), "__look": known_side(F.col("side"), sides)}).filter("period is not null and entity is not null")
     rows = t.unionByName(s, allowMissingColumns=True)
     past = lambda *by: Window.partitionBy(*by).orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
     source, new = F.col("__source"), {}
-    sided = source & F.col("side").isNotNull()
+    sided = source & F.col("__look").isNotNull()
     rows = rows.repartition(*keys, "entity")
     if "any" in blocks:
         new |= _block(ANY, past(*keys, "entity"), source)
@@ -63,38 +83,94 @@ def fold_history(targets: DataFrame, sources: DataFrame, keys: Sequence[str] = (
     return rows.withColumns(new).filter(~source).drop("__source", "__look")
 
 
+_SUMS = ("rows", "yn", "yt", "y1", "y2", "ln", "lt", "l2")
+
+
+def _by_period(sources: DataFrame, keys: Sequence[str], sides: Sequence[str], centre: int) -> DataFrame:
+    """keys, entity, side, period and ``_SUMS``: one row for all records of a period, added up before they are shuffled."""
+    y, label = F.col("ym_index"), F.col("label")
+    c = y - centre
+    each = (F.count(F.lit(1)), F.count(y), F.sum(y), F.sum(c), F.sum(c * c), F.count(label), F.sum(label), F.sum(label * label))
+    rows = sources.filter("period is not null and entity is not null").withColumn("side", known_side(F.col("side"), sides))
+    return rows.groupBy(*keys, "entity", "side", "period").agg(*[v.alias("__" + n) for n, v in zip(_SUMS, each, strict=True)])
+
+
+def _two_level(targets: DataFrame, collapsed: DataFrame, keys: Sequence[str], blocks: Sequence[str], sides: Sequence[str], centre: int) -> DataFrame:
+    """What ``_windowed`` gives, from sources by period; targets look their period up, so a hot one is a join that Spark can split."""
+    names, sums = [*keys, "entity", "side", "period"], ["__" + n for n in _SUMS]
+    asked = targets.select(*names).distinct()
+    own = F.col("side")
+    rows = asked.withColumns({"__target": F.lit(True), "__look": flip(own, sides)}).unionByName(
+        collapsed.withColumns({"__target": F.lit(False), "__look": own}), allowMissingColumns=True
+    )
+    rows = scan.with_ranges(rows, "period")
+    group = {"any": [*keys, "entity"], "same": [*keys, "entity", "side"], "other": [*keys, "entity", "__look"]}
+    for b in blocks:
+        rows = scan.strict_sums(rows, group[b], "period", sums, f"__{b}")
+    rows = rows.filter("__target").select(*[F.col(n).alias("__t_" + n) for n in names], *[F.col(f"__{b}{x}") for b in blocks for x in sums])
+    held = targets.join(rows, scan.null_safe([(F.col(n), F.col("__t_" + n)) for n in names]), "left")
+
+    def stats(b: str) -> list[Column]:
+        n, yn, yt, y1, y2, ln, lt, l2 = (F.when(F.col("side").isNotNull() | F.lit(b == "any"), F.col(f"__{b}{x}")) for x in sums)
+        y_n, l_n = F.nullif(yn, F.lit(0)), F.nullif(ln, F.lit(0))
+        return [yt / y_n, F.when(yn > 0, yt), sample_std(yn, y1, y2), lt / l_n, F.when(ln > 0, lt), sample_std(ln, lt, l2), F.nullif(n, F.lit(0))]
+
+    new = {}
+    for b, out in (("any", ANY), ("same", SAME)):
+        if b in blocks:
+            new |= dict(zip(out, stats(b)[:6], strict=True))
+    if "other" in blocks:
+        mean, _, std, label, _, _, n = stats("other")
+        new |= dict(zip(OTHER, (n, mean, std, label), strict=True))
+    return held.withColumns(new).drop(*["__t_" + n for n in names], *[f"__{b}{x}" for b in blocks for x in sums])
+
+
 def explode_folds(rows: DataFrame, fold: str, k: int) -> DataFrame:
     """Every row once in each of the folds 1..k, with its role there: valid in its own, train elsewhere."""
     out = rows.withColumnRenamed(fold, "__own").withColumn(fold, F.explode(F.sequence(F.lit(1), F.lit(k))))
     return out.withColumn("role", F.when(F.col("__own") == F.col(fold), "valid").otherwise("train")).drop("__own")
 
 
-def fold_isolated(rows: DataFrame, fold: str = "fold", k: int = 5, centre: int = 24000) -> DataFrame:
+def fold_isolated(rows: DataFrame, fold: str = "fold", k: int = 5, centre: int = 24000, sides: Sequence[str] = SIDES, hot: Sequence | None = None) -> DataFrame:
     """For each fold 1..k: ``rows`` (once a fold, with ``role``) with their history from the fold's training rows alone.
 
     Every row is a source of all folds but its own, so one pass over an entity's
     rows carries the sums of each fold, and rows are multiplied only behind it: a
     record is moved and sorted once, whatever k is. Sums of both sides are kept
     apart; a row then reads its own side's, the other one's, or all. Month indexes
-    are summed as whole numbers around ``centre``. Nulls as in ``fold_history``.
+    are summed as whole numbers around ``centre``. Nulls, ``sides`` and ``hot`` as in
+    ``fold_history``.
     """
+    if hot is None:
+        hot = scan.hot_values(rows)
+    if not hot:
+        return _folds_windowed(rows, fold, k, centre, sides)
+    often = scan.is_hot("entity", hot)
+    few = rows.filter(often)
+    own = _by_period(few, [fold], sides, centre).withColumnRenamed(fold, "__own").withColumn(fold, F.explode(F.sequence(F.lit(1), F.lit(k))))
+    own = own.filter(~F.col("__own").eqNullSafe(F.col(fold))).groupBy(fold, "entity", "side", "period").agg(*[F.sum("__" + n).alias("__" + n) for n in _SUMS])
+    return _folds_windowed(rows.filter(~often), fold, k, centre, sides).unionByName(_two_level(explode_folds(few, fold, k), own, [fold], ("any", "same", "other"), sides, centre))
+
+
+def _folds_windowed(rows: DataFrame, fold: str, k: int, centre: int, sides: Sequence[str]) -> DataFrame:
     past = Window.partitionBy("entity").orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
     known = F.col("period").isNotNull() & F.col("entity").isNotNull()
     c, label = F.col("ym_index").cast("long") - centre, F.col("label").cast("long")
     measures = {"n": F.lit(1).cast("long"), "y": c, "yy": c * c, "l": label, "ll": label * label}
-    sides = {"A": F.col("side") == "A", "B": F.col("side") == "B", "all": F.lit(True)}
+    side = known_side(F.col("side"), sides)
+    each_side = {"A": side == sides[0], "B": side == sides[1], "all": F.lit(True)}
     sums = []
     for f in range(1, k + 1):
         each = []
-        for side, own in sides.items():
+        for name, own in each_side.items():
             use = known & own & ~F.col(fold).eqNullSafe(F.lit(f))
-            each.append(F.struct(*[F.sum(F.when(use, v)).over(past).alias(m) for m, v in measures.items()]).alias(side))
+            each.append(F.struct(*[F.sum(F.when(use, v)).over(past).alias(m) for m, v in measures.items()]).alias(name))
         sums.append(F.struct(*each))
     held = rows.withColumn("__h", F.array(*sums))
     held = held.select("*", F.posexplode("__h").alias("__f", "__s")).drop("__h")
     role = F.when(F.col(fold) == F.col("__f") + 1, "valid").otherwise("train")
     held = held.withColumns({"role": role, fold: (F.col("__f") + 1).cast("int")}).drop("__f")
-    pick = lambda own: F.when(F.col("side") == "A", F.col("__s.A" if own else "__s.B")).when(F.col("side") == "B", F.col("__s.B" if own else "__s.A"))
+    pick = lambda own: F.when(side == sides[0], F.col("__s.A" if own else "__s.B")).when(side == sides[1], F.col("__s.B" if own else "__s.A"))
     held = held.withColumns({"__any": F.col("__s.all"), "__same": pick(True), "__other": pick(False)}).drop("__s")
 
     def block(state: str) -> dict[str, Column]:
@@ -131,7 +207,43 @@ def month_state(rows: DataFrame, keys: Sequence[str] = ("entity",), centre: int
     return state.withColumn("ym_std", sample_std(F.col("n"), F.col("s"), F.col("ss"))).drop("s", "ss")
 
 
-def theta_history(targets: DataFrame, sources: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def merge_state(targets: DataFrame, state: DataFrame, keys: Sequence[str] = ("entity",), columns: Sequence[str] | None = None, hot: Sequence | None = None) -> DataFrame:
+    """``targets`` with ``columns`` of the latest row of ``state`` with equal ``keys`` and a smaller period; null where there is none.
+
+    ``state`` has one row for each of its keys and periods; a null key or period is
+    no state and finds none. Columns that both have come from ``state``, keys and
+    period aside. Both are read sorted, once, through a frame that ends before the
+    target's period. Targets whose first key is ``hot`` are asked by distinct periods
+    and in two levels, and look the answer up.
+    """
+    columns = [c for c in state.columns if c not in (*keys, "period")] if columns is None else list(columns)
+    if hot is None:
+        hot = scan.hot_values(targets, state, column=keys[0])
+    by = [*keys, "period"]
+    empty = F.lit(None).cast(T.StructType([state.schema[c] for c in columns]))
+    held = state.select(*by, F.struct(*columns).alias("__v")).filter(" and ".join(f"`{c}` is not null" for c in by))
+    rest = targets.drop(*columns)
+
+    def windowed(t: DataFrame, s: DataFrame) -> DataFrame:
+        rows = t.withColumns({"__target": F.lit(True), "__v": empty}).unionByName(s.withColumn("__target", F.lit(False)), allowMissingColumns=True)
+        past = Window.partitionBy(*keys).orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("__last", F.last("__v", ignorenulls=True).over(past)).filter("__target").drop("__target", "__v")
+
+    def looked_up(t: DataFrame, s: DataFrame) -> DataFrame:
+        asked = t.select(*by).distinct().withColumns({"__target": F.lit(True), "__v": empty})
+        rows = scan.with_ranges(asked.unionByName(s.withColumn("__target", F.lit(False))), "period")
+        found = scan.strict_last(rows, list(keys), "period", "__v", "__last").filter("__target").select(*[F.col(c).alias("__t_" + c) for c in by], "__last")
+        return t.join(found, scan.null_safe([(F.col(c), F.col("__t_" + c)) for c in by]), "left").drop(*["__t_" + c for c in by])
+
+    if hot:
+        often = scan.is_hot(keys[0], hot)
+        out = windowed(rest.filter(~often), held.filter(~often)).unionByName(looked_up(rest.filter(often), held.filter(often)))
+    else:
+        out = windowed(rest, held)
+    return out.select(*rest.columns, *[F.col("__last")[c].alias(c) for c in columns])
+
+
+def theta_history(targets: DataFrame, sources: DataFrame, keys: Sequence[str] = (), sides: Sequence[str] = SIDES) -> DataFrame:
     """The same 16 columns by an independent plan: an equi-join on the entity with ``period <``, then groups. For audits of small sets."""
     s = sources.select(*[F.col(c).alias("s_" + c) for c in ("entity", "side", "period", "ym_index", "label", *keys)])
     on = (F.col("entity") == F.col("s_entity")) & (F.col("s_period") < F.col("period"))
@@ -143,7 +255,7 @@ def theta_history(targets: DataFrame, sources: DataFrame, keys: Sequence[str] =
         for i, x in enumerate(("s_ym_index", "s_label")):
             v = F.when(cond, F.col(x))
             aggs += [f(v).alias(n) for n, f in zip(names[3 * i : 3 * i + 3], (F.avg, F.sum, F.stddev_samp), strict=True)]
-    other = F.col("s_side") == flip(F.col("side"))
+    other = F.col("s_side") == flip(F.col("side"), sides)
     v = lambda x: F.when(other, F.col(x))
     aggs += [F.nullif(F.count(v("s_period")), F.lit(0)).alias(OTHER[0]), F.avg(v("s_ym_index")).alias(OTHER[1]), F.stddev_samp(v("s_ym_index")).alias(OTHER[2]), F.avg(v("s_label")).alias(OTHER[3])]
     return j.groupBy(*targets.columns).agg(*aggs)

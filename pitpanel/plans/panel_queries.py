@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import history as H
 from ..operators import reports as R
-from ..operators import splits
+from ..operators import scan, splits
 from ..sources.fixtures import PANEL, panel
 from .registry import query
 
@@ -71,7 +71,8 @@ def hist_opposite_side(spark, d):
 
 @query(_hist("fold row_id role", _ALL, "e", "src", " AND s.fold = t.fold", _EACH))
 def hist_fold_isolated(spark, d):
-    return rounded(H.fold_isolated(splits.stratified(panel(spark, d))).select("fold", "row_id", "role", *H.FEATURES))
+    p = panel(spark, d)
+    return rounded(H.fold_isolated(splits.stratified(p), hot=scan.hot_values(p)).select("fold", "row_id", "role", *H.FEATURES))
 
 
 @query(_hist("row_id", _sql_any(), "(SELECT * FROM panel WHERE period >= 200001)", "(SELECT * FROM panel WHERE period < 200001)"))
@@ -89,8 +90,9 @@ def hist_self_valid(spark, d):
 @query(_hist("fold row_id", _ALL, "v", "v", " AND s.fold = t.fold", _ENTITY + ", v AS (SELECT * EXCLUDE fold, CAST(fold AS INT) AS fold FROM g)"))
 def hist_self_valid_all(spark, d):
     """``hist_self_valid`` for the validation rows of all five folds."""
-    v = splits.grouped(panel(spark, d))
-    return rounded(H.fold_history(v, v, ["fold"]).select("fold", "row_id", *H.FEATURES))
+    p = panel(spark, d)
+    v = splits.grouped(p)
+    return rounded(H.fold_history(v, v, ["fold"], hot=scan.hot_values(p)).select("fold", "row_id", *H.FEATURES))
 
 
 _ROLE = ", r AS (SELECT *, CASE WHEN period // 100 <= 1999 THEN 'train' ELSE 'valid' END AS role FROM panel WHERE period // 100 BETWEEN 1995 AND 2001)"
@@ -98,8 +100,9 @@ _ROLE = ", r AS (SELECT *, CASE WHEN period // 100 <= 1999 THEN 'train' ELSE 'va
 
 @query(_hist("row_id role", _ALL, "r", "(SELECT * FROM r WHERE role = 'train')", "", _ROLE))
 def hist_temporal(spark, d):
-    r = splits.temporal(panel(spark, d), TRAIN, VALID)
-    return rounded(H.fold_history(r, r.filter("role = 'train'")).select("row_id", "role", *H.FEATURES))
+    p = panel(spark, d)
+    r = splits.temporal(p, TRAIN, VALID)
+    return rounded(H.fold_history(r, r.filter("role = 'train'"), hot=scan.hot_values(p)).select("row_id", "role", *H.FEATURES))
 
 
 @query(
@@ -110,6 +113,72 @@ def hist_entity_month_state(spark, d):
     return rounded(H.month_state(panel(spark, d)).select("entity", "period", "n", "label_sum", "ym_sum", "ym_std"))
 
 
+_HOT = PANEL + """, hp AS (SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS entity, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'A' WHEN o_orderkey % 11 <> 0 THEN 'B' END AS side,
+  CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INT) AS period, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS ym_index,
+  CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INT) AS label FROM orders)"""
+
+
+def hot_panel(spark, d):
+    """The panel by days, with a third of all records on one entity and some without side."""
+    rows = panel(spark, d).join(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), "o_orderdate"), "row_id")
+    day = F.year("o_orderdate") * 10000 + F.month("o_orderdate") * 100 + F.dayofmonth("o_orderdate")
+    side = F.when((F.col("side") == "A") | (F.col("row_id") % 11 != 0), F.col("side"))
+    return rows.select("row_id", F.when(F.col("row_id") % 3 == 0, 0).otherwise(F.col("entity")).cast("long").alias("entity"), side.alias("side"), day.cast("int").alias("period"), "ym_index", "label")
+
+
+def hot_entities(p):
+    """Entities with more rows than a task of a cluster should hold, were the tables a hundred times as large."""
+    return scan.hot_values(p, least=1000)
+
+
+@query(_hist("row_id", _ALL, "hp", "hp").replace(PANEL, _HOT))
+def hist_hot_entity(spark, d):
+    """All three blocks where an entity holds a third of all records: it is summed by day and scanned in two levels."""
+    p = hot_panel(spark, d)
+    return rounded(H.fold_history(p, p, hot=hot_entities(p)).select("row_id", *H.FEATURES))
+
+
+@query(
+    _hist("fold row_id role", _ALL, "e", "src", " AND s.fold = t.fold", _EACH).replace(PANEL, _HOT).replace("d AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) - 1) % 5 + 1 AS INT) AS own FROM panel)", "d AS (SELECT *, CAST(row_id % 5 + 1 AS INT) AS own FROM hp)")
+)
+def hist_hot_entity_folds(spark, d):
+    """Fold-isolated histories where an entity holds a third of all records."""
+    p = hot_panel(spark, d).withColumn("fold", (F.col("row_id") % 5 + 1).cast("int"))
+    return rounded(H.fold_isolated(p, hot=hot_entities(p)).select("fold", "row_id", "role", *H.FEATURES))
+
+
+_SHIPPED = """, t AS (SELECT l_orderkey AS row_id, l_linenumber AS line, l_partkey AS part, o_custkey AS entity, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'A' ELSE 'B' END AS side,
+  CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS period FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def shipped(spark, d):
+    """Another table of targets: lines by the month they were shipped, with their customer and the order's side."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("int").alias("period"))
+    return lines.join(panel(spark, d).select("row_id", "entity", "side"), "row_id")
+
+
+def _merged(by: str) -> str:
+    on = " AND ".join(f"s.{k} = t.{k}" for k in by.split())
+    return f"""WITH {PANEL}{_SHIPPED}, u AS (SELECT DISTINCT {", ".join(by.split())}, period FROM t),
+    m AS (SELECT {", ".join("t." + k for k in by.split())}, t.period, nullif(count(s.row_id), 0) AS n, CAST(sum(s.label) AS BIGINT) AS label_sum, CAST(sum(s.ym_index) AS BIGINT) AS ym_sum, round(stddev_samp(s.ym_index), 6) AS ym_std
+      FROM u t LEFT JOIN panel s ON {on} AND s.period < t.period GROUP BY ALL)
+    SELECT row_id, line, part, entity, side, period, n, label_sum, ym_sum, ym_std FROM t JOIN m USING ({", ".join(by.split())}, period)"""
+
+
+@query(_merged("entity"))
+def hist_state_merge(spark, d):
+    """Targets of another table meet their entity's latest earlier monthly state."""
+    out = H.merge_state(shipped(spark, d), H.month_state(panel(spark, d)))
+    return rounded(out.select("row_id", "line", "part", "entity", "side", "period", "n", "label_sum", "ym_sum", "ym_std"))
+
+
+@query(_merged("entity side"))
+def hist_state_merge_side(spark, d):
+    """The same by entity and side."""
+    out = H.merge_state(shipped(spark, d), H.month_state(panel(spark, d), ("entity", "side")), ("entity", "side"))
+    return rounded(out.select("row_id", "line", "part", "entity", "side", "period", "n", "label_sum", "ym_sum", "ym_std"))
+
+
 @query(
     f"""WITH {PANEL}{_EACH},
     w AS (SELECT t.row_id, count(s.row_id) AS n, sum(s.label) AS l FROM panel t LEFT JOIN panel s ON s.entity = t.entity AND s.period < t.period GROUP BY ALL),
