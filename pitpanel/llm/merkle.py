@@ -96,7 +96,7 @@ def _built(runs: DataFrame, sizes: DataFrame, space: Workspace, name: str) -> tu
     for k in range(_depth(most)):
         deep = deep + F.when(F.col("n") > FAN**k, 1).otherwise(0)
     sizes = sizes.withColumn("depth", deep.cast("int"))
-    records, roots, now = [], [], runs.join(sizes.hint("shuffle_hash"), "tree")
+    records, roots, now = [], [], runs.join(sizes, "tree")
     lone = now.filter("depth = 0").select("tree", "n", "depth", F.col("children")[0].alias("digest"))
     now = now.filter("depth > 0")
     roots.append(lone)
