@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap as B
 from ..operators import metrics as M
 from ..operators import ranks
 from ..operators import reports as R
@@ -122,7 +123,7 @@ def bootstrap_weights(spark, d):
 @query(f"WITH {SCORED}, {_WEIGHTS}, {_DELTA} SELECT replicate, model, round(auc, 6) AS auc, round(average_precision, 6) AS average_precision FROM auc")
 def bootstrap_weighted_auc_ap(spark, d):
     rows = scored_long(spark, d)
-    return rounded(M.weighted_auc_ap(rows, M.poisson_weights(rows, 20)))
+    return rounded(B.weighted_auc_ap(rows, B.weight_arrays(rows, 20)))
 
 
 _OBS = _auc("model").replace("pts AS", "opts AS").replace("FROM pts", "FROM opts").replace("cum AS", "ocum AS").replace("FROM cum", "FROM ocum").replace("\n auc AS", "\n oauc AS")
@@ -141,7 +142,7 @@ def bootstrap_summary(spark, d):
 
 def _summary(spark, d, replicates: int):
     rows, values = scored_long(spark, d), ["auc", "average_precision"]
-    deltas = M.paired_delta(M.weighted_auc_ap(rows, M.poisson_weights(rows, replicates)), ["replicate"], "model", "m1", "m2", values)
+    deltas = M.paired_delta(B.weighted_auc_ap(rows, B.weight_arrays(rows, replicates)), ["replicate"], "model", "m1", "m2", values)
     observed = M.paired_delta(M.auc_ap(rows, ["model"]), [], "model", "m1", "m2", values)
     return rounded(M.bootstrap_summary(deltas, observed, values))
 
@@ -159,7 +160,7 @@ def bootstrap_weights_500(spark, d):
 @query(_of_500(f"WITH {SCORED}, {_WEIGHTS}, {_DELTA} SELECT replicate, model, round(auc, 6) AS auc, round(average_precision, 6) AS average_precision FROM auc"))
 def bootstrap_weighted_auc_ap_500(spark, d):
     rows = scored_long(spark, d)
-    return rounded(M.weighted_auc_ap(rows, M.poisson_weights(rows)))
+    return rounded(B.weighted_auc_ap(rows, B.weight_arrays(rows)))
 
 
 @query(_of_500(_SUMMARY))
