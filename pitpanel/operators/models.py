@@ -79,6 +79,39 @@ def fit_score(
     return each.unionByName(vote)
 
 
+def with_indicators(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` with its features as doubles and an indicator for each that may be missing."""
+    return df.withColumns({**{"na_" + c: F.col(c).isNull().cast("double") for c in features}, **{c: F.col(c).cast("double") for c in features}})
+
+
+def fit_vote(
+    train: DataFrame, features: Sequence[str], chosen: dict[str, object] | None = None, parallelism: int = 4, keep: Callable[[DataFrame], DataFrame] | None = None, **settings
+) -> Callable[[DataFrame], DataFrame]:
+    """Fits the ensembles on ``train`` and returns what scores a table of features.
+
+    It adds ``p_<member>`` for each ensemble and ``p``, the vote; the features'
+    vector is made once for all of them. ``chosen``: the ensembles by name, else
+    those of ``members(**settings)``; ``keep`` as in ``search_c``.
+    """
+    fill, assemble = _stages(features, True)
+    a = _prepare(train, features)
+    ready = Pipeline(stages=[fill, assemble]).fit(a)
+    a = (keep or (lambda df: df))(ready.transform(a).select("row_id", "label", "raw"))
+    chosen = members(**settings) if chosen is None else chosen
+    fitted = dict(zip(chosen, _at_once([lambda m=m: m.fit(a) for m in chosen.values()], parallelism), strict=True))
+    for name, m in fitted.items():
+        m.setRawPredictionCol(f"__r_{name}").setProbabilityCol(f"__p_{name}").setPredictionCol(f"__c_{name}")
+
+    def scored(df: DataFrame) -> DataFrame:
+        out = ready.transform(with_indicators(df, features))
+        for name, m in fitted.items():
+            out = m.transform(out).withColumn(f"p_{name}", vector_to_array(f"__p_{name}")[1])
+        out = out.withColumn("p", reduce(lambda x, y: x + y, [F.col(f"p_{n}") for n in fitted]) / len(fitted))
+        return out.select(*df.columns, *[f"p_{n}" for n in fitted], "p")
+
+    return scored
+
+
 def fit_logistic(train: DataFrame, valid: DataFrame, features: Sequence[str], c: float = 1.0) -> DataFrame:
     a = _prepare(train, features)
     return score(logistic(features, c, a.count()).fit(a), _prepare(valid, features), "logistic")
@@ -162,26 +195,38 @@ def random_search(
     return mean.select("candidate", "s.*", "mean_score", "rank")
 
 
-def permutation_shap(model, rows: DataFrame, background: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
-    """row_id, feature, phi, fx, base: attributions along one shuffled order of the features and back.
+#: Background rows at most: they are broadcast, and every row meets all of them at every step.
+MOST_BACKGROUND = 10_000
+
+
+def permutation_shap(model: Callable[[DataFrame], DataFrame], rows: DataFrame, background: DataFrame, features: Sequence[str], seed: int = 42, outputs: Sequence[str] = ("p",)) -> DataFrame:
+    """row_id, feature, phi, fx, base: attributions along one shuffled order of the features and back; with several outputs ``output`` too.
 
-    ``model`` maps a table of features to one with ``p``. ``rows`` and
-    ``background`` are samples of stated size; a row takes 2 * features + 1 steps,
-    each the mean over the background of the prediction with the features so far
-    taken from the row. The sum of phi is fx - base exactly.
+    ``model`` maps a table of features to one with the columns ``outputs``, so
+    several models score each coalition in one pass. ``rows`` and ``background`` are
+    samples of stated size; a row takes 2 * features + 1 steps, each the mean over
+    the background of the prediction with the features so far taken from the row.
+    A row's coalitions are made and averaged in one task, so only its means by step
+    are shuffled. The sum of phi is fx - base exactly.
     """
     k = len(features)
     order = F.array_sort(F.array(*[F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string"), F.lit(f))).alias("h"), F.lit(f).alias("f")) for f in features]))
-    names = F.transform(order, lambda x: x["f"])
-    held = background.select(*[F.col(f).alias("b_" + f) for f in features], F.monotonically_increasing_id().alias("bg"))
-    base = rows.select("row_id", *features).withColumn("__o", names)
+    held = background.select(*[F.col(f).alias("b_" + f) for f in features]).limit(MOST_BACKGROUND + 1)
+    if held.count() > MOST_BACKGROUND:
+        raise ValueError(f"more than {MOST_BACKGROUND} background rows")
+    base = rows.select("row_id", *features).withColumn("__o", F.transform(order, lambda x: x["f"]))
     # forward: the first s features are the row's; backward: the last 2k - s of the order
     steps = base.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2 * k)))).join(F.broadcast(held))
     on = lambda f: F.when(F.col("s") <= k, F.array_position("__o", F.lit(f)) <= F.col("s")).otherwise(F.array_position("__o", F.lit(f)) > F.col("s") - k)
-    mixed = steps.select("row_id", "__o", "s", *[F.when(on(f), F.col(f)).otherwise(F.col("b_" + f)).alias(f) for f in features])
-    f = model(mixed).groupBy("row_id", "s").agg(F.avg("p").alias("v"), F.first("__o").alias("o"))
+    mixed = steps.select("row_id", "s", *[F.when(on(f), F.col(f)).otherwise(F.col("b_" + f)).alias(f) for f in features])
+    means = model(mixed).groupBy("row_id", "s").agg(*[F.avg(o).alias(o) for o in outputs])
     w = Window.partitionBy("row_id").orderBy("s")
-    d = f.withColumn("d", F.col("v") - F.lag("v").over(w)).withColumns({"fx": F.max(F.when(F.col("s") == k, F.col("v"))).over(Window.partitionBy("row_id")), "base": F.max(F.when(F.col("s") == 0, F.col("v"))).over(Window.partitionBy("row_id"))})
-    d = d.filter("s > 0").withColumn("feature", F.element_at("o", F.when(F.col("s") <= k, F.col("s")).otherwise(F.col("s") - k)))
+    whole = Window.partitionBy("row_id")
+    held_at = lambda o, at: F.max(F.when(F.col("s") == at, F.col(o))).over(whole)
+    walked = [F.struct(F.lit(o).alias("output"), (F.col(o) - F.lag(o).over(w)).alias("d"), held_at(o, k).alias("fx"), held_at(o, 0).alias("base")) for o in outputs]
+    each = means.select("row_id", "s", F.array(*walked).alias("z")).select("row_id", "s", F.explode("z").alias("z"))
+    each = each.filter("s > 0").join(rows.select("row_id", F.transform(order, lambda x: x["f"]).alias("__o")), "row_id")
+    d = each.select("row_id", "z.*", "s", F.element_at("__o", F.when(F.col("s") <= k, F.col("s")).otherwise(F.col("s") - k)).alias("feature"))
     signed = F.when(F.col("s") <= k, F.col("d")).otherwise(-F.col("d"))
-    return d.groupBy("row_id", "feature").agg(F.avg(signed).alias("phi"), F.max("fx").alias("fx"), F.max("base").alias("base"))
+    out = d.groupBy("row_id", "output", "feature").agg(F.avg(signed).alias("phi"), F.max("fx").alias("fx"), F.max("base").alias("base"))
+    return out.drop("output") if len(outputs) == 1 else out
