@@ -279,6 +279,27 @@ def history_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Seque
     return both.withColumn("changed", changed).drop(*["__k_" + k for k in keys], *["__b_" + c for c in columns])
 
 
+#: The columns of each block.
+BLOCKS = {"any": ANY, "same": SAME, "opposite": OTHER}
+
+
+def history_diff_columns(a: DataFrame, b: DataFrame, keys: Sequence[str], groups: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """groups, block, column, n, changed, changed_rate: how often each history column differs between ``a`` and ``b``, and (column null) any of its block.
+
+    One join and one pass of counts; the counts of a group are unpivoted. ``groups``
+    are columns of ``a``; rows on one side only count as changed.
+    """
+    right = b.select(*[F.col(k).alias("__k_" + k) for k in keys], *[F.col(c).alias("__b_" + c) for c in FEATURES])
+    both = a.join(right, scan.null_safe([(F.col(k), F.col("__k_" + k)) for k in keys]), "full")
+    alone = F.col(keys[0]).isNull() | F.col("__k_" + keys[0]).isNull()
+    marks = {c: alone | differs(F.col(c).cast("double"), F.col("__b_" + c).cast("double"), tolerance) for c in FEATURES}
+    both = both.select(*groups, *[m.alias(c) for c, m in marks.items()])
+    counts = [F.count_if(F.col(c)).alias(c) for c in FEATURES] + [F.count_if(F.greatest(*cs)).alias("__" + block) for block, cs in BLOCKS.items()]
+    one = both.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *counts)
+    rows = [F.struct(F.lit(block).alias("block"), F.lit(c).cast("string").alias("column"), F.col(c or "__" + block).alias("changed")) for block, cs in BLOCKS.items() for c in (*cs, None)]
+    return one.select(*groups, "n", F.explode(F.array(*rows)).alias("z")).select(*groups, "z.block", "z.column", "n", "z.changed", (F.col("z.changed") / F.col("n")).alias("changed_rate"))
+
+
 def relative_time(rows: DataFrame) -> DataFrame:
     """Absolute month columns become gaps to the present: mean gap = now - mean, sum of gaps = n * now - sum; absolute ones go."""
     out = rows

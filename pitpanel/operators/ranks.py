@@ -26,6 +26,13 @@ def quantiles(df: DataFrame, *columns: str, most: int | None = None) -> list[lis
     return [sorted(x or []) for x in df.agg(*[F.percentile_approx(F.col(c), shares, 10 * most) for c in columns]).first()]
 
 
+def ordinal(df: DataFrame, column: str) -> Column:
+    """A number that ascends with the column: itself, or a string's first six bytes. Equal numbers need the column itself to be told apart."""
+    if dict(df.dtypes)[column] not in ("string", "binary"):
+        return F.col(column)
+    return F.conv(F.rpad(F.substring(F.hex(F.col(column).cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+
+
 def edges(df: DataFrame, column: str, most: int | None = None) -> list[float]:
     """Ascending different quantiles."""
     return sorted(set(quantiles(df, column, most=most)[0]))
@@ -73,9 +80,9 @@ def row_numbers(df: DataFrame, groups: Sequence[str], order: str, tie: str, desc
     own = bucket(F.col(order), sorted(set(found)))
     often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
     if often:  # rows of a frequent value come before (descending: behind) the others of its bucket, by their tie
-        parts = edges(df, tie)
+        parts = edges(df.select(ordinal(df, tie).alias("__t")), "__t")
         size = len(parts) + 2
-        late = F.when(F.col(order).isin(often), bucket(F.col(tie), parts) + (1 if descending else 0)).otherwise(0 if descending else size - 1)
+        late = F.when(F.col(order).isin(often), bucket(ordinal(df, tie), parts) + (1 if descending else 0)).otherwise(0 if descending else size - 1)
         place = own * (-size if descending else size) + late
     else:
         place = own * (-1 if descending else 1)

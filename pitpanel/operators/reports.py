@@ -137,6 +137,50 @@ def checks(df: DataFrame, key: str, label: str) -> DataFrame:
     return one.selectExpr("stack(3, 'unique_key', a, 'null_key', b, 'binary_label', c) AS (check, value)").withColumn("ok", F.col("value") == 0)
 
 
+def aligned(features: DataFrame, targets: DataFrame, key: str, label: str, columns: Sequence[str]) -> DataFrame:
+    """(check, value, ok) of two tables that should hold the same records: ``length`` (rows that one has more), ``label_equal``
+    (1 if their multisets of key and label differ), ``schema`` (columns that ``features`` lacks).
+
+    One pass over both: an order-free digest adds up two hashes of each (key, label),
+    with a minus for the other side, so equal multisets come to 0.
+    """
+    tall = [t.select(F.col(key).cast("string").alias("k"), F.col(label).cast("string").alias("v"), F.lit(s).alias("s")) for t, s in ((features, 1), (targets, -1))]
+    text = F.concat_ws("|", F.coalesce("k", F.lit("~")), F.coalesce("v", F.lit("~")))
+    h = [F.conv(F.substring(F.md5(text), at, 15), 16, 10).cast("decimal(20,0)") * F.col("s") for at in (1, 16)]
+    one = tall[0].unionByName(tall[1]).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"h{i}") for i, x in enumerate(h)])
+    lacking = len([c for c in columns if c not in features.columns])
+    one = one.select(F.abs("n").cast("long").alias("n"), ((F.col("h0") != 0) | (F.col("h1") != 0)).cast("long").alias("d"), F.lit(lacking).cast("long").alias("c"))
+    return one.selectExpr("stack(3, 'length', n, 'label_equal', d, 'schema', c) AS (check, value)").withColumn("ok", F.col("value") == 0)
+
+
+def compare_reports(reports: Sequence[tuple[str, DataFrame, DataFrame, Sequence[str], Sequence[str], float]]) -> DataFrame:
+    """report, key, column, kind, saved, expected: what ``compare`` finds, for a table of (name, saved, expected, keys, values, tolerance).
+
+    ``key`` has the values of a report's keys, joined by ``|``.
+    """
+    out = None
+    for name, saved, expected, keys, values, tolerance in reports:
+        key = F.array_join(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]), "|")
+        one = compare(saved, expected, keys, values, tolerance).select(F.lit(name).alias("report"), key.alias("key"), "column", "kind", "saved", "expected")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def ledger(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, metric, value, delta of a literal table of formulas.
+
+    ``values``: (entry, metric, value). ``wanted``: (key, metric, minuend, subtrahend,
+    condition). ``value`` is the minuend's, ``delta`` what it has more than the
+    subtrahend; both are null where the entry lacks, and so is ``delta`` where no
+    subtrahend is named or the ``condition``, an entry that must be there too, lacks.
+    """
+    side = lambda n: values.select(F.col("entry").alias(n), "metric", F.col("value").alias(f"__{n}"))
+    there = values.select(F.col("entry").alias("condition"), F.lit(True).alias("__there")).distinct()
+    out = wanted.join(side("minuend"), ["minuend", "metric"], "left").join(side("subtrahend"), ["subtrahend", "metric"], "left").join(there, "condition", "left")
+    holds = F.col("condition").isNull() | F.coalesce("__there", F.lit(False))
+    return out.select("key", "metric", F.col("__minuend").alias("value"), F.when(holds, F.col("__minuend") - F.col("__subtrahend")).alias("delta"))
+
+
 def compare(saved: DataFrame, expected: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
     """One row for each failure: keys, ``column`` (null for whole rows), ``kind`` (missing, extra, repeated, differs), saved, expected.
 

@@ -60,17 +60,30 @@ def numeric_list(df: DataFrame, column: str, longest: int | None = None) -> Data
 
 
 def row_moments(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
-    """``df`` with std (sample), mean, skew, kurt over the columns of a row that are not null."""
+    """``df`` with std (sample), mean, skew, kurt over the columns of a row that are not null.
+
+    Values are taken from the row's first one and then from the mean, so nothing
+    cancels and equal values are exactly 0. Every intermediate is a number, never
+    null, which keeps the generated method small enough to be compiled.
+    """
     values = [F.col(c).cast("double") for c in columns]
-    total = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0.0))
-    rows = df.withColumns({"__n": total([v.isNotNull().cast("double") for v in values]), "__flat": F.greatest(*values, F.lit(None)) == F.least(*values, F.lit(None))})
-    rows = rows.withColumn("__m", total([F.coalesce(v, F.lit(0.0)) for v in values]) / F.nullif("__n", F.lit(0.0)))
-    # power sums around the mean: nothing cancels; equal values are exactly 0
-    off = {f"__v{i}": F.when(F.col("__flat") | v.isNull(), 0.0).otherwise(v - F.col("__m")) for i, v in enumerate(values)}
-    rows = rows.withColumns(off)
-    power = lambda k: total([reduce(lambda a, b: a * b, [F.col(c)] * k) for c in off])
-    rows = rows.withColumns({f"__{k}": power(k) for k in (1, 2, 3, 4)})
-    return _from_sums(rows, prefix).withColumn(f"{prefix}_mean", F.col("__m")).drop("__flat", "__m", "__n", *off, "__1", "__2", "__3", "__4")
+    total = lambda xs: reduce(lambda a, b: a + b, xs)
+    is_there = {f"__h{i}": F.when(v.isNotNull(), 1.0).otherwise(0.0) for i, v in enumerate(values)}
+    rows = df.withColumns({**is_there, "__f": F.coalesce(*values, F.lit(0.0))})
+    rows = rows.withColumns({**{f"__d{i}": F.coalesce(v, F.col("__f")) - F.col("__f") for i, v in enumerate(values)}, "__n": total([F.col(h) for h in is_there])})
+    rows = rows.withColumn("__m", total([F.col(f"__d{i}") for i in range(len(values))]) / F.greatest("__n", F.lit(1.0)))
+    rows = rows.withColumns({f"__e{i}": (F.col(f"__d{i}") - F.col("__m")) * F.col(f"__h{i}") for i in range(len(values))})
+    rows = rows.withColumns({f"__q{i}": F.col(f"__e{i}") * F.col(f"__e{i}") for i in range(len(values))})
+    each = [(F.col(f"__e{i}"), F.col(f"__q{i}")) for i in range(len(values))]
+    rows = rows.withColumns({"__2": total([q for _, q in each]), "__3": total([e * q for e, q in each]), "__4": total([q * q for _, q in each])})
+    n, s2, s3, s4 = (F.col(c) for c in ("__n", "__2", "__3", "__4"))
+    rows = rows.withColumn("__v", F.when(s2 > 0, s2 / F.greatest(n, F.lit(1.0))).otherwise(1.0))
+    v, less = F.col("__v"), lambda k: F.greatest(n - k, F.lit(1.0))
+    skew = F.when(s2 > 0, s3 / n / (v * F.sqrt(v)) * F.sqrt(n * less(1)) / less(2)).otherwise(0.0)
+    kurt = F.when(s2 > 0, less(1) / (less(2) * less(3)) * ((n + 1) * (s4 / n / (v * v) - 3) + 6)).otherwise(0.0)
+    new = {"std": F.when(n > 1, F.sqrt(s2 / less(1))), "mean": F.when(n > 0, F.col("__f") + F.col("__m")), "skew": F.when(n > 2, skew), "kurt": F.when(n > 3, kurt)}
+    helpers = [f"__{k}{i}" for k in "hdeq" for i in range(len(values))]
+    return rows.withColumns({f"{prefix}_{k}": c for k, c in new.items()}).drop("__f", "__m", "__n", "__2", "__3", "__4", "__v", *helpers)
 
 
 def _from_sums(rows: DataFrame, prefix: str) -> DataFrame:

@@ -14,9 +14,10 @@ from ..operators import ranks
 from ..operators import reports as R
 from ..operators import splits
 from ..sources.fixtures import IMPORTANCE, PANEL, SCORED, importance, panel, scored_long
+from .feature_queries import COLUMNS
 from .panel_queries import CHAIN, TRAIN, VALID, _ENTITY, _FOLDS, _ROLE, rounded
 from .registry import query
-from .scored_queries import _topk, _vector
+from .scored_queries import _SUMMARY, _summary, _topk, _vector
 
 
 def _nested(spark, d, scheme: str) -> tuple[DataFrame, DataFrame]:
@@ -83,15 +84,15 @@ def nested_audit_faults(spark, d):
 
 
 @query(
-    f"""WITH {PANEL}{_ROLE} SELECT role, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 6) AS rate, count(DISTINCT entity) AS entities,
+    f"""WITH {PANEL}{_ROLE} SELECT role, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, round(avg(label), 6) AS rate, count(DISTINCT entity) AS entities, CAST({len(COLUMNS)} AS INT) AS features,
     (SELECT count(*) FROM (SELECT entity FROM r GROUP BY entity HAVING count(DISTINCT role) = 2)) AS shared_entities FROM r GROUP BY role"""
 )
 def split_summary(spark, d):
-    """Rows, positives, rate and entities of each role, and how many entities are in both."""
+    """Rows, positives, rate and entities of each role, how many features the matrix of a role has, and how many entities are in both."""
     r = splits.temporal(panel(spark, d), TRAIN, VALID)
     shared = r.groupBy("entity").agg(F.countDistinct("role").alias("c")).agg(F.count_if(F.col("c") > 1).alias("shared_entities"))
     out = r.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.avg("label").alias("rate"), F.countDistinct("entity").alias("entities"))
-    return rounded(out.join(F.broadcast(shared)))
+    return rounded(out.withColumn("features", F.lit(len(COLUMNS))).join(F.broadcast(shared)))
 
 
 @query(f"WITH {PANEL} SELECT entity FROM panel WHERE period >= 200001 EXCEPT SELECT entity FROM panel WHERE period < 200001")
@@ -206,3 +207,105 @@ def condition_table(spark, d):
 )
 def topk_overlap_summary(spark, d):
     return rounded(R.overlap_summary(R.topk_overlap(importance(spark, d))))
+
+
+# ---------------------------------------------------------------- saved reports
+
+
+def _reports(spark, d) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
+    """Reports by name: the table, its keys and its values."""
+    rows = scored_long(spark, d)
+    bins = reduce(DataFrame.unionByName, [M.reliability(rows, ["model"], adaptive=a).withColumn("strategy", F.lit("adaptive" if a else "uniform")) for a in (False, True)])
+    v = rounded(M.metric_vector(rows, ["model", "fold"]))
+    return {
+        "fold_metrics": (v, ["model", "fold"], ["auc", "average_precision", "brier", "ece_uniform", "ece_adaptive", "composite"]),
+        "summary": (R.mean_std(v, ["model"], ["auc", "brier"]), ["model"], ["auc_mean", "auc_std", "brier_mean", "brier_std"]),
+        "topk": (M.topk(rows, ["model"]), ["model", "k"], ["n", "positives", "rate", "lift", "recall", "base_rate"]),
+        "reliability": (bins, ["strategy", "model", "bin"], ["n", "mean_pred", "observed_rate"]),
+        "distribution": (R.year_side(panel(spark, d)), ["year", "side"], ["n", "positives", "rate"]),
+        "bootstrap": (_summary(spark, d, 20), ["metric"], ["observed", "mean", "low", "high"]),
+    }
+
+
+def _saved(spark, df: DataFrame, fault=lambda t: t) -> DataFrame:
+    """A report written as CSV, its faults planted, and read back."""
+    from ..sources import io
+
+    path = io.scratch(spark, "report")
+    io.write_report(fault(df), path, 9)
+    return io.read_csv(spark, path, df.schema)
+
+
+def _kept(spark, df: DataFrame) -> DataFrame:
+    from ..sources import io
+
+    path = io.scratch(spark, "expected")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+#: What is put into each report; ``at`` picks a row, the change is on one value of it, or the row goes or comes twice.
+_AT = lambda where, column, value: lambda t: t.withColumn(column, F.when(F.expr(where), value(F.col(column))).otherwise(F.col(column)))
+_FAULTS = {
+    "fold_metrics": lambda t: t.filter("not (model = 'm1' and fold = 3)"),
+    "summary": _AT("model = 'm2'", "auc_std", lambda c: c + 0.5),
+    "topk": lambda t: t.withColumn("k", F.when((F.col("model") == "m1") & (F.col("k") == 5), 20).otherwise(F.col("k"))),
+    "reliability": _AT("strategy = 'uniform' and model = 'm1' and bin = 2", "observed_rate", lambda c: c + 0.01),
+    "distribution": lambda t: t.unionByName(t.filter("year = 1996 and side = 'A'")),
+    "bootstrap": lambda t: t.withColumns({"low": F.when(F.col("metric") == "auc", F.col("high")).otherwise(F.col("low")), "high": F.when(F.col("metric") == "auc", F.col("low")).otherwise(F.col("high"))}),
+}
+
+
+@query(
+    f"""WITH {SCORED}, vec AS (WITH {SCORED}, {_vector('model, fold')} SELECT * FROM vec), boot AS ({_SUMMARY}), {PANEL},
+    s AS (SELECT model, coalesce(stddev_samp(auc), 0) AS auc_std FROM vec GROUP BY model),
+    b AS (SELECT avg(y) AS rate FROM long WHERE model = 'm1' AND least(floor(p * 10), 9) = 2)
+    SELECT 'fold_metrics' AS report, 'm1|3' AS key, NULL AS "column", 'missing' AS kind, NULL::DOUBLE AS saved, NULL::DOUBLE AS expected FROM vec WHERE model = 'm1' AND fold = 3 UNION ALL
+    SELECT 'summary', model, 'auc_std', 'differs', round(auc_std + 0.5, 6), round(auc_std, 6) FROM s WHERE model = 'm2' UNION ALL
+    SELECT 'topk', 'm1|5', NULL, 'missing', NULL, NULL UNION ALL SELECT 'topk', 'm1|20', NULL, 'extra', NULL, NULL UNION ALL
+    SELECT 'reliability', 'uniform|m1|2', 'observed_rate', 'differs', round(rate + 0.01, 6), round(rate, 6) FROM b WHERE rate IS NOT NULL UNION ALL
+    SELECT DISTINCT 'distribution', '1996|A', NULL, 'repeated', NULL, NULL FROM panel WHERE period // 100 = 1996 AND side = 'A' UNION ALL
+    SELECT 'bootstrap', 'auc', 'low', 'differs', high, low FROM boot WHERE metric = 'auc' UNION ALL SELECT 'bootstrap', 'auc', 'high', 'differs', low, high FROM boot WHERE metric = 'auc'"""
+)
+def saved_reports_faults(spark, d):
+    """Six saved reports with a fault in each, against those computed again: every fault is found in one table, and nothing else."""
+    held = {name: (_kept(spark, t), keys, values) for name, (t, keys, values) in _reports(spark, d).items()}
+    return rounded(R.compare_reports([(name, _saved(spark, t, _FAULTS[name]), t, keys, values, 1e-6) for name, (t, keys, values) in held.items()]))
+
+
+@query(
+    f"""WITH {SCORED}, {PANEL}, b AS (SELECT DISTINCT model, CAST(least(floor(p * 10), 9) AS INT) AS bin FROM long), n AS (SELECT count(*) AS n FROM long WHERE model = 'm1')
+    SELECT 'fold_metrics' AS report, (SELECT count(*) FROM (SELECT DISTINCT model, fold FROM long)) AS n, 0::BIGINT AS failures UNION ALL SELECT 'summary', 2, 0 UNION ALL SELECT 'topk', 6, 0 UNION ALL
+    SELECT 'reliability', (SELECT count(*) FROM b) + 2 * (SELECT least(n, 10) FROM n), 0 UNION ALL SELECT 'distribution', (SELECT count(*) FROM (SELECT DISTINCT period // 100, side FROM panel)), 0 UNION ALL SELECT 'bootstrap', 2, 0"""
+)
+def saved_reports_match(spark, d):
+    """Six reports written as CSV and read back, against a second computation of each: rows and failures."""
+    saved = {name: _saved(spark, t) for name, (t, _, _) in _reports(spark, d).items()}
+    again = _reports(spark, d)
+    found = R.compare_reports([(name, saved[name], t, keys, values, 1e-6) for name, (t, keys, values) in again.items()]).groupBy("report").agg(F.count(F.lit(1)).alias("failures"))
+    sizes = reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n") for name, t in saved.items()])
+    return sizes.join(found, "report", "left").select("report", "n", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
+
+
+#: key, metric, minuend, subtrahend, condition: the formulas of the ledger; entries that no evaluation has stand for conditions that don't hold.
+FORMULAS = [
+    ("reference", "auc", "m1", None, None),
+    ("full", "auc", "m2", "m1", None),
+    ("full", "average_precision", "m2", "m1", "m2"),
+    ("full_if_third", "auc", "m2", "m1", "m3"),
+    ("full_less_third", "brier", "m2", "m3", None),
+    ("third", "auc", "m3", "m1", None),
+]
+
+
+@query(
+    f"""WITH {SCORED}, {_vector('model')}, f(key, metric, a, b, c) AS (VALUES {", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in FORMULAS)}),
+    v AS (SELECT model, unnest(['auc', 'average_precision', 'brier']) AS metric, unnest([auc, average_precision, brier]) AS value FROM vec)
+    SELECT key, f.metric, x.value, CASE WHEN c IS NULL OR c IN (SELECT model FROM v) THEN round(x.value - y.value, 6) END AS delta
+    FROM f LEFT JOIN v x ON x.model = a AND x.metric = f.metric LEFT JOIN v y ON y.model = b AND y.metric = f.metric"""
+)
+def figure_ledger_deltas(spark, d):
+    """Key figures by formula: values, and differences that stand only where the other entry and the condition are there."""
+    v = rounded(M.metric_vector(scored_long(spark, d), ["model"]))
+    values = v.selectExpr("model AS entry", "stack(3, 'auc', auc, 'average_precision', average_precision, 'brier', brier) AS (metric, value)")
+    return rounded(R.ledger(values, spark.createDataFrame(FORMULAS, "key string, metric string, minuend string, subtrahend string, condition string")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -195,6 +198,27 @@ def hist_fold_diff(spark, d):
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed"), F.avg(F.col("changed").cast("int")).alias("changed_rate")))
 
 
+_BY_BLOCK = [(b, c) for b, cs in H.BLOCKS.items() for c in (*cs, None)]
+
+
+@query(
+    f"""WITH {PANEL}{_EACH}, i AS (SELECT t.fold, t.role, t.row_id, {_ALL} FROM e t LEFT JOIN src s ON s.entity = t.entity AND s.period < t.period AND s.fold = t.fold GROUP BY ALL),
+    w AS (SELECT t.row_id, {_ALL} FROM panel t LEFT JOIN panel s ON s.entity = t.entity AND s.period < t.period GROUP BY ALL),
+    x AS (SELECT i.fold, i.role, {", ".join(f"(i.{c} IS DISTINCT FROM w.{c})::INT AS {c}" for c in H.FEATURES)} FROM i JOIN w USING (row_id)),
+    g AS (SELECT fold, role, count(*) AS n, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in H.FEATURES)}, {", ".join(f"CAST(sum(greatest({', '.join(cs)})) AS BIGINT) AS any_{b}" for b, cs in H.BLOCKS.items())} FROM x GROUP BY ALL)
+    """
+    + " UNION ALL ".join(f"""SELECT fold, role, '{b}' AS block, {f"'{c}'" if c else "NULL"} AS "column", n, {c or "any_" + b} AS changed, round({c or "any_" + b} / n, 6) AS changed_rate FROM g""" for b, c in _BY_BLOCK)
+)
+def hist_fold_diff_columns(spark, d):
+    """All 16 columns and three blocks: rows of each fold and role whose history differs between all data and the fold's training rows."""
+    p = panel(spark, d)
+    hot = scan.hot_values(p)
+    s = splits.stratified(p)
+    isolated = H.fold_isolated(s, hot=hot).select("fold", "role", "row_id", *H.FEATURES)
+    whole = H.fold_history(p, p, hot=hot).select("row_id", *H.FEATURES).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return rounded(H.history_diff_columns(isolated, whole, ["fold", "row_id"], ["fold", "role"]))
+
+
 @query(f"WITH {PANEL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM panel")
 def hist_bruteforce_mismatch(spark, d):
     """Range windows against the theta join, all rows and all 16 columns."""
@@ -437,13 +461,56 @@ def fingerprint(spark, d):
     return R.fingerprint(panel(spark, d), ["row_id", "entity", "side", "period", "label"])
 
 
+#: What a feature table of the panel has to have.
+_WANTED = ("row_id", "entity", "side", "period", "ym_index", "label", "amount")
+
+
+def _six(features, targets):
+    return R.checks(features, "row_id", "label").unionByName(R.aligned(features, targets, "row_id", "label", _WANTED))
+
+
 @query(
-    f"""WITH {PANEL} SELECT 'unique_key' AS "check", count(*) - count(DISTINCT row_id) AS value, count(*) = count(DISTINCT row_id) AS ok FROM panel UNION ALL
+    f"""WITH {PANEL}, t AS (SELECT o_orderkey AS row_id, (o_orderstatus = 'F')::INT AS label FROM orders),
+    m AS (SELECT count(*) AS d FROM ((SELECT row_id, label FROM panel EXCEPT ALL SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT ALL SELECT row_id, label FROM panel)))
+    SELECT 'unique_key' AS "check", count(*) - count(DISTINCT row_id) AS value, count(*) = count(DISTINCT row_id) AS ok FROM panel UNION ALL
     SELECT 'null_key', count(*) FILTER (WHERE row_id IS NULL), count(*) FILTER (WHERE row_id IS NULL) = 0 FROM panel UNION ALL
-    SELECT 'binary_label', count(*) FILTER (WHERE label NOT IN (0, 1)), count(*) FILTER (WHERE label NOT IN (0, 1)) = 0 FROM panel"""
+    SELECT 'binary_label', count(*) FILTER (WHERE label NOT IN (0, 1)), count(*) FILTER (WHERE label NOT IN (0, 1)) = 0 FROM panel UNION ALL
+    SELECT 'length', abs((SELECT count(*) FROM panel) - (SELECT count(*) FROM t)), (SELECT count(*) FROM panel) = (SELECT count(*) FROM t) UNION ALL
+    SELECT 'label_equal', (d > 0)::BIGINT, d = 0 FROM m UNION ALL SELECT 'schema', 0::BIGINT, true"""
 )
 def panel_checks(spark, d):
-    return R.checks(panel(spark, d), "row_id", "label")
+    """Six checks of the panel against the table that its labels come from: keys, labels, length, equal labels, columns."""
+    targets = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    return _six(panel(spark, d), targets)
+
+
+#: A fault for each check, planted by itself: the value that the check must give, in SQL over the panel.
+_PLANTED = {
+    "unique_key": "(SELECT count(*) FROM panel WHERE row_id % 97 = 0)",
+    "null_key": "1",
+    "binary_label": "(SELECT count(*) FROM panel WHERE row_id % 89 = 0)",
+    "length": "(SELECT count(*) FROM panel WHERE row_id % 83 = 0)",
+    "label_equal": "(SELECT (count(DISTINCT label) = 2)::BIGINT FROM panel WHERE row_id % 79 = 0)",
+    "schema": "1",
+}
+
+
+@query(f"WITH {PANEL} " + " UNION ALL ".join(f"""SELECT '{k}' AS fault, CAST({v} AS BIGINT) AS value, {v} = 0 AS ok FROM (SELECT 1)""" for k, v in _PLANTED.items()))
+def panel_checks_faults(spark, d):
+    """Each of the six checks with its fault planted: repeated rows, null keys, labels of 2, dropped rows, two labels changed for each other, a column that lacks."""
+    p = panel(spark, d)
+    key, label = F.col("row_id"), F.col("label")
+    other = p.withColumn("label", F.when(key % 79 == 0, 1 - label).otherwise(label))  # as many rows, other labels
+    planted = {
+        "unique_key": (p.unionByName(p.filter(key % 97 == 0)), p),
+        "null_key": (p.withColumn("row_id", F.when(key % 101 != 0, key)), p),
+        "binary_label": (p.withColumn("label", F.when(key % 89 == 0, 2).otherwise(label)), p),
+        "length": (p.filter(key % 83 != 0), p),
+        "label_equal": (other, p),
+        "schema": (p.drop("amount"), p),
+    }
+    out = [_six(*tables).filter(F.col("check") == name).select(F.lit(name).alias("fault"), "value", "ok") for name, tables in planted.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(f"WITH {PANEL} SELECT side, count(*) AS n, printf('%.2f%%', 100 * avg(label)) AS rate_text FROM panel GROUP BY side")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.reports import checks, fingerprint
+from ..operators.reports import aligned, checks, fingerprint
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,12 +59,15 @@ def save_features(df: DataFrame, path: str, key: str = "row_id") -> None:
     df.repartitionByRange(key).write.mode("overwrite").parquet(path)
 
 
-def load_features(spark: SparkSession, path: str, columns: Sequence[str], key: str = "row_id", label: str = "label") -> DataFrame:
-    """A table that :func:`save_features` wrote; refused if columns lack, keys repeat or are null, or labels are not 0 and 1."""
+def load_features(spark: SparkSession, path: str, columns: Sequence[str], key: str = "row_id", label: str = "label", targets: DataFrame | None = None) -> DataFrame:
+    """A table that :func:`save_features` wrote; refused if columns lack, keys repeat or are null, labels are not 0 and 1, or (with ``targets``) it has other records or labels than these."""
     df = spark.read.parquet(path)
     if missing := [c for c in (key, label, *columns) if c not in df.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
-    if bad := [r["check"] for r in checks(df, key, label).filter("not ok").collect()]:  # three rows at most
+    found = checks(df, key, label)
+    if targets is not None:
+        found = found.unionByName(aligned(df, targets, key, label, columns))
+    if bad := [r["check"] for r in found.filter("not ok").collect()]:  # six rows at most
         raise ValueError(f"the table fails: {', '.join(sorted(bad))}")
     return df
 
