@@ -19,7 +19,8 @@ overlap counts over the blocks:
    around its middle before its pairs are made. What is open
    then is multiplied in full: pairs of different components, within bands of sizes
    that can match; pairs below the bounds that follow from their sizes and from the
-   place of the first shared shingle in either order are never made.
+   place of the first shared shingle in either order are never made. The places take part in the join: a class asks only for sizes that its place in the
+   block leaves, and answers only if its place leaves its own.
 
 For the pairs of either step the weights of their common blocks are summed: this is
 their overlap within both prefixes. Pairs for which that and the rest of the shorter
@@ -194,6 +195,27 @@ def _document(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__k"), text.alias("__text"))
 
 
+def open_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of names of different labels that a block (block, name, n, place, label) lets reach the threshold.
+
+    A pair is looked for at the first shingle that both have: all that they share
+    lies from there on, so at its place a class of size n can only meet sizes up to
+    ``most``. Of a pair the larger class asks for the sizes that the threshold and its
+    place leave (by bands of sizes), the smaller one answers if its place lets it
+    meet its own size at least. Pages of one template that their own part keeps below
+    the threshold ask for smaller sizes than any of them has, or don't answer: none
+    of their pairs is made.
+    """
+    band = lambda n: F.floor(F.log(n) * (0.999 / np.log(100 / percent))) if percent < 100 else n.cast("long")
+    size, most = F.col("n").cast("long"), F.expr(f"({100 + percent}L * (n - place) - {percent}L * n) div {percent}L")
+    held = blocks.withColumn("most", most)
+    low, high = F.ceil(size * percent / 100), F.least(size, "most")
+    x = held.filter(high >= low).withColumn("band", F.explode(F.sequence(band(low), band(high)))).alias("x")
+    y = held.filter(F.col("most") >= size).withColumn("band", band(size)).alias("y")
+    pairs = x.join(y, F.expr(f"x.block = y.block and x.band = y.band and x.label <> y.label and y.n <= x.n and y.n <= x.most and x.n <= y.most and 100 * y.n >= {percent} * x.n"))
+    return pairs.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__id, __k, n, component, first): per document (id and name of its text) the size of its set, the smallest id of its component, and whether it is the first there."""
     spark = docs.sparkSession
@@ -304,21 +326,7 @@ def groups(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "do
         apart = still_open(crowded, label, str(step))
         space.drop(f"lead-{step}", f"open-{step - 1}")
     open_blocks = still_open(blocks, label, "rest")
-    # sizes that can match lie in the same band or in neighbouring ones (bands a little wider than the ratio: no rounding)
-    band = F.floor(F.log("n") * (0.999 / np.log(100 / percent))) if percent < 100 else F.col("n").cast("long")
-    banded = space.save(open_blocks.withColumn("band", band), "open-blocks")
-    x = banded.alias("x")
-    y = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
-    # a pair is looked for at the first shingle that both have: all that they share lies from there on
-    bound = "least(x.n - x.place, y.n - y.place)"
-    pairs = x.join(
-        y,
-        F.expr(
-            f"x.block = y.block and x.band = y.band and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-            f" and {100 + percent} * {bound} >= {percent} * (x.n + y.n)"
-        ),
-    )
-    pairs = pairs.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+    pairs = open_pairs(space.save(open_blocks, "open-blocks"), percent)
     more = linked(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     label = S.components(links.unionByName(more), space, "labels-rest")
 

@@ -136,3 +136,32 @@ def test_components(spark):
     out = {r.node: r.label for r in shared.components(spark.createDataFrame(edges, "a long, b long"), space, "c").collect()}
     assert out == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 104), 100), 200: 200, 201: 200}
     assert shared.components(spark.createDataFrame([], "a long, b long"), space, "d").count() == 0
+
+
+def test_open_pairs_are_those_of_the_bounds(spark):
+    rnd = random.Random(8)
+    for percent in (50, 75, 90, 100):
+        rows = []
+        for i in range(300):
+            n = rnd.choice([1, 2, 9, 10, 11, 40, 41, 55, rnd.randint(1, 200)])
+            rows.append((rnd.randrange(6), i, n, rnd.randrange(n - -(-percent * n // 100) + 1), rnd.randrange(250)))
+        want = set()
+        for x in rows:
+            for y in rows:
+                shared = min(x[2] - x[3], y[2] - y[3])
+                if x[0] == y[0] and x[4] < y[4] and 100 * min(x[2], y[2]) >= percent * max(x[2], y[2]) and (100 + percent) * shared >= percent * (x[2] + y[2]):
+                    want.add((min(x[1], y[1]), max(x[1], y[1])))
+        blocks = spark.createDataFrame(rows, "block long, name long, n int, place int, label long")
+        assert {tuple(r) for r in ngram_jaccard.open_pairs(blocks, percent).collect()} == want and want
+
+
+def test_pages_of_one_template_below_the_threshold_make_no_pairs(spark):
+    """165 words of a template and 36 own ones: 197 shingles, of which the 40 rarest are a page's own."""
+    blocks = spark.range(20_000).selectExpr("1L AS block", "id AS name", "CAST(195 + id % 5 AS INT) AS n", "CAST(40 + id % 3 AS INT) AS place", "id AS label")
+    assert ngram_jaccard.open_pairs(blocks, 75).count() == 0
+    rnd = random.Random(3)
+    template = [f"t{i}" for i in range(165)]
+    rows = [(i, " ".join([f"p{i}x{k}" for k in range(18)] + template + [f"p{i}y{k}" for k in range(18)])) for i in range(150)]
+    rows += [(500 + i, rows[i][1] + " more") for i in rnd.sample(range(150), 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(ngram_jaccard.join(docs)) == brute(rows)
