@@ -149,7 +149,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, least_chars: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, least_chars: int = 0) -> DataFrame:
     """(d, k, gone): for documents (d, k, text), in order of d and k, the numbers of the lines that go."""
     spark = docs.sparkSession
     line = ["d", "k", "no"]
@@ -196,14 +196,14 @@ def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, leas
     return gone.groupBy("d", "k").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup(docs: DataFrame, max_edits: int = 1, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 1, least_chars: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns, ``text_col`` without repeated lines, and the columns n_lines and n_removed.
 
     Lines end at line feeds. Lines of white space stay and count neither as lines
-    nor as repeats. Lines shorter than ``least_chars`` characters go only if an
-    earlier line equals them; longer ones also if one is within ``max_edits`` (0
-    or 1): a change of one character is a small part of a long line, but makes
-    another item of a short one. Null text stays null, without lines.
+    nor as repeats. A line goes if an earlier one equals it or is within ``max_edits``
+    (0 or 1), whatever its length; a caller who wants that for long lines only names
+    ``least_chars``: shorter ones then go only if an earlier line equals them. Null
+    text stays null, without lines.
 
     An id is a whole number. Null ids come first; texts that share an id, or lack
     one, are documents of their own, in an order that depends on the texts alone.
@@ -252,16 +252,18 @@ WITH l AS (
 ), f AS (
   SELECT line, doc_id, no, length(line) AS n FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
   QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, no) = 1
-), c AS (SELECT * FROM f WHERE n >= 20),
-m AS (
-  SELECT line, n, doc_id, no, n AS longer FROM c UNION ALL SELECT line, n, doc_id, no, n + 1 FROM c
+), m AS (
+  SELECT line, n, doc_id, no, n AS longer FROM f UNION ALL SELECT line, n, doc_id, no, n + 1 FROM f
 ), h AS (
   SELECT *, longer // 2 AS cut FROM m
 ), k AS (
   SELECT *, longer || 'L' || left(line, cut) AS half FROM h UNION ALL SELECT *, longer || 'R' || right(line, longer - cut) FROM h
 ), near AS (
   SELECT DISTINCT y.line FROM k x JOIN k y ON x.half = y.half AND (x.doc_id, x.no) < (y.doc_id, y.no)
-  WHERE x.line <> y.line AND levenshtein(x.line, y.line) <= 1
+  WHERE x.line <> y.line AND abs(x.n - y.n) <= 1 AND CASE WHEN strlen(x.line) = x.n AND strlen(y.line) = y.n THEN levenshtein(x.line, y.line) <= 1
+    -- levenshtein counts bytes: beyond ASCII, the lines without their i-th characters (or the longer one without its own) are compared
+    ELSE len(list_filter(range(greatest(x.n, y.n)), lambda i: CASE WHEN x.n = y.n THEN left(x.line, i) || substr(x.line, i + 2) = left(y.line, i) || substr(y.line, i + 2)
+      WHEN x.n > y.n THEN left(x.line, i) || substr(x.line, i + 2) = y.line ELSE left(y.line, i) || substr(y.line, i + 2) = x.line END)) > 0 END
 ), out AS (
   SELECT l.doc_id, l.text, l.no, l.line, f.line IS NOT NULL AS counted,
          f.line IS NOT NULL AND (near.line IS NOT NULL OR (l.doc_id, l.no) <> (f.doc_id, f.no)) AS gone

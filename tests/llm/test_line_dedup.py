@@ -17,7 +17,7 @@ def close(a, b):
     return a[i:] == b[i + 1 :]
 
 
-def brute(rows, edits=1, least=20):
+def brute(rows, edits=1, least=0):
     lines = []
     for d, t in rows:
         for k, x in enumerate((t or "").split("\n")):
@@ -55,13 +55,14 @@ ROWS = [
     (2, "line number 1 of a list with a counter\nline number 2 of a list with a counter\nline number 31 of a list with a counter"),
     (11, "x" * 5000 + "\n" + "x" * 4999),
     (12, "ünïcödé lïné öf thé tést 🙂 end\nünïcödé lïné öf thé tést end"),
+    (14, "1.\n2.\na\nb\nab\nabcd\nMenu\nmenu\nMenus >"),
     (13, "aaaaaaaaaaaaaaaaaaaaaaaaaaa\naaaaaaaaaaaaaaaaaaaaaaaaaa\naaaaaaaaaaaaaaaaaaaaaaaaaaaab"),
 ]
 
 
-@pytest.mark.parametrize("kw", [{}, {"max_edits": 0}, {"least_chars": 3}])
+@pytest.mark.parametrize("kw", [{}, {"max_edits": 0}, {"least_chars": 3}, {"least_chars": 20}])
 def test_cases(spark, kw):
-    assert run(spark, ROWS, **kw) == brute(ROWS, kw.get("max_edits", 1), kw.get("least_chars", 20))
+    assert run(spark, ROWS, **kw) == brute(ROWS, kw.get("max_edits", 1), kw.get("least_chars", 0))
 
 
 def test_random(spark):
@@ -78,6 +79,7 @@ def test_random(spark):
             lines.append("".join(x))
         rows.append((i, "\n".join(lines)))
     assert run(spark, rows, least_chars=8) == brute(rows, 1, 8)
+    assert run(spark, rows) == brute(rows)
 
 
 def test_stage_and_empty(spark):
