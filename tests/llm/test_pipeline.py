@@ -42,3 +42,61 @@ def test_drop_contaminated_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "k", 3), (2, "x y", "k", 3), (None, "a b", "k", 3)], "doc_id long, text string, key string, start int")
     out = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_lines int, name string, d long, k string"
+LONG = " ".join(f"wort{i}" for i in range(40))
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(*r, 0.5, 7, "a", 3, "k") for r in rows], SCHEMA).repartition(3)
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark):
+    rows = [
+        (1, LONG + "\nline of its own", "de", "s", 10),
+        (2, LONG + "\nline of its oWn", None, None, None),
+        (None, "a text without an id\nline of its own", "de", "s", 1),
+        (None, "another text that has no id", "de", "s", 1),
+        (3, "the same row twice", "de", "s", 1),
+        (3, "the same row twice", "de", "s", 1),
+        (3, "another text with that id", "de", None, 1),
+        (4, None, "de", "s", None),
+        (5, "", "de", "s", 0),
+        (6, "   \n", "de", "s", 4),
+        (7, "x" * 20_000 + " " + LONG, "de", "s", 4),
+    ]
+    docs = odd(spark, rows)
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rest = lambda df: {tuple(r)[5:] for r in df.collect()}
+
+    one = cp.language_stage(spark, docs, D)
+    assert one.columns == docs.columns and rest(one) <= {(0.5, 7, "a", 3, "k")}
+    assert {t for _, t in key(one)} <= {t for _, t, *_ in rows if t and t.strip()}
+
+    two = cp.line_stage(spark, docs, D)
+    got = key(two)
+    assert two.columns == docs.columns and rest(two) == {(0.5, 7, "a", 3, "k")}
+    assert (None, "a text without an id\nline of its own") in got and (4, None) in got and (5, "") in got
+    assert (1, LONG) in got and all(d != 2 for d, _ in got)  # its lines came before, by id
+
+    three = cp.near_duplicate_stage(spark, docs, D)
+    got = key(three)
+    assert three.columns == docs.columns and rest(three) == {(0.5, 7, "a", 3, "k")}
+    assert got.count((3, "the same row twice")) == 1 and (3, "another text with that id") in got and (4, None) in got and (5, "") in got
+    assert (1, rows[0][1]) in got and all(d != 2 for d, _ in got) and sum(d is None for d, _ in got) == 2
+
+    four = cp.benchmark_stage(spark, docs, D)
+    assert four.columns == docs.columns and len(key(four)) == len(rows)
+
+    five = cp.token_stage(spark, docs, D).collect()
+    assert len(five) == len(rows) and all(r.round_trip for r in five if r.doc_id not in (4,))
+    assert {r.n_tokens for r in five if r.doc_id in (4, 5)} == {0}
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = odd(spark, [])
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, D)
+        assert out.count() == 0, name
+        assert name == "byte_bpe" or out.columns == docs.columns
