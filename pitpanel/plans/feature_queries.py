@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history as H
@@ -181,6 +184,22 @@ def feature_variants(spark, d):
     return _filled(spark, d, X.variants, "variant")
 
 
+#: What the time variants read, and the matrix column behind each gap.
+_REST = [c for c in COLUMNS if c not in X.ABSOLUTE]
+_GAPS = {f"{p}_month_gap_{s}": f"{p}_YearMonthIndex_{s}" for p in ("prev_ab", "prev") for s in ("mean", "sum")} | {"other_test_month_gap_mean": "other_test_YearMonthIndex_mean"}
+
+
+@query(_filled_sql({"full": COLUMNS, "without_absolute_time": _REST, "relative_time": [*_REST, *_GAPS.values()]}, "variant"))
+def time_variants(spark, d):
+    """Columns of the matrix with absolute months, without them, and with gaps to the present in their place, and their filled values."""
+    p = panel(spark, d)
+    out = []
+    for name, (t, columns) in X.time_variants(matrix(spark, d, p, p), COLUMNS).items():
+        filled = F.sum(sum((F.col(c).isNotNull().cast("long") for c in columns), F.lit(0)))
+        out.append(t.agg(filled.alias("filled")).select(F.lit(name).alias("variant"), F.lit(len(columns)).cast("long").alias("columns"), "filled"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(
     f"""WITH {PANEL} SELECT row_id, entity, period, CASE WHEN side = 'A' THEN 'a' ELSE 'b' END AS origin FROM panel"""
 )
