@@ -19,12 +19,20 @@ from pyspark.sql import functions as F
 RANGES = 32
 
 
-def hot_values(*tables: DataFrame, column: str = "entity", least: int = 100_000, most: int = 1000) -> list:
+def _estimate(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of a table, at most."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def hot_values(*tables: DataFrame, column: str = "entity", least: int = 100_000, most: int = 1000, small: int = 64 << 20) -> list:
     """Values of ``column`` that hold more rows than a task should: ``least``, and half of a shuffle partition's share.
 
     One pass with a sketch of fixed size, without a shuffle; at most ``most`` values.
-    Which values are found decides how sums are made, never what they are.
+    Tables of at most ``small`` bytes, which one task can hold as a whole, are not read
+    for it. Which values are found decides how sums are made, never what they are.
     """
+    if sum(_estimate(t) for t in tables) <= small:
+        return []
     rows = reduce(DataFrame.unionByName, [t.select(column) for t in tables])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = min(most, 2 * parts)

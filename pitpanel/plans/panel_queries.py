@@ -131,7 +131,7 @@ def hot_panel(spark, d):
 
 def hot_entities(p):
     """Entities with more rows than a task of a cluster should hold, were the tables a hundred times as large."""
-    return scan.hot_values(p, least=1000)
+    return scan.hot_values(p, least=1000, small=0)
 
 
 @query(_hist("row_id", _ALL, "hp", "hp").replace(PANEL, _HOT))
