@@ -259,6 +259,7 @@ def search(
     heads = index.filter("term is null").select("block", "counts", "ids")
 
     blank = F.lit(b"")
+    # the stated query set goes to every block of documents once, an item a bundle
     bundles = heads.select("block").crossJoin(_small(plans, size)).withColumns({"docs": blank, "scores": blank, "best": F.expr("cast(array() as array<long>)")}).select(*_BUNDLES)
     least, owners = None, len(bands) + 1
     for o in range(owners):
