@@ -157,7 +157,7 @@ def weighted_auc_ap(df: DataFrame, weights: DataFrame, groups: Sequence[str] = (
     small = df.filter("p is not null").groupBy(*groups, "entity", "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
     found = ranks.quantiles(df, "p")[0]
     often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
-    small = small.withColumn("__b", ranks.bucket(F.col("p"), sorted(set(found))))
+    small = ranks.with_bucket(small, "__b", F.col("p"), found)
     each = small.join(weights, "entity")
     names = [*groups, "__b"]
     fields = [*[df.schema[g] for g in groups], T.StructField("__b", T.IntegerType())]

@@ -9,14 +9,15 @@ the column that breaks ties.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets at least and at most; between them, two for each shuffle partition.
 EDGES = (64, 4096)
-_STEP = 64
 
 
 def quantiles(df: DataFrame, *columns: str, most: int | None = None) -> list[list[float]]:
@@ -38,16 +39,14 @@ def edges(df: DataFrame, column: str, most: int | None = None) -> list[float]:
     return sorted(set(quantiles(df, column, most=most)[0]))
 
 
-def bucket(column: Column, cuts: Sequence[float]) -> Column:
-    """Number of edges at or below the value: looked for among every 64th edge, then among the edges behind it."""
-    if not cuts:
-        return F.lit(0)
-    held = F.array(*map(F.lit, cuts))
-    if len(cuts) <= _STEP:
-        return F.size(F.filter(held, lambda e: e <= column))
-    coarse = F.size(F.filter(F.array(*map(F.lit, cuts[::_STEP])), lambda e: e <= column))
-    inner = F.size(F.filter(F.slice(held, (coarse - 1) * _STEP + 1, F.lit(_STEP)), lambda e: e <= column))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * _STEP + inner)
+def with_bucket(df: DataFrame, name: str, column: Column, cuts: Sequence[float]) -> DataFrame:
+    """``df`` with ``name``, the number of edges at or below the (numeric) column, by binary search; nulls lie below all, as they sort."""
+    inner = sorted({float(c) for c in cuts if math.isfinite(c)})
+    if not inner:
+        return df.withColumn(name, F.lit(0))
+    rows = df.withColumn("__edge", F.coalesce(column.cast("double"), F.lit(-math.inf)))
+    rows = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="__edge", outputCol="__found", handleInvalid="keep").transform(rows)
+    return rows.withColumn(name, F.col("__found").cast("int")).drop("__edge", "__found")
 
 
 def prefix_sums(df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str], cuts: Sequence[float] | None = None) -> DataFrame:
@@ -55,7 +54,7 @@ def prefix_sums(df: DataFrame, groups: Sequence[str], order: str, values: Sequen
 
     A column ``__b`` that ``df`` has is taken as the rows' buckets.
     """
-    rows = df if "__b" in df.columns else df.withColumn("__b", bucket(F.col(order), edges(df, order) if cuts is None else cuts))
+    rows = df if "__b" in df.columns else with_bucket(df, "__b", F.col(order), edges(df, order) if cuts is None else cuts)
     by = Window.partitionBy(*groups)
     before = by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     total = rows.groupBy(*groups, "__b").agg(*[F.sum(v).alias("__t_" + v) for v in values])
@@ -77,16 +76,17 @@ def prefix_sums(df: DataFrame, groups: Sequence[str], order: str, values: Sequen
 def row_numbers(df: DataFrame, groups: Sequence[str], order: str, tie: str, descending: bool = False, cuts: Sequence[float] | None = None) -> DataFrame:
     """``df`` with ``rn`` (from 0, by ``order``, equals by ascending ``tie``) and ``n`` (rows of the group)."""
     found = quantiles(df, order)[0] if cuts is None else list(cuts)
-    own = bucket(F.col(order), sorted(set(found)))
+    rows, own = with_bucket(df, "__b", F.col(order), found), F.col("__b")
     often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
     if often:  # rows of a frequent value come before (descending: behind) the others of its bucket, by their tie
         parts = edges(df.select(ordinal(df, tie).alias("__t")), "__t")
         size = len(parts) + 2
-        late = F.when(F.col(order).isin(often), bucket(ordinal(df, tie), parts) + (1 if descending else 0)).otherwise(0 if descending else size - 1)
+        rows = with_bucket(rows, "__tie", ordinal(df, tie), parts)
+        late = F.when(F.col(order).isin(often), F.col("__tie") + (1 if descending else 0)).otherwise(0 if descending else size - 1)
         place = own * (-size if descending else size) + late
     else:
         place = own * (-1 if descending else 1)
-    rows = df.withColumn("__b", place)
+    rows = rows.withColumn("__b", place).drop("__tie")
     by = Window.partitionBy(*groups)
     counts = rows.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__c"))
     before = by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,7 +60,7 @@ def test_row_numbers_split_a_frequent_value(spark, descending):
 
 def test_buckets_count_the_edges_at_or_below(spark):
     cuts = [float(i) for i in range(0, 600, 3)]
-    out = spark.range(-5, 610).select("id", ranks.bucket(F.col("id").cast("double"), cuts).alias("b")).collect()
+    out = ranks.with_bucket(spark.range(-5, 610), "b", F.col("id").cast("double"), cuts).collect()
     assert all(r.b == sum(c <= r.id for c in cuts) for r in out)
 
 
