@@ -16,6 +16,9 @@ lines are found by name and count. For the rest:
    place are one substitution away. The earliest of each such group stands for
    it, so groups are never expanded into pairs.
 4. The edit distance of each pair found is verified on the lines themselves.
+
+With two edits (a parameter) lines are cut into thirds, variants lack up to two
+characters, and the groups are those of ``_earlier_of_two``.
 """
 
 from __future__ import annotations
@@ -51,11 +54,26 @@ def _codes(text: str) -> np.ndarray:
 _SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
 
 
-def _line_names(texts: list[str], least_chars: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of all lines of some texts: (row of the text, number in it), and name in two words and four names of halves.
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(less, piece, shift): where a line that has ``less`` characters less than another may hold a piece of it.
+
+    The longer line is cut into one piece more than there are edits, so one is
+    whole in the shorter line; what was inserted before it shifts it, and the rest
+    of the edits must make up the difference behind it.
+    """
+    found = []
+    for less in range(edits + 1):
+        for piece in range(edits + 1):
+            shifts = [0] if piece == 0 else [-less] if piece == edits else [s for s in range(-edits, edits + 1) if abs(s) + abs(less + s) <= edits]
+            found += [(less, piece, s) for s in shifts]
+    return found
+
+
+def _line_names(texts: list[str], least_chars: int, edits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of all lines of some texts: (row of the text, number in it), and name in two words and the names of its ``_places``.
 
-    Lines of white space are left out. The halves are those of a line of its own
-    length and of one that lacks a character; lines below ``least_chars`` have none (-1).
+    Lines of white space are left out. A piece that a line has no room for has no
+    name (-1), nor have those of lines below ``least_chars``.
     """
     codes = _codes("\n".join(texts))
     breaks = np.flatnonzero(codes == 10)
@@ -71,15 +89,22 @@ def _line_names(texts: list[str], least_chars: int) -> tuple[np.ndarray, list[np
     shown = itertools.compress("\n".join(texts).split("\n"), keep)
     named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in shown), "<i8").reshape(-1, 2)
     halves, n = [], end - start
-    for longer in (n, n + 1):
-        cut = longer // 2
-        for side, (x, y) in enumerate(((start, start + np.minimum(cut, n)), (end - np.minimum(longer - cut, n), end))):
-            half = _signed(S.mix(S.span_hash(sums, x, y) ^ (2 * longer + side).astype(np.uint64)))
-            halves.append(np.where(n >= least_chars, half, -1))
+    for less, piece, shift in _places(edits):
+        longer = n + less
+        x = start + longer * piece // (edits + 1) + shift
+        y = start + longer * (piece + 1) // (edits + 1) + shift
+        fits = (x >= start) & (y <= end) & (n >= least_chars)
+        x, y = np.where(fits, x, start), np.where(fits, y, start)
+        half = _signed(S.mix(S.span_hash(sums, x, y) ^ ((edits + 1) * longer + piece).astype(np.uint64)))
+        halves.append(np.where(fits, half, -1))
     return np.stack([row, number]), [named[:, 0], named[:, 1], *halves]
 
 
-def _lines(least_chars: int):
+def _halves(edits: int) -> list[str]:
+    return [f"h{k}" for k in range(len(_places(edits)))]
+
+
+def _lines(least_chars: int, edits: int):
     """One row for each line of (d, k, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +112,9 @@ def _lines(least_chars: int):
             _, off = S.utf8(batch.column(2))
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in S.slices(off):
-                (row, number), names = _line_names([t or "" for t in batch.column(2).slice(i, j - i).to_pylist()], least_chars)
+                (row, number), names = _line_names([t or "" for t in batch.column(2).slice(i, j - i).to_pylist()], least_chars, edits)
                 cols = [ids[i:j][row], keys[i:j][row], number.astype(np.int32), *names]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["d", "k", "no", "a", "b", "h0", "h1", "h2", "h3"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["d", "k", "no", "a", "b", *_halves(edits)])
 
     return run
 
@@ -133,6 +158,67 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
 
+def _variants_of_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n, p, q, d, k, no) for each line (d, k, no, line): names without n = 0, 1 or 2 characters, and the gaps p <= q where they were.
+
+    A gap is counted in what is left, so that two lines with a gap in common have a
+    substitution there. A line of n characters has about n * n / 2 such names; they
+    are handed on in parts.
+    """
+    names, inverse = ["h", "n", "p", "q", "d", "k", "no"], np.uint64(S._INVERSE)
+    spread = np.uint64(0xD6E8FEB86659FD93)
+
+    def part(held: list[tuple]) -> pa.RecordBatch:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            held, size = [], 0
+            for d, key, no, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = _codes(line)
+                n = len(codes)
+                sums = S.prefix_hash(_values(codes))
+
+                def row(sum_, gone, p, q, n=n, d=d, key=key, no=no):
+                    m = len(sum_)
+                    h = _signed(S.mix(sum_ + np.full(m, n - gone, np.uint64) * spread))
+                    full = lambda x, kind: np.full(m, x, kind)
+                    return (h, full(gone, np.int32), p.astype(np.int32), q.astype(np.int32), full(d, np.int64), full(key, np.int64), full(no, np.int32))
+
+                at, none = np.arange(n), np.array([-1])
+                held += [row(sums[n : n + 1], 0, none, none), row(sums[at] + (sums[n] - sums[at + 1]) * inverse, 1, at, at)]
+                size += n + 1
+                for p in range(n - 1):
+                    q = np.arange(p + 1, n)
+                    two = sums[p] + (sums[q] - sums[p + 1]) * inverse + (sums[n] - sums[q + 1]) * inverse * inverse
+                    held.append(row(two, 2, np.full(len(q), p), q - 1))
+                    size += len(q)
+                    if size > 100_000:
+                        yield part(held)
+                        held, size = [], 0
+            if held:
+                yield part(held)
+
+
+def _earlier_of_two(variants: DataFrame) -> DataFrame:
+    """(d, k, no, e): for each line, the earliest members of the groups of lines within two edits that it is in.
+
+    Of lines with a name in common, all are within two edits of each other that are
+    whole and lack two (two insertions), are whole and lack one, or lack one each (an insertion
+    and a deletion); that lack one and two with a gap in common (a substitution and an
+    insertion); or that lack two each at the same gaps (two substitutions).
+    """
+    at = F.struct("d", "k", "no")
+    gaps = variants.withColumn("gap", F.explode(F.array_distinct(F.array("p", "q"))))
+    lacks = lambda n: F.min(F.when(F.col("n") == n, at))
+    by_h, by_gap, by_both = Window.partitionBy("h"), Window.partitionBy("h", "gap"), Window.partitionBy("h", "p", "q")
+    seen = gaps.withColumns({f"all{n}": lacks(n).over(by_h) for n in range(3)} | {f"gap{n}": lacks(n).over(by_gap) for n in (1, 2)} | {"same": lacks(2).over(by_both)})
+    near = {0: ("all1", "all2"), 1: ("all0", "all1", "gap2"), 2: ("all0", "gap1", "same")}
+    found = F.array(*[F.when(F.col("n") == n, F.col(c)) for n, cs in near.items() for c in cs])
+    return seen.select("d", "k", "no", F.explode(F.filter(found, lambda x: x < at)).alias("e"))
+
+
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d, text, gone) to (d, text without the lines numbered in gone, n_lines, n_removed)."""
     for whole in batches:
@@ -152,15 +238,14 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, least_chars: int = 0) -> DataFrame:
     """(d, k, gone): for documents (d, k, text), in order of d and k, the numbers of the lines that go."""
     spark = docs.sparkSession
-    line = ["d", "k", "no"]
-    lines = docs.select("d", "k", "text").mapInArrow(_lines(least_chars), "d long, k long, no int, a long, b long, h0 long, h1 long, h2 long, h3 long")
+    line, halves = ["d", "k", "no"], _halves(max_edits)
+    lines = docs.select("d", "k", "text").mapInArrow(_lines(least_chars, max_edits), "d long, k long, no int, a long, b long, " + ", ".join(f"{h} long" for h in halves))
     lines = space.save(lines, "lines")
-    halves = [f"h{k}" for k in range(4)]
     first = lines.groupBy("a", "b").agg(F.min(F.struct(*line)).alias("at"), F.count(F.lit(1)).alias("n"), *[F.max(h).alias(h) for h in halves])
     first = space.save(first.select("a", "b", "at.*", (F.col("n") > 1).alias("many"), *halves), "different")
     if max_edits:
         # step 1: lines that share a half with another
-        each = first.filter("h0 <> -1").select("a", *line, F.explode(F.array(*halves)).alias("half"))
+        each = first.select("a", *line, F.explode(F.array(*halves)).alias("half")).filter("half <> -1")
         met = each.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("half")
         some = each.join(met.hint("merge"), "half", "left_semi").select(*line).distinct()
         at = F.struct(*line)
@@ -174,14 +259,18 @@ def repeated_lines(docs: DataFrame, space: S.Workspace, max_edits: int = 1, leas
         some = some.select(*line, F.expr("try_element_at(ls, no + 1)").alias("line")).filter("line is not null")
         some = space.save(some.dropDuplicates(line), "candidates")
         # steps 2 and 3; only different lines meet here, so a group is bounded by the neighbours that one string can have
-        variants = some.mapInArrow(_variants, "h long, p int, d long, k long, no int")
-        whole, less = F.col("p") < 0, F.col("p") >= 0
-        by_h, by_place = Window.partitionBy("h"), Window.partitionBy("h", "p")
-        seen = variants.withColumns(
-            {"whole": F.min(F.when(whole, at)).over(by_h), "less": F.min(F.when(less, at)).over(by_h), "same": F.min(at).over(by_place)}
-        )
-        earlier = F.filter(F.array(F.when(whole, F.col("less")), F.when(less, F.col("whole")), F.when(less, F.col("same"))), lambda x: x < at)
-        pairs = seen.select(*line, F.explode(earlier).alias("e")).select(*line, *[F.col("e")[c].alias("e" + c) for c in line]).distinct()
+        if max_edits == 1:
+            variants = some.mapInArrow(_variants, "h long, p int, d long, k long, no int")
+            whole, less = F.col("p") < 0, F.col("p") >= 0
+            by_h, by_place = Window.partitionBy("h"), Window.partitionBy("h", "p")
+            seen = variants.withColumns(
+                {"whole": F.min(F.when(whole, at)).over(by_h), "less": F.min(F.when(less, at)).over(by_h), "same": F.min(at).over(by_place)}
+            )
+            earlier = F.filter(F.array(F.when(whole, F.col("less")), F.when(less, F.col("whole")), F.when(less, F.col("same"))), lambda x: x < at)
+            found = seen.select(*line, F.explode(earlier).alias("e"))
+        else:
+            found = _earlier_of_two(some.mapInArrow(_variants_of_two, "h long, n int, p int, q int, d long, k long, no int"))
+        pairs = found.select(*line, *[F.col("e")[c].alias("e" + c) for c in line]).distinct()
         # step 4
         other = some.select(*[F.col(c).alias("e" + c) for c in line], F.col("line").alias("earlier"))
         close = pairs.join(other.hint("merge"), ["e" + c for c in line]).join(some.hint("merge"), line).filter(F.levenshtein("line", "earlier", max_edits) >= 0)
@@ -201,16 +290,17 @@ def dedup(docs: DataFrame, max_edits: int = 1, least_chars: int = 0, id_col: str
 
     Lines end at line feeds. Lines of white space stay and count neither as lines
     nor as repeats. A line goes if an earlier one equals it or is within ``max_edits``
-    (0 or 1), whatever its length; a caller who wants that for long lines only names
-    ``least_chars``: shorter ones then go only if an earlier line equals them. Null
-    text stays null, without lines.
+    (0, 1 or 2), whatever its length; a caller who wants that for long lines only names
+    ``least_chars``: shorter ones then go only if an earlier line equals them. With two
+    edits a line of n characters that shares a third with another one emits about
+    n * n / 2 variants. Null text stays null, without lines.
 
     An id is a whole number. Null ids come first; texts that share an id, or lack
     one, are documents of their own, in an order that depends on the texts alone.
     Rows equal in id and text are one document: each of them gets what it gets.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits must be 0 or 1")
+    if max_edits not in (0, 1, 2):
+        raise ValueError("max_edits must be 0, 1 or 2")
     space = S.Workspace(docs.sparkSession, "line-dedup")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     named = docs.drop("n_lines", "n_removed").withColumns({"__d": F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)), "__k": F.xxhash64(text)})
