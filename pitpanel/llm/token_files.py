@@ -31,8 +31,20 @@ from .shared import Workspace
 from .tokens import encoder
 
 
+def _uri(path: str) -> str:
+    """A path as Arrow names it: Hadoop's names of the S3 scheme become ``s3``, a path without a scheme is a file."""
+    scheme, found, rest = path.partition("://")
+    if found:
+        return "s3://" + rest if scheme in ("s3a", "s3n") else path
+    return path if path.startswith("file:") else f"file://{path}"
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """File system and name of a path; the region and keys of an S3 bucket come from the environment of the executors."""
+    uri = _uri(path)
+    if uri.startswith("s3://") and "?" not in uri:
+        return pafs.S3FileSystem(), uri.removeprefix("s3://")
+    return pafs.FileSystem.from_uri(uri)
 
 
 class TokenFile:

@@ -10,6 +10,16 @@ from tokenizers import Tokenizer
 
 from pitpanel.llm import byte_bpe, token_files, tokens
 
+
+def test_paths_of_object_stores_open():
+    import pyarrow.fs as pafs
+
+    if hasattr(pafs, "S3FileSystem"):
+        for scheme in ("s3", "s3a", "s3n"):
+            fs, name = token_files._open(f"{scheme}://bucket/folder/x.arrow")
+            assert isinstance(fs, pafs.S3FileSystem) and name == "bucket/folder/x.arrow"
+    assert token_files._open("/tmp/x")[1] == token_files._open("file:///tmp/x")[1] == token_files._open("file:/tmp/x")[1] == "/tmp/x"
+
 ODD = [
     (1, "plain words, and don't they'll 've  two   spaces \n\n\t end  "),
     (2, None),
