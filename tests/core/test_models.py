@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from pitpanel.operators import attribution as A
 from pitpanel.operators import metrics as M
 from pitpanel.operators import models as ML
 from pitpanel.operators import reports as R
@@ -145,3 +146,20 @@ def test_attributions_equal_permutations_walked_one_by_one(data):
         own = [r.phi for (_, g), r in got.items() if g == f]
         assert imp[f].mean_abs == pytest.approx(np.mean(np.abs(own))) and imp[f].mean_signed == pytest.approx(np.mean(own))
     assert sorted(r.rank for r in imp.values()) == [1, 2, 3]
+
+
+def test_a_feature_without_training_values(spark):
+    """Neither a logistic model nor the trees fail on it, and later rows' values of it change no score."""
+    rows = [(i, i % 2, float(i % 2) + (i % 7) / 10, None if i < 60 else float(i), 1.0 if i < 60 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, label int, x1 double, x2 double, x3 double")
+    train, valid = df.filter("row_id < 60"), df.filter("row_id >= 60")
+    columns = ["x1", "x2", "x3"]
+    p = lambda t: {(r["model"], r["row_id"]): round(r["p"], 9) for r in t.collect()}
+    got = p(ML.fit_logistic(train, valid, columns))
+    assert len(got) == 20 and got == p(ML.fit_logistic(train, valid.withColumn("x2", F.lit(None).cast("double")), columns))
+    assert all((v > 0.5) == (k[1] % 2 == 1) for k, v in got.items())
+    trees = p(ML.fit_score(train, valid, columns, depth=2, rounds=2))
+    assert len(trees) == 100 and all((v > 0.5) == (k[1] % 2 == 1) for k, v in trees.items() if k[0] == "vote")
+    vote = A.fit(train, columns, depth=2, rounds=2)
+    other = vote.scores(np.array([[0.1, 70.0, np.nan], [1.1, np.nan, np.nan]]))["vote"]
+    assert other[0] < 0.5 < other[1]
