@@ -100,3 +100,12 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="other inputs"):
         snap.load(build, [p.limit(1)])
     assert io.fill_text(spark.createDataFrame([(None, None)], "a string, b int")).first() == ("", None)
+
+
+def test_one_sort_serves_all_blocks(spark):
+    """Rows are sorted and held once, whatever the blocks; a table that is its own source is not read twice."""
+    p = spark.createDataFrame([(i, i % 5, "AB"[i % 2], 200001 + i % 9, 24000 + i % 9, i % 2) for i in range(60)], "row_id long, entity long, side string, period int, ym_index int, label int")
+    plan = history.fold_history(p, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Sort [") == 1 and "Union" not in plan
+    plan = history.fold_history(p, p.filter("row_id < 30"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Sort [") == 1
