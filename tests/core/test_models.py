@@ -163,3 +163,11 @@ def test_a_feature_without_training_values(spark):
     vote = A.fit(train, columns, depth=2, rounds=2)
     other = vote.scores(np.array([[0.1, 70.0, np.nan], [1.1, np.nan, np.nan]]))["vote"]
     assert other[0] < 0.5 < other[1]
+
+
+def test_a_fold_is_prepared_once_for_all_penalties(data, monkeypatch):
+    fitted = []
+    plain = ML.StandardScaler.fit
+    monkeypatch.setattr(ML.StandardScaler, "fit", lambda self, df, *a: fitted.append(1) or plain(self, df, *a))
+    ML.search_c(data, FEATURES, [0.1, 1.0])
+    assert len(fitted) == 3
