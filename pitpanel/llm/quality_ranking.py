@@ -13,9 +13,9 @@ runs of classes (a word, then three stars, say), and how often words and word pa
 come again within windows of ``WINDOW`` words. A long text is read in pieces whose
 counts are added.
 
-Training reads at most ``train_docs`` labelled documents of each label, those with
-the smallest hashes (a documented bound), and ``pairs`` pairs of them; every
-document is scored.
+Training reads all labelled documents: each is in a pair at least, and the threshold
+is taken from the strengths of all. A caller may bound them by ``train_docs`` of each
+label, those with the smallest hashes; the query does not. Every document is scored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ranks
 from . import shared as S
 
 #: Score at the threshold; at or above it a document is predicted good.
@@ -122,10 +123,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, train_docs: int = 2_000, pairs: int = 16_000, penalty: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    train_docs: int | None = None,
+    pairs: int = 16_000,
+    penalty: float = 1e-3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_id: str = "doc_id",
+    label_col: str = "quality",
 ) -> dict:
     """``{"weights", "threshold"}`` from labels 1 (good) and 0 (bad).
 
+    All labelled documents are read, or ``train_docs`` of each label. Documents of the
+    commoner label meet one of the other label in turn, all of them as often as
+    ``pairs`` pairs take, once at least.
+
     Null and other labels, null ids and ids with both labels teach nothing; repeated
     rows count once; a null text is empty. Without documents of both labels there are
     no preferences and weights are ``None``.
@@ -137,30 +150,47 @@ def fit(
     value = labels[label_col].cast("int")
     given = labels.select(labels[label_id].alias("id"), value.alias("label")).filter("label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
     known = rows.select("id", "k").distinct().join(given.filter("label = other").select("id", "label"), "id")
-    known = space.save(known, "labelled")
+    known = space.save(known.withColumn("h", F.xxhash64("id", "k", F.lit("draw"))), "labelled")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return {"weights": None, "threshold": 0.0}
-    drawn = None
-    for label in (0, 1):
-        few = known.filter(F.col("label") == label).withColumn("h", F.xxhash64("id", "k", F.lit("draw"))).orderBy("h", "id", "k").limit(train_docs)
-        few = few.agg(F.array_sort(F.collect_list(F.struct("h", "id", "k"))).alias("r")).select(F.lit(label).alias("label"), F.posexplode("r").alias("place", "r"))
-        few = few.select("label", "place", "r.id", "r.k")
-        drawn = few if drawn is None else drawn.unionByName(few)
-    drawn = space.save(drawn, "drawn")  # at most 2 * train_docs rows
-    texts = rows.join(F.broadcast(drawn), ["id", "k"]).groupBy("label", "place").agg(F.first("text").alias("text"))
-    held = space.save(texts.mapInArrow(_vectors, "label int, place int, x array<double>"), "vectors")
-    n = {k: min(v, train_docs) for k, v in sizes.items()}
-    met = spark.range(pairs).select((F.col("id") % 2).alias("y"), F.pmod("id", F.lit(n[1])).alias("good"), F.pmod(F.xxhash64("id", F.lit("pair")), F.lit(n[0])).alias("bad"))
-    side = lambda label, name: held.filter(F.col("label") == label).select(F.col("place").cast("long").alias(name), F.col("x").alias(f"{name}_x"))
-    met = met.join(side(1, "good"), "good").join(side(0, "bad"), "bad")
+    n = {k: min(v, train_docs or v) for k, v in sizes.items()}
+    drawn = ranks.row_numbers(known, ["label"], "h", "id").select("label", F.col("rn").cast("long").alias("place"), "id", "k")
+    drawn = space.save(drawn.filter(F.col("place") < F.when(F.col("label") == 1, n[1]).otherwise(n[0])), "drawn")
+    # texts are moved once: repeated rows are dropped where the join has put them
+    texts = rows.join(drawn.hint("merge"), ["id", "k"]).groupBy("id", "k").agg(F.first("label").alias("label"), F.first("place").alias("place"), F.first("text").alias("text")).drop("id", "k")
+    held = space.save(texts.mapInArrow(_vectors, "label int, place long, x array<double>"), "vectors")
+    many, few = (1, 0) if n[1] >= n[0] else (0, 1)
+    rounds = max(1, -(-pairs // n[many]))
+    # a round takes every document of the commoner label, and with it every one of the other; the next one shifts them by one
+    met = spark.range(rounds * n[many]).select((F.col("id") % 2).alias("y"), (F.col("id") % n[many]).alias("many"), F.expr(f"(id % {n[many]} + id div {n[many]}) % {n[few]}").alias("few"))
+    side = lambda label, name: held.filter(F.col("label") == label).select(F.col("place").alias(name), F.col("x").alias(f"{name}_x"))
+    met = met.join(side(many, "many"), "many").join(side(few, "few"), "few")
     # half of the pairs are turned round, so both answers occur
-    differ = F.zip_with("good_x", "bad_x", lambda a, b: a - b)
-    met = space.save(met.select(F.col("y").cast("double").alias("label"), F.when(F.col("y") == 1, differ).otherwise(F.transform(differ, lambda x: -x)).alias("d")), "pairs")
+    differ = F.zip_with("many_x", "few_x", lambda a, b: a - b)
+    met = space.save(met.select(F.col("y").cast("double").alias("label"), F.when(F.col("y") == many, differ).otherwise(F.transform(differ, lambda x: -x)).alias("d")), "pairs")
     model = LogisticRegression(featuresCol="features", fitIntercept=False, regParam=penalty, maxIter=60).fit(met.select("label", array_to_vector("d").alias("features")))
     weights = model.coefficients.toArray()
-    own = [(r["label"], float(weights @ np.array(r["x"]))) for r in held.select("label", "x").toLocalIterator()]
-    return {"weights": weights, "threshold": quantile(own, {k: sizes[k] / n[k] for k in n})}
+    if n != sizes:
+        own = [(r["label"], float(weights @ np.array(r["x"]))) for r in held.select("label", "x").toLocalIterator()]  # at most 2 * train_docs
+        return {"weights": weights, "threshold": quantile(own, {k: sizes[k] / n[k] for k in n})}
+    return {"weights": weights, "threshold": _middle(space.save(held.mapInArrow(_strengths(weights), "place long, s double"), "strengths"), n[0])}
+
+
+def _strengths(weights: np.ndarray):
+    """(place, s) from the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, len(weights))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x @ weights)], ["place", "s"])
+
+    return run
+
+
+def _middle(strengths: DataFrame, below: int) -> float:
+    """Half way between the ``below``-th and the next strength, in ascending order: ``quantile`` where every document weighs 1."""
+    return ranks.row_numbers(strengths, [], "s", "place").filter(F.col("rn").isin(below - 1, below)).agg(F.avg("s")).first()[0]
 
 
 def quantile(strengths: list[tuple[int, float]], weight: dict[int, float]) -> float:

@@ -121,3 +121,17 @@ def test_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(Q, "_PIECE", 4096)
     parts = Q.features(pa.array([t, None, "b"]))
     assert np.abs(whole - parts).max() < 0.02 and not whole[1].any()
+
+
+def test_every_labelled_document_teaches(spark, monkeypatch):
+    """2,300 good documents and 30 bad ones: a trait of the last ones in hash order counts, and the threshold is the quantile of all strengths."""
+    docs = [(i, ("a b " * (1 + i % 7)) if i % 78 else "x !! " * (1 + i % 5)) for i in range(2340)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    la = spark.createDataFrame([(i, int(i % 78 != 0)) for i, _ in docs], "doc_id long, quality int")
+    seen, inner = [], Q.LogisticRegression.fit
+    monkeypatch.setattr(Q.LogisticRegression, "fit", lambda self, pairs: seen.append(pairs.count()) or inner(self, pairs))
+    model = Q.fit(d, la, pairs=1)
+    assert seen == [2310]  # a pair for each good document
+    own = [(int(i % 78 != 0), float(v @ model["weights"])) for (i, _), v in zip(docs, Q.features(pa.array([t for _, t in docs])), strict=True)]
+    assert model["threshold"] == pytest.approx(Q.quantile(own, {0: 1.0, 1: 1.0}), abs=1e-9)
+    assert max(s for y, s in own if y == 0) < model["threshold"] < min(s for y, s in own if y == 1)
