@@ -109,3 +109,38 @@ def test_one_sort_serves_all_blocks(spark):
     assert plan.count("Window [") == 1 and plan.count("Sort [") == 1 and "Union" not in plan
     plan = history.fold_history(p, p.filter("row_id < 30"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("Sort [") == 1
+
+
+def test_mutated_labels_are_compared_in_one_pass(spark):
+    import random
+
+    r = random.Random(3)
+    p = splits.stratified(rows(spark, [(i, r.randint(1, 20), r.choice(["A", "B", None]), None if i % 50 == 7 else 202000 + r.randint(1, 12), r.randint(0, 1)) for i in range(300)]))
+    each = history.explode_folds(p, "fold", 5)
+    seen = []
+    for mutate in (lambda trains, y: F.when(trains, y).otherwise(1 - y), lambda trains, y: F.when(trains & (F.col("row_id") % 9 == 0), 1 - y).otherwise(y)):
+        other = each.withColumn("label", mutate(F.col("role") == "train", F.col("label")))
+        a, b = (history.fold_history(t, t.filter("role = 'train'"), ["fold"]).select("fold", "row_id", *history.FEATURES) for t in (each, other))
+        want = {(x.fold, x.row_id): x.changed for x in history.history_diff(a, b, ["fold", "row_id"]).collect()}
+        for hot in ([], [1, 2, 3])[: 1 if len(seen) else 2]:
+            out = history.label_mutation(p, mutate, hot=hot)
+            got = {(x.fold, x.row_id): x.changed for x in out.collect()}
+            assert got == want and len(got) == 1500
+            seen.append(hot)
+        plan = history.label_mutation(p, mutate, hot=[])._jdf.queryExecution().executedPlan().toString()
+        assert "rdinality" not in plan and plan.count("FullOuter") == 0  # nothing is joined again
+    assert any(want.values()) and not all(want.values())
+
+
+def test_label_diff_finds_what_a_join_finds(spark):
+    import random
+
+    r = random.Random(4)
+    p = rows(spark, [(i, r.randint(1, 20), r.choice("AB"), 202000 + r.randint(1, 12), r.randint(0, 1)) for i in range(300)])
+    q = p.withColumn("other", F.when(F.col("row_id") % 11 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    a, b = (history.fold_history(t, t).select("row_id", *history.FEATURES) for t in (p, q.withColumn("label", F.col("other"))))
+    want = {x.row_id for x in history.history_diff(a, b, ["row_id"]).filter("changed").collect()}
+    out = history.label_diff(q, "other", ("any", "same", "other"), [])
+    assert {x.row_id for x in out.filter("changed").collect()} == want and 0 < len(want) < 300
+    assert set(out.columns) == {*q.columns, "changed"}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(entity") == 1
