@@ -12,7 +12,8 @@ from ..operators import history as H
 from ..operators import metrics as M
 from ..operators import ranks
 from ..operators import reports as R
-from ..operators import splits
+from ..operators import scan, splits
+from ..sources import io
 from ..sources.fixtures import IMPORTANCE, PANEL, SCORED, importance, panel, scored_long
 from .feature_queries import COLUMNS
 from .panel_queries import CHAIN, TRAIN, VALID, _ENTITY, _FOLDS, _ROLE, rounded
@@ -34,6 +35,13 @@ def _nested(spark, d, scheme: str) -> tuple[DataFrame, DataFrame]:
     return outer, inner.select("outer_fold", "inner_fold", "row_id", "entity", "period", "role")
 
 
+def _packed(spark, d, scheme: str) -> tuple[DataFrame, list]:
+    """What ``_nested`` gives, every row once with a bit for each fold it is in; made once."""
+    p = panel(spark, d).select("row_id", "entity", "period", "label")
+    rows, cells = splits.packed(splits.inner_places(splits.grouped(p) if scheme == "group" else splits.stratified(p), group=scheme == "group"))
+    return io.kept(rows, "nested"), cells
+
+
 _SPLITS = f"""{PANEL}{_FOLDS}, es AS (SELECT d.*, CAST(f AS INT) AS outer_fold FROM d, range(1, 6) r(f) WHERE f <> own),
  si AS (SELECT outer_fold, row_id, entity, CAST((row_number() OVER (PARTITION BY outer_fold, label ORDER BY md5('43:' || row_id), row_id) - 1) % 3 + 1 AS INT) AS own FROM es){_ENTITY},
  eg AS (SELECT g.* EXCLUDE fold, CAST(f AS INT) AS outer_fold FROM g, range(1, 6) r(f) WHERE f <> g.fold),
@@ -58,7 +66,11 @@ _SPLITS = f"""{PANEL}{_FOLDS}, es AS (SELECT d.*, CAST(f AS INT) AS outer_fold F
 )
 def nested_audit(spark, d):
     """Sizes and violations of all inner folds of three schemes."""
-    return reduce(DataFrame.unionByName, [splits.nested_audit(*_nested(spark, d, s)).withColumn("scheme", F.lit(s)) for s in ("stratified", "group", "temporal")])
+    out = [splits.nested_audit(*_nested(spark, d, "temporal")).withColumn("scheme", F.lit("temporal"))]
+    for scheme in ("stratified", "group"):
+        rows, cells = _packed(spark, d, scheme)
+        out.append(splits.audit_packed(rows, rows, cells).withColumn("scheme", F.lit(scheme)))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(
@@ -168,20 +180,20 @@ def two_pass_metrics(spark, d):
 def audit_verdict(spark, d):
     """The verdict over checks of the panel, of a nested split and of histories: as they are, and with a repeated key, a leaked row and a changed label put in."""
     p = panel(spark, d)
-    outer, inner = _nested(spark, d, "group")
+    rows, cells = _packed(spark, d, "group")
     first = p.orderBy("row_id").limit(1)
-    leak = outer.filter("outer_fold = 1 and role = 'valid'").join(p.select("row_id", "entity", "period"), "row_id").orderBy("row_id").limit(1)
-    leak = leak.select("outer_fold", F.lit(1).alias("inner_fold"), "row_id", "entity", "period", F.lit("train").alias("role"))
+    # the cell of outer fold 1 and inner fold 1 has bit 0, as has outer fold 1
+    leak = rows.filter("ov & 1 <> 0").orderBy("row_id").limit(1).withColumns({"t": F.lit(1).cast("long"), "v": F.lit(0).cast("long")})
     early = p.filter("period is not null").groupBy("entity").agg(F.min("period").alias("a"), F.max("period").alias("b"), F.min(F.struct("period", "row_id")).alias("x")).filter("a < b").orderBy("entity").limit(1)
-    changed = p.join(F.broadcast(early.select(F.col("x.row_id").alias("__r"))), F.col("row_id") == F.col("__r"), "left").withColumn("label", F.when(F.col("__r").isNotNull(), 1 - F.col("label")).otherwise(F.col("label"))).drop("__r")
-    out = []
-    for name, table, i, source in (("as it is", p, inner, p), ("with faults", p.unionByName(first), inner.unionByName(leak), changed)):
-        audit = splits.nested_audit(outer, i).agg(F.sum("outer_leakage").alias("v"), F.sum("entity_overlap").alias("e"))
-        leaks = audit.select(F.lit("outer_leakage").alias("check"), F.col("v").alias("value"), (F.col("v") == 0).alias("ok"))
-        contained = splits.nested_audit(outer, i).agg(F.sum("outer_overlap").alias("v")).select(F.lit("outer_overlap").alias("check"), F.col("v").alias("value"), (F.col("v") == 0).alias("ok"))
-        same = H.history_diff(H.fold_history(p, source, blocks=("any",)).select("row_id", *H.ANY), H.fold_history(p, p, blocks=("any",)).select("row_id", *H.ANY), ["row_id"], H.ANY)
+    found = p.join(F.broadcast(early.select(F.col("x.row_id").alias("__r"))), F.col("row_id") == F.col("__r"), "left")
+    changed = found.withColumn("other", F.when(F.col("__r").isNotNull(), 1 - F.col("label")).otherwise(F.col("label"))).drop("__r")
+    hot, out = scan.hot_values(p), []
+    for name, table, i, source in (("as it is", p, rows, p.withColumn("other", F.col("label"))), ("with faults", p.unionByName(first), rows.unionByName(leak), changed)):
+        audit = splits.audit_rows(rows, i, cells).agg(F.sum("outer_leakage").alias("a"), F.sum("outer_overlap").alias("b"))
+        audit = audit.selectExpr("stack(2, 'outer_leakage', a, 'outer_overlap', b) AS (check, value)").withColumn("ok", F.col("value") == 0)
+        same = H.label_diff(source, "other", hot=hot)
         same = same.agg(F.count_if("changed").alias("v")).select(F.lit("history_equal").alias("check"), F.col("v").alias("value"), (F.col("v") == 0).alias("ok"))
-        checked = reduce(DataFrame.unionByName, [R.checks(table, "row_id", "label"), leaks, contained, same])
+        checked = reduce(DataFrame.unionByName, [R.checks(table, "row_id", "label"), audit, same])
         out.append(R.verdict(checked).select(F.lit(name).alias("panel"), "checks", "failed", "failures", "verdict"))
     return out[0].unionByName(out[1])
 

@@ -147,3 +147,28 @@ def test_features_are_loaded_through_checks(spark, tmp_path):
         io.load_features(spark, str(tmp_path / "bad"), ["x"])
     io.write_predictions(good.withColumn("fold", F.col("row_id") % 2), str(tmp_path / "p"))
     assert io.read_folds(spark, str(tmp_path / "p"), [1]).count() == 10
+
+
+@pytest.mark.parametrize("group", [False, True])
+def test_packed_audit_holds_every_row_once(spark, group):
+    rows = [(i, i % 37, "A", 200001 + i % 12, 24000, i % 3 == 0, 1) for i in range(400)]
+    p = panel(spark, [(*r[:5], int(r[5]), r[6]) for r in rows]).drop("fold")
+    folds = splits.grouped(p) if group else splits.stratified(p)
+    packed, cells = splits.packed(splits.inner_places(folds, group=group))
+    assert packed.count() == 400 and len(cells) == 15
+    outer = H.explode_folds(folds, "fold", 5).select(F.col("fold").alias("outer_fold"), "row_id", "role")
+    inner = splits.inner_roles(splits.inner(folds, group=group)).select("outer_fold", "inner_fold", "row_id", "entity", "period", "role")
+    found = lambda df: {tuple(r) for r in df.collect()}
+    want = found(splits.nested_audit(outer, inner))
+    assert found(splits.audit_packed(packed, packed, cells)) == want and len(want) == 15
+    # a validation row of outer fold 1 in the training rows of its first inner fold
+    leak = packed.filter("ov & 1 <> 0").orderBy("row_id").limit(1).withColumns({"t": F.lit(1).cast("long"), "v": F.lit(0).cast("long")})
+    out = splits.audit_packed(packed, packed.unionByName(leak), cells).agg(F.sum("outer_leakage"), F.sum("not_contained"), F.sum("row_overlap")).first()
+    assert tuple(out) == (1, 1, 0)
+
+
+def test_audit_of_more_folds_than_a_number_has_bits(spark):
+    outer = spark.range(5).selectExpr("id as row_id", "explode(sequence(1, 70)) as outer_fold", "if(row_id = 0, 'valid', 'train') as role")
+    inner = outer.filter("role = 'train'").selectExpr("outer_fold", "1 as inner_fold", "row_id", "row_id as entity", "200001 as period", "if(row_id = 1, 'valid', 'train') as role")
+    out = splits.nested_audit(outer, inner).collect()
+    assert {(r.outer_fold, r.train_rows, r.valid_rows, r.outer_leakage) for r in out} == {(f, 3, 1, 0) for f in range(1, 71)}
