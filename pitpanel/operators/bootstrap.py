@@ -26,6 +26,8 @@ from .metrics import POISSON
 
 #: Rows of a matrix of scores by replicates that are worked on at once.
 BLOCK = 2048
+#: Records of a range of scores, about: a task holds their weights, so more records make more ranges, not larger ones.
+ROWS = 20_000
 #: Tasks that a shared score is first summed in.
 SALT = 64
 #: Ranges (of some kilobytes each) below which their totals are broadcast.
@@ -155,7 +157,9 @@ def weighted_auc_ap(df: DataFrame, weights: DataFrame, groups: Sequence[str] = (
 
     spark, groups = df.sparkSession, list(groups)
     small = df.filter("p is not null").groupBy(*groups, "entity", "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    found = ranks.quantiles(df, "p")[0]
+    least, most = ranks.EDGES
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = ranks.quantiles(df, "p", most=min(max(least, parts, -(-df.count() // ROWS)), most))[0]
     often = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
     small = ranks.with_bucket(small, "__b", F.col("p"), found)
     each = small.join(weights, "entity")

@@ -73,3 +73,13 @@ def test_weights_are_one_row_for_each_entity(spark):
     assert arrays.count() == entities and {r["n"] for r in arrays.select(F.size("w").alias("n")).collect()} == {500}
     flat = {(r["entity"], r["replicate"]): r["w"] for r in M.poisson_weights(df, 5).collect()}
     assert len(flat) == 5 * entities and all(flat[r["entity"], k + 1] == r["w"][k] for r in arrays.collect() for k in range(5))
+
+
+def test_more_records_make_more_ranges_not_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(B, "ROWS", 10)
+    sizes, inner = [], B.ranks.with_bucket
+    monkeypatch.setattr(B.ranks, "with_bucket", lambda df, name, column, cuts: sizes.append(len(cuts)) or inner(df, name, column, cuts))
+    for n in (500, 2000):
+        df = spark.createDataFrame(rows(n, "distinct"), SCHEMA)
+        B.weighted_auc_ap(df, B.weight_arrays(df, 3))
+    assert sizes == [63, 199]
