@@ -1,6 +1,10 @@
 """Queries whose final plan may read a table that was made once, not make it again for each use."""
 
-from pitpanel.plans import feature_queries, scored_queries
+from pyspark.sql import functions as F
+
+from pitpanel.operators import history, splits
+from pitpanel.plans import feature_queries, model_queries, scored_queries
+from pitpanel.sources.fixtures import panel
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +22,23 @@ def test_time_variants_pass_the_matrix_once(spark):
 
 def test_few_entities_make_their_weights_in_many_tasks(spark):
     assert scored_queries.bootstrap_weights_500(spark, SMALL).rdd.getNumPartitions() >= 8
+
+
+def test_a_factorial_makes_its_histories_once(spark, monkeypatch):
+    """Entities are whole on one side of every fold, so one pass over the records, each of them once, serves both sides and all folds."""
+    plain, seen = model_queries.H.fold_history, []
+    monkeypatch.setattr(model_queries.H, "fold_history", lambda targets, *a, **k: seen.append(targets.count()) or plain(targets, *a, **k))
+    rows = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    model_queries.factorial(spark, SMALL)
+    assert seen == [rows]
+    model_queries.factorial_all(spark, SMALL)
+    assert seen == [rows] * 2
+
+
+def test_no_fold_of_whole_entities_changes_a_history(spark):
+    g = splits.grouped(panel(spark, SMALL))
+    each = history.explode_folds(g, "fold", 5)
+    by_fold = history.fold_history(each, each, ["fold", "role"]).select("row_id", *history.FEATURES)
+    once = history.fold_history(g, g).select("row_id", *history.FEATURES)
+    assert by_fold.count() == 5 * once.count() > 0
+    assert by_fold.exceptAll(once.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("i")).count() == 0
