@@ -171,3 +171,16 @@ def test_a_fold_is_prepared_once_for_all_penalties(data, monkeypatch):
     monkeypatch.setattr(ML.StandardScaler, "fit", lambda self, df, *a: fitted.append(1) or plain(self, df, *a))
     ML.search_c(data, FEATURES, [0.1, 1.0])
     assert len(fitted) == 3
+
+
+def test_a_search_leaves_no_tables_behind(data):
+    import os
+
+    from pitpanel.sources import io
+
+    made = []
+    keep = lambda df: made.append(io.kept(df, "search")) or made[-1]
+    out = ML.search_c(data, FEATURES, [0.1, 1.0], keep=keep)
+    assert len(made) == 7 and not any(os.path.exists(t.kept_at.removeprefix("file://")) for t in made)
+    assert sorted(r["rank"] for r in out.collect()) == [1, 2]
+    assert data.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
