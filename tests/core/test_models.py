@@ -184,3 +184,12 @@ def test_a_search_leaves_no_tables_behind(data):
     assert len(made) == 7 and not any(os.path.exists(t.kept_at.removeprefix("file://")) for t in made)
     assert sorted(r["rank"] for r in out.collect()) == [1, 2]
     assert data.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_known_medians_are_not_found_again(data, monkeypatch):
+    train, valid = data.filter("inner_fold < 3"), data.filter("inner_fold = 3")
+    known = ML.medians_of(train, FEATURES)
+    p = lambda t: {r.row_id: r.p for r in t.collect()}
+    want = p(ML.fit_logistic(train, valid, FEATURES[:2]))
+    monkeypatch.setattr(ML.Medians, "_fit", lambda *a: pytest.fail("medians were found again"))
+    assert p(ML.fit_logistic(train, valid, FEATURES[:2], medians=known)) == pytest.approx(want, abs=1e-9)
